@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embed_dedup, mixing, near_dedup
+from . import decontaminate, embed_dedup, mixing, near_dedup
 from .common import table
 
 
@@ -22,10 +22,15 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op9_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_source_mix": op7_source_mix,
+    "op9_spaced_seed_decontamination": op9_spaced_seed_decontamination,
 }
 
 _WORDS = r"list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -55,4 +60,5 @@ n AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
 SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
 FROM embeddings e JOIN comp c ON c.vec_id = e.vec_id LEFT JOIN n ON n.vec_id = e.vec_id""",
     "op7_source_mix": mixing.SQL,
+    "op9_spaced_seed_decontamination": decontaminate.sql(),
 }
