@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embed_dedup, mixing, near_dedup
+from . import decontaminate, embed_dedup, mixing, near_dedup, pii
 from .common import table
 
 
@@ -26,8 +26,13 @@ def op9_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_information_theoretic_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.spans_per_document(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_information_theoretic_pii": op3_information_theoretic_pii,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_source_mix": op7_source_mix,
     "op9_spaced_seed_decontamination": op9_spaced_seed_decontamination,
