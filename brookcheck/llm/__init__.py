@@ -1 +1,8 @@
 """Training-data operators.  Nothing outside this subpackage imports it."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the executors whole, so nothing has to be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

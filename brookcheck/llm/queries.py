@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embed_dedup, mixing, near_dedup, pii
+from . import decontaminate, embed_dedup, language, mixing, near_dedup, pii
 from .common import table
 
 
@@ -30,12 +30,17 @@ def op3_information_theoretic_pii(spark: SparkSession, sf_dir: str) -> DataFrame
     return pii.spans_per_document(table(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_information_theoretic_pii": op3_information_theoretic_pii,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_source_mix": op7_source_mix,
     "op9_spaced_seed_decontamination": op9_spaced_seed_decontamination,
+    "op10_language_id": op10_language_id,
 }
 
 _WORDS = r"list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
