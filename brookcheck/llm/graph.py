@@ -11,16 +11,15 @@ from .common import drop, keep
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) for every end of an edge; component is the smallest id that edges reach.
 
-    Two steps alternate until nothing changes.  In the large star each vertex
-    hangs its larger neighbours on the smallest id it knows; in the small star
-    its smaller ones and itself.  Minima are pre-aggregated before the shuffle
-    and written, so that the join back to the edges reads two plain exchanges,
-    which adaptive execution splits when one vertex has a great share of the
-    edges.  Loops over one vertex and edges with a null end link nothing.
+    Two steps alternate until every component is a star.  In the large star each
+    vertex hangs its larger neighbours on the smallest id it knows; in the small
+    star its smaller ones and itself.  Minima are pre-aggregated before the
+    shuffle and written, so that the join back to the edges reads two plain
+    exchanges, which adaptive execution splits when one vertex has a great share
+    of the edges.  Loops over one vertex and edges with a null end link nothing.
     """
     e = keep(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct(), "edges")
-    seen = _state(e)
-    while seen[0]:
+    while not _stars(e):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = keep(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low")
         large = keep(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
@@ -30,13 +29,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         new = keep(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).distinct(), "edges")
         for x in (e, large, low):
             drop(x)
-        e, before, seen = new, seen, _state(new)
-        if seen == before:
-            break
+        e = new
     return e.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
-def _state(e: DataFrame) -> tuple:
-    """Two sums that change when any edge does."""
-    r = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.bit_xor(F.xxhash64("b", "a"))).first()
-    return tuple(r)
+def _stars(e: DataFrame) -> bool:
+    """No vertex hangs on two, or hangs and is hung on."""
+    ends = e.select(F.col("a").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("root")).unionByName(e.select(F.col("b").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("root")))
+    return ends.groupBy("id").agg((F.sum("up") + F.max("root")).alias("k")).where("k > 1").isEmpty()

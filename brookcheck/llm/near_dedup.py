@@ -1,19 +1,20 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
 A document is its set of word shingles.  Equal sets are one vertex.  Each
-vertex carries 128 minwise values and a 128-bit sketch of their low bits.  In
-each of ``trees`` independent trees a vertex starts at the root and, in each
-node, follows the minwise values at coordinates the node itself selects, 1/0.85
-of them on average, so that a pair at the threshold shares one child on average.
-Nodes of up to ``leaf`` vertices are compared exhaustively.  Larger ones compare
-all members with one pivot and branch on.  A pair passes if sizes and sketches
-allow the threshold; it becomes a link only when the full sets confirm it.
-
-Components are all that is asked for, so a pair whose ends are already linked
-through others is not compared again: the smallest partner of each vertex is
-verified first, and only pairs between different components afterwards.  A large
-node whose members are one component is done.  Nodes that stay large down to
-``depth`` are compared exhaustively between components, so nothing is capped.
+vertex carries 128 minwise values and a sketch of two bits of each.  In each of
+``trees`` independent trees a vertex starts at the root and, in each node,
+follows the minwise values at coordinates the node itself selects,
+1/similarity of them on average, so that a pair at the threshold shares one
+child on average.  Nodes of up to ``leaf`` vertices are compared exhaustively;
+larger ones compare all members with one pivot and branch on.  Pairs whose
+sizes and sketches allow the threshold are candidates.
+
+Components of the candidates are clusters.  A node whose members are one
+cluster is done; nodes that hold several branch on until a block holds
+them, and what is still larger at ``depth`` is compared block by block, so
+nothing is capped.  Inside each cluster full sets are then intersected, again
+by pairs of blocks, and every pair that is not linked already is decided by
+them.  What leaves a block are links of a spanning forest, never all pairs.
 """
 
 from __future__ import annotations
@@ -30,9 +31,16 @@ from .graph import connected_components
 
 _T = 128
 _MULT = np.random.default_rng(7).integers(0, 2**63, _T, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Of 128 sketch bits a pair at similarity 0.85 shares 118 on average, with deviation 3; at most this many differ.
-_BITS = 28
-_VERTEX = "v long, n long, s1 long, s2 long"
+_SKETCH = ["s1", "s2", "s3", "s4"]
+_VERTEX = "v long, n long, s1 long, s2 long, s3 long, s4 long"
+#: Vertices, and shingles, that are compared in one task at once.
+BLOCK, BLOCK_ITEMS = 4096, 2_000_000
+
+
+def most_unlike(similarity: float) -> int:
+    """Of 128 pairs of sketch bits, how many may differ: 3.7 deviations over the mean at the threshold."""
+    p = 0.75 * (1 - similarity)
+    return int(_T * p + 3.7 * (_T * p * (1 - p)) ** 0.5)
 
 
 def _signature(items: np.ndarray) -> np.ndarray:
@@ -49,36 +57,36 @@ def _describe(size: int):
             for text in pdf["text"]:
                 items = shingles(word_hashes((text or "").encode()), size)
                 if not len(items):
-                    rows.append((0, None, None, None, None))
+                    rows.append((0, *[None] * 6))
                     continue
                 sig = _signature(items)
                 v = int(np.bitwise_xor(mix(items).sum(dtype=np.uint64), np.uint64(len(items))).astype(np.int64))
-                s1, s2 = np.packbits((mix(sig.astype(np.uint64)) & np.uint64(1)).astype(np.uint8)).view(np.int64)
-                rows.append((len(items), v, int(s1), int(s2), sig.tobytes()))
-            out = pd.DataFrame(rows, columns=["n", "v", "s1", "s2", "sig"], index=pdf.index, dtype=object)
+                bits = mix(sig.astype(np.uint64))
+                planes = [np.packbits(((bits >> np.uint64(k)) & np.uint64(1)).astype(np.uint8)).view(np.int64).tolist() for k in (0, 1)]
+                rows.append((len(items), v, *planes[0], *planes[1], sig.tobytes()))
+            out = pd.DataFrame(rows, columns=["n", "v", *_SKETCH, "sig"], index=pdf.index, dtype=object)
             out.insert(0, "doc_id", pdf["doc_id"])
             yield out
     return run
 
 
 def describe(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, n (set size), v (64-bit fingerprint of the set), sketch s1 and s2, minwise values sig."""
-    return docs.select("doc_id", "text").mapInPandas(_describe(shingle), "doc_id long, n long, v long, s1 long, s2 long, sig binary")
+    """doc_id, n (set size), v (64-bit fingerprint of the set), sketch s1 to s4, minwise values sig."""
+    return docs.select("doc_id", "text").mapInPandas(_describe(shingle), "doc_id long, n long, v long, s1 long, s2 long, s3 long, s4 long, sig binary")
 
 
 def _children(nodes: np.ndarray, sig: np.ndarray, similarity: float) -> list[list[int]]:
-    """The children, in its nodes, of each row of minwise values."""
+    """The children, in its node, of each row of minwise values."""
     h = mix(nodes.view(np.uint64) ^ np.uint64(0xA0761D6478BD642F))
     c1, c2 = (h % np.uint64(_T)).astype(int), ((h >> np.uint64(20)) % np.uint64(_T)).astype(int)
     more = (h >> np.uint64(40)) % np.uint64(1 << 20) < np.uint64(int((1 / similarity - 1) * (1 << 20)))
     at = np.arange(len(nodes))
-    a = mix(h ^ mix(sig[at, c1].astype(np.uint64) + (c1.astype(np.uint64) << np.uint64(33)))).view(np.int64)
-    b = mix(h ^ mix(sig[at, c2].astype(np.uint64) + (c2.astype(np.uint64) << np.uint64(33)))).view(np.int64)
+    a, b = (mix(h ^ mix(sig[at, c].astype(np.uint64) + (c.astype(np.uint64) << np.uint64(33)))).view(np.int64) for c in (c1, c2))
     return [[x, y] if m else [x] for x, y, m in zip(a.tolist(), b.tolist(), (more & (c1 != c2)).tolist(), strict=True)]
 
 
 def _branch(similarity: float, trees: int):
-    """From the roots if a row has no node, else from its node."""
+    """From the roots if rows have no node, else from their nodes."""
     roots = mix(np.arange(1, trees + 1, dtype=np.uint64) * np.uint64(0x8EBC6AF09C88C6E3)).view(np.int64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -91,58 +99,121 @@ def _branch(similarity: float, trees: int):
             else:
                 per_tree = [_children(np.full(len(pdf), r), sig, similarity) for r in roots]
                 nodes = [sum(x, []) for x in zip(*per_tree, strict=True)]
-            yield pd.DataFrame({"v": pdf["v"], "n": pdf["n"], "s1": pdf["s1"], "s2": pdf["s2"], "nodes": nodes})
+            yield pdf[["v", "n", *_SKETCH]].assign(nodes=nodes)
     return run
 
 
 def _expand(df: DataFrame, similarity: float, trees: int) -> DataFrame:
-    return df.mapInPandas(_branch(similarity, trees), _VERTEX + ", nodes array<long>").select("v", "n", "s1", "s2", F.explode("nodes").alias("node"))
+    return df.mapInPandas(_branch(similarity, trees), _VERTEX + ", nodes array<long>").select("v", "n", *_SKETCH, F.explode("nodes").alias("node"))
 
 
 def _alike(percent: int):
     """Sizes and sketches of a and b leave the threshold possible."""
-    return F.expr(f"least(a.n, b.n) * 100 >= greatest(a.n, b.n) * {percent} and bit_count(a.s1 ^ b.s1) + bit_count(a.s2 ^ b.s2) <= {_BITS}")
+    return F.expr(f"least(a.n, b.n) * 100 >= greatest(a.n, b.n) * {percent} and bit_count((a.s1 ^ b.s1) | (a.s3 ^ b.s3)) + bit_count((a.s2 ^ b.s2) | (a.s4 ^ b.s4)) <= {most_unlike(percent / 100)}")
 
 
-def _pairs(rows: DataFrame, percent: int, by_component: bool) -> DataFrame:
-    """Every passing pair within a node."""
-    how = (F.col("a.node") == F.col("b.node")) & (F.col("a.v") < F.col("b.v")) & _alike(percent)
-    how = how & (F.col("a.c") != F.col("b.c")) if by_component else how
-    return rows.alias("a").join(rows.alias("b"), how).select(F.col("a.v").alias("a"), F.col("b.v").alias("b"))
+def _pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Every candidate pair within a node."""
+    return rows.alias("a").join(rows.alias("b"), (F.col("a.node") == F.col("b.node")) & (F.col("a.v") < F.col("b.v")) & _alike(percent)).select(F.col("a.v").alias("a"), F.col("b.v").alias("b"))
 
 
-def _with_pivot(rows: DataFrame, percent: int, by_component: bool) -> DataFrame:
-    """Every passing pair of a member with its node's pivot, the member of least hash."""
-    cols = [x for x in rows.columns if x != "node"]
+def _with_pivot(rows: DataFrame, percent: int) -> DataFrame:
+    """Every candidate pair of a member with its node's pivot, the member of least hash."""
+    cols = ["v", "n", *_SKETCH]
     pivot = rows.groupBy("node").agg(F.min(F.struct(F.xxhash64("node", "v").alias("h"), *cols)).alias("p")).select("node", *[F.col(f"p.{x}").alias(x) for x in cols])
-    how = (F.col("a.node") == F.col("b.node")) & (F.col("a.v") != F.col("b.v")) & _alike(percent)
-    how = how & (F.col("a.c") != F.col("b.c")) if by_component else how
-    return rows.alias("a").join(pivot.alias("b"), how).select(F.least("a.v", "b.v").alias("a"), F.greatest("a.v", "b.v").alias("b"))
+    return rows.alias("a").join(pivot.alias("b"), (F.col("a.node") == F.col("b.node")) & (F.col("a.v") != F.col("b.v")) & _alike(percent)).select(F.col("a.v").alias("a"), F.col("b.v").alias("b"))
+
+
+def _in_blocks(df: DataFrame, blocks: str) -> DataFrame:
+    """Each row once for every pair of its group's ``blocks`` blocks that its own is in: columns b (its own), i and j."""
+    df = df.withColumn("b", F.expr(f"pmod(xxhash64(v), {blocks})")).withColumn("o", F.explode(F.expr(f"sequence(0L, {blocks} - 1)")))
+    return df.withColumn("i", F.least("b", "o")).withColumn("j", F.greatest("b", "o")).drop("o")
+
+
+class _Block:
+    """Members of one pair of blocks, joined up as pairs are found alike."""
+
+    def __init__(self, pdf: pd.DataFrame, percent: int):
+        self.v, self.n = pdf["v"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
+        self.s = [pdf[c].to_numpy(np.int64).view(np.uint64) for c in _SKETCH]  # bitwise_count takes absolute values of signed numbers
+        self.b, self.cross = pdf["b"].to_numpy(np.int64), bool((pdf["i"] != pdf["j"]).iloc[0])
+        self.percent, self.limit = percent, most_unlike(percent / 100)
+
+    def candidates(self, x: int, comp: np.ndarray) -> np.ndarray:
+        """Members after x that x may be alike and isn't joined to."""
+        y = slice(x + 1, None)
+        ok = comp[y] != comp[x]
+        if self.cross:
+            ok &= self.b[y] != self.b[x]
+        at = np.flatnonzero(ok) + x + 1
+        if not len(at):
+            return at
+        n = self.n[at]
+        at = at[np.minimum(n, self.n[x]) * 100 >= np.maximum(n, self.n[x]) * self.percent]
+        s = self.s
+        bad = np.bitwise_count((s[0][at] ^ s[0][x]) | (s[2][at] ^ s[2][x])).astype(int) + np.bitwise_count((s[1][at] ^ s[1][x]) | (s[3][at] ^ s[3][x]))
+        return at[bad <= self.limit]
+
+    def edges(self, alike) -> tuple[np.ndarray, np.ndarray]:
+        """Ends of a spanning forest of the pairs for which ``alike(x, members)`` holds."""
+        comp = np.arange(len(self.v))
+        for x in range(len(self.v) - 1):
+            at = self.candidates(x, comp)
+            if len(at):
+                at = alike(x, at)
+            if len(at):
+                comp[np.isin(comp, comp[at])] = comp[x]
+        moved = comp != np.arange(len(comp))
+        return self.v[moved], self.v[comp[moved]]
+
+
+def _block_candidates(percent: int):
+    """Candidates, by sketch alone, between different clusters of one node's blocks."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        block = _Block(pdf, percent)
+        c = pdf["c"].to_numpy(np.int64)
+        a, b = block.edges(lambda x, at: at[c[at] != c[x]])
+        return pd.DataFrame({"a": a, "b": b})
+    return run
 
 
-def _confirm(size: int, percent: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            ok, last, x = [], None, None
-            for ta, tb in zip(pdf["ta"], pdf["tb"], strict=True):
-                if ta is not last:
-                    x, last = shingles(word_hashes(ta.encode()), size), ta
-                y = shingles(word_hashes(tb.encode()), size)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pdf.loc[ok, ["a", "b"]]
+def _block_links(size: int, percent: int):
+    """Links, by full sets, within clusters."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("c", kind="stable", ignore_index=True)
+        out = []
+        for _, part in pdf.groupby("c", sort=False):
+            block = _Block(part, percent)
+            sets = [shingles(word_hashes(t.encode()), size) for t in part["text"]]
+            ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+            ends = np.cumsum([len(s) for s in sets])
+            sets = np.split(ids, ends[:-1])
+            n, mark = np.array([len(s) for s in sets]), np.zeros(int(ids.max()) + 1, bool)
+
+            def alike(x, at):
+                mark[sets[x]] = True
+                both = np.add.reduceat(mark[np.concatenate([sets[y] for y in at])].astype(np.int64), np.concatenate([[0], np.cumsum(n[at])[:-1]]))
+                mark[sets[x]] = False
+                return at[100 * both >= percent * (n[at] + n[x] - both)]
+
+            out.append(np.stack(block.edges(alike)))
+        a, b = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+        return pd.DataFrame({"a": a, "b": b})
     return run
 
 
-def _verify(pairs: DataFrame, where: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs whose full sets, made anew from the texts of one document each, reach the threshold."""
-    ends = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).distinct()
-    ids = where.join(ends, "v").select("v", F.col("doc").alias("doc_id"))
-    texts = keep(docs.select("doc_id", "text").join(ids, "doc_id").select("v", "text").dropDuplicates(["v"]), "texts")
-    a, b = texts.select(F.col("v").alias("a"), F.col("text").alias("ta")), texts.select(F.col("v").alias("b"), F.col("text").alias("tb"))
-    links = keep(pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInPandas(_confirm(size, percent), "a long, b long"), "links")
-    drop(texts)
-    return links
+def _links(clusters: DataFrame, vertices: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links of a spanning forest of every cluster; full sets are made anew from the text of one document for each vertex."""
+    members = vertices.drop("sig").join(clusters.select(F.col("id").alias("v"), F.col("component").alias("c")), "v")
+    sizes = members.groupBy("c").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_ITEMS)).alias("blocks"), F.sum("n").alias("items"))
+    sizes = keep(sizes, "sizes")
+    together = max(1, -(-(sizes.where("blocks = 1").agg(F.sum("items")).first()[0] or 0) // BLOCK_ITEMS))
+    members = members.join(sizes.drop("items"), "c").select("v", "n", *_SKETCH, "c", "blocks", F.col("doc").alias("doc_id"))
+    texts = docs.select("doc_id", "text").join(members, "doc_id").dropDuplicates(["v"])
+    # Small clusters share a task; large ones have one for each pair of blocks.
+    rows = _in_blocks(texts, "blocks").withColumn("task", F.when(F.col("blocks") == 1, F.expr(f"pmod(xxhash64(c), {4 * together})")).otherwise(F.col("c")))
+    rows = rows.withColumn("large", F.col("blocks") > 1).select("task", "large", "i", "j", "b", "c", "v", "n", *_SKETCH, "text")
+    return keep(rows.groupBy("task", "large", "i", "j").applyInPandas(_block_links(size, percent), "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, trees: int = 16, leaf: int = 64, depth: int = 12) -> DataFrame:
@@ -156,61 +227,46 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, trees:
     one document only if their sets are equal, else each has its own component
     and the id is that of the smallest in it.  An empty table gives none.
     """
+    similarity = percent / 100
     sets = keep(describe(docs, shingle), "sets")
     real = sets.where("v is not null and doc_id is not null")
-    vertices = keep(real.groupBy("v").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("sig").alias("sig")), "vertices")
-    where = vertices.select("v", "doc")
-    similarity = percent / 100
+    vertices = keep(real.groupBy("v").agg(F.min("doc_id").alias("doc"), *[F.first(c).alias(c) for c in ("n", *_SKETCH, "sig")]), "vertices")
     signed = vertices.select("v", "sig")
 
-    found, rows, kept_large = [], keep(_expand(vertices, similarity, trees), "nodes"), None
+    found, rows, large = None, keep(_expand(vertices, similarity, trees), "nodes"), None
     for level in range(1, 4):
         sizes = keep(rows.groupBy("node").count().where("count > 1"), "sizes")
         grouped = keep(rows.join(sizes, "node"), "grouped")
         drop(rows)
         small, large = grouped.where(F.col("count") <= leaf).drop("count"), grouped.where(F.col("count") > leaf).drop("count")
-        found.append(keep(_pairs(small, percent, False).unionByName(_with_pivot(large, percent, False)).distinct(), "found"))
-        kept_large = large
+        new = keep(_pairs(small, percent).unionByName(_with_pivot(large, percent)), "found")
+        found = new if found is None else found.unionByName(new)
         if level < 3:
             rows = keep(_expand(large.join(signed, "v"), similarity, trees), "nodes")
-    candidates = found[0].unionByName(found[1]).unionByName(found[2]).distinct()
-    candidates = keep(candidates, "candidates")
-    for x in found:
-        drop(x)
-
-    first = candidates.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = _verify(first, where, docs, shingle, percent)
-    comp = keep(connected_components(links), "comp")
-
-    def with_component(df: DataFrame, key: str, name: str) -> DataFrame:
-        return df.join(comp.select(F.col("id").alias(key), F.col("component").alias("_c")), key, "left").withColumn(name, F.coalesce("_c", key)).drop("_c")
-
-    rest = with_component(with_component(candidates.join(first, ["a", "b"], "left_anti"), "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
-    rest = keep(rest, "rest")
-    drop(candidates)
-    active, extra = with_component(kept_large, "v", "c"), []
+    clusters = keep(connected_components(found), "clusters")
+
+    def with_cluster(df: DataFrame) -> DataFrame:
+        return df.join(clusters.select(F.col("id").alias("v"), "component"), "v", "left").withColumn("c", F.coalesce("component", "v")).drop("component")
+
+    active, extra = with_cluster(large), None
     for level in range(4, depth + 1):
-        # A node whose members are one component needs no comparison.
-        sizes = active.groupBy("node").agg(F.count("*").alias("count"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("node", "count")
+        sizes = active.groupBy("node").agg(F.count("*").alias("count"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("node", F.ceil(F.col("count") / BLOCK).alias("blocks"))
         grouped = keep(active.join(sizes, "node"), "grouped")
         if grouped.isEmpty():
             break
-        small, large = grouped.where(F.col("count") <= leaf).drop("count"), grouped.where(F.col("count") > leaf).drop("count")
-        extra.append(keep(_pairs(small, percent, True).unionByName(_pairs(large, percent, True) if level == depth else _with_pivot(large, percent, True)).distinct(), "found"))
-        if level == depth:
-            break
-        active = with_component(_expand(large.drop("c").join(signed, "v"), similarity, trees), "v", "c")
-    for x in extra:
-        rest = rest.unionByName(x)
-    more = _verify(rest.distinct(), where, docs, shingle, percent)
-    if not more.isEmpty():
-        comp = keep(connected_components(links.unionByName(more)), "comp")
-
-    named = where.join(comp, where["v"] == comp["id"]).select("v", "component", "doc")
+        now = grouped if level == depth else grouped.where("blocks = 1")
+        new = keep(_in_blocks(now, "blocks").groupBy("node", "i", "j").applyInPandas(_block_candidates(percent), "a long, b long"), "found")
+        extra = new if extra is None else extra.unionByName(new)
+        active = with_cluster(_expand(grouped.where("blocks > 1").join(signed, "v"), similarity, trees))
+    if extra is not None and not extra.isEmpty():
+        old = clusters.select(F.col("id").alias("a"), F.col("component").alias("b"))
+        clusters = keep(connected_components(old.unionByName(extra)), "clusters")
+
+    comp = keep(connected_components(_links(clusters, vertices, docs, shingle, percent)), "comp")
+    named = vertices.select("v", "doc").join(comp, F.col("v") == F.col("id")).select("v", "component", "doc")
     smallest = keep(named.groupBy("component").agg(F.min("doc").alias("low")), "smallest")
-    label = keep(named.join(smallest, "component").select("v", "low"), "label")
-    label = where.join(label, "v", "left").select("v", F.coalesce("low", "doc").alias("low"))
-    label = keep(label, "label")
+    label = vertices.select("v", "doc").join(named.join(smallest, "component").select("v", "low"), "v", "left")
+    label = keep(label.select("v", F.coalesce("low", "doc").alias("low")), "label")
     own = F.when(F.col("v").isNull(), F.col("doc_id")).otherwise(F.col("low"))
     return (sets.select("doc_id", "n", "v").join(label, "v", "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
