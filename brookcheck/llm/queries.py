@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embed_dedup, language, mixing, near_dedup, pii
+from . import decontaminate, embed_dedup, language, mixing, near_dedup, pii, suffix_dedup
 from .common import table
 
 
@@ -34,7 +34,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op1_suffix_array_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"), least=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_array_repeats": op1_suffix_array_repeats,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_information_theoretic_pii": op3_information_theoretic_pii,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
@@ -71,4 +76,5 @@ SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, e.
 FROM embeddings e JOIN comp c ON c.vec_id = e.vec_id LEFT JOIN n ON n.vec_id = e.vec_id""",
     "op7_source_mix": mixing.SQL,
     "op9_spaced_seed_decontamination": decontaminate.sql(),
+    "op1_suffix_array_repeats": suffix_dedup.sql(50),
 }
