@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embed_dedup, language, mixing, near_dedup, pii, suffix_dedup
+from . import decontaminate, embed_dedup, language, mixing, near_dedup, pii, suffix_dedup, token_counts
 from .common import table
 
+#: Where the vocabulary files of public tokenizers lie.
+TOKENIZERS = "/opt/tokenizers"
+
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
@@ -38,12 +41,17 @@ def op1_suffix_array_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"), least=50)
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_repeats": op1_suffix_array_repeats,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_information_theoretic_pii": op3_information_theoretic_pii,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_source_mix": op7_source_mix,
+    "op8_token_counts": op8_token_counts,
     "op9_spaced_seed_decontamination": op9_spaced_seed_decontamination,
     "op10_language_id": op10_language_id,
 }
