@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embed_dedup, html_text, language, mixing, near_dedup, pii, suffix_dedup, token_counts
+from . import decontaminate, embed_dedup, html_text, language, licenses, mixing, near_dedup, pii, suffix_dedup, token_counts
 from .common import table
 
 #: Where the vocabulary files of public tokenizers lie.
@@ -49,10 +49,15 @@ def op5_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op4_license_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_repeats": op1_suffix_array_repeats,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_information_theoretic_pii": op3_information_theoretic_pii,
+    "op4_license_lines": op4_license_lines,
     "op5_html_main_text": op5_html_main_text,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_source_mix": op7_source_mix,
