@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.text import blank, canonical_json, issues, or_else, unicode_trim
 from ..schemas import DOCUMENT, EMPTY, FIELD_TYPES, ISSUES, OPERATORS, SEVERITIES
@@ -22,7 +23,7 @@ def source_checksum(fmt: Column, content: Column) -> Column:
     return F.sha2(F.concat_ws(":", fmt, content), 256)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _yaml_to_json(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     import json
 
