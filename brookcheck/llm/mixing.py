@@ -89,7 +89,7 @@ class Mix:
         top = F.when(F.col("upto") == F.col("whole"), size).otherwise(_drawn(size, F.col("upto") / F.col("whole")))
         s = s.select("rn", "k", "shard", (top - _drawn(size, F.col("below") / F.col("whole"))).alias("n"))
         before = W.partitionBy("rn").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
-        return s.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).where("n > 0")
+        return s.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).where("n > 0").repartition("rn", "shard")
 
     def slots(self) -> DataFrame:
         """rn, shard, j, idx: the block of each slot of each source; no block has more than three."""
@@ -109,7 +109,7 @@ class Mix:
 
     def taken(self) -> DataFrame:
         """doc_id, size, source_size, target, taken: one row per row of the documents."""
-        times = self.slots().groupBy("rn", "idx").agg(F.count("*").alias("times"))
+        times = keep(self.slots().groupBy("rn", "idx").agg(F.count("*").alias("times")), "times")
         by = self.pieces().join(times, ["rn", "idx"], "left").groupBy("rn", "stream", "at", "doc_id", "size")
         full = by.agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).alias("taken")).select("doc_id", "rn", "size", "taken")
         on = self.sized["source"].eqNullSafe(self.sources["source"])
