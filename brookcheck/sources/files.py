@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,3 +52,9 @@ def write_records(df: DataFrame, target: dict, mode: str = "append") -> None:
         df.write.format("kafka").options(**{k: v for k, v in target.items() if k != "format"}).save()
     else:
         df.write.mode(mode).format(target["format"]).save(target["path"])
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors see: under ``spark.checkpoint.dir``, or a temporary one where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{(base or 'file://' + tempfile.mkdtemp(prefix='brookcheck-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
