@@ -5,8 +5,8 @@ Information-theoretic sanitisation adds terms: over all lines of the corpus,
 the pointwise mutual information of a term with a protected value, as a share of
 the value's own information, says how far the term alone discloses the value
 (1: the term never stands without it).  In documents that hold the value, terms
-above the threshold are generalised, and removed when they disclose all but
-nothing less.
+above the threshold are generalised, and removed when they disclose almost
+all of it.
 """
 
 from __future__ import annotations
@@ -172,3 +172,50 @@ def sanitise(docs: DataFrame) -> DataFrame:
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("new").isNotNull(), F.length("new")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return docs.where(clean).unionByName(out.select(*docs.columns))
+
+
+def sql(support: int = 3, generalise: float = 0.9) -> str:
+    """The rows of ``spans_per_document`` in DuckDB."""
+    plain = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    size = lambda of: f"coalesce(list_sum(list_transform({of}, lambda x: length(x))), 0)"
+
+    def spans(name: str, source: str) -> str:
+        """CTEs that end in ``name`` (id, kind, o, start, stop, v): valid matches in the rows (id, t) of ``source``."""
+        each = " UNION ALL ".join(f"SELECT id, '{k}' AS kind, {i} AS o, regexp_extract_all(t, '{p}') AS m, string_split_regex(t, '{p}') AS g FROM {source} WHERE regexp_matches(t, '{p}')" for i, (k, p) in enumerate(plain.items()))
+        digit = "CAST(substr(reverse(digits), i, 1) AS INT)"
+        luhn = f"list_sum(list_transform(range(1, length(digits) + 1), lambda i: CASE WHEN i % 2 = 0 THEN {digit} * 2 - CASE WHEN {digit} > 4 THEN 9 ELSE 0 END ELSE {digit} END)) % 10 = 0"
+        part = "length(ltrim(p, '0')) <= 3 AND coalesce(TRY_CAST(right(p, 4) AS INT), 0) <= 255"
+        return f"""{name}_m AS ({each}),
+{name}_i AS (SELECT id, kind, o, m, g, unnest(range(1, len(m) + 1)) AS i FROM {name}_m),
+{name}_p AS (SELECT id, kind, o, m[i] AS v, CAST({size('g[1:i]')} + {size('m[1:i - 1]')} AS BIGINT) AS start FROM {name}_i),
+{name}_d AS (SELECT *, start + length(v) AS stop, regexp_replace(v, '[^0-9]', '', 'g') AS digits FROM {name}_p),
+{name} AS (SELECT id, kind, o, start, stop, v FROM {name}_d WHERE CASE kind WHEN 'email' THEN true WHEN 'ip' THEN len(list_filter(string_split(v, '.'), lambda p: NOT ({part}))) = 0
+  WHEN 'card' THEN length(digits) BETWEEN 14 AND 19 AND {luhn} ELSE length(digits) BETWEEN 10 AND 15 END)"""
+
+    masked = "line"
+    for p in plain.values():
+        masked = f"regexp_replace({masked}, '{p}', ' ', 'g')"
+    terms = lambda of: rf"unnest(list_distinct(regexp_extract_all(lower({of}), '\p{{L}}{{3,}}')))"
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t FROM documents),
+{spans('base', 'docs')},
+lines AS (SELECT id * 1000000 + i AS id, id AS doc, line FROM (SELECT id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM docs)),
+held_lines AS (SELECT id, line AS t FROM lines WHERE doc IN (SELECT id FROM base)),
+{spans('lb', 'held_lines')},
+es AS (SELECT DISTINCT id, kind || ':' || lower(v) AS e FROM lb),
+n_e AS (SELECT e, count(*) AS n_e FROM es JOIN lines USING (id) GROUP BY e HAVING count(*) >= {support} AND min(line) <> max(line)),
+lt AS (SELECT id, line, {terms(masked)} AS term FROM lines WHERE id IN (SELECT id FROM es)),
+pairs AS (SELECT e, n_e, term, count(*) AS n_et FROM es JOIN n_e USING (e) JOIN lt USING (id) GROUP BY e, n_e, term HAVING count(*) >= {support} AND min(line) <> max(line)),
+n_t AS (SELECT term, count(*) AS n_t FROM (SELECT {terms('line')} AS term FROM lines) WHERE term IN (SELECT term FROM pairs) GROUP BY term),
+total AS (SELECT count(*) AS n FROM lines),
+told AS (SELECT e, term FROM pairs JOIN n_t USING (term), total WHERE n > n_e AND log2(n_et * n / (n_e * CAST(greatest(n_t, n_et) AS DOUBLE))) / log2(n / CAST(n_e AS DOUBLE)) >= {generalise}),
+doc_terms AS (SELECT DISTINCT doc AS id, term FROM es JOIN told USING (e) JOIN lines USING (id)),
+runs AS (SELECT id, regexp_extract_all(t, '\\p{{L}}+') AS m, string_split_regex(t, '\\p{{L}}+') AS g FROM docs WHERE id IN (SELECT id FROM doc_terms)),
+run_i AS (SELECT id, m, g, unnest(range(1, len(m) + 1)) AS i FROM runs),
+hits AS (SELECT id, m[i] AS v, CAST({size('g[1:i]')} + {size('m[1:i - 1]')} AS BIGINT) AS start FROM run_i SEMI JOIN doc_terms ON run_i.id = doc_terms.id AND lower(run_i.m[run_i.i]) = doc_terms.term),
+term_spans AS (SELECT id, 'term' AS kind, 4 AS o, start, start + length(v) AS stop, v FROM hits h WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.id = h.id AND b.start < h.start + length(h.v) AND h.start < b.stop)),
+every AS (SELECT * FROM base UNION ALL SELECT * FROM term_spans),
+n AS (SELECT id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone, count(*) FILTER (kind = 'term') AS n_terms,
+  string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, o) FILTER (kind <> 'term') AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, o) AS spans FROM every GROUP BY id)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_terms, 0) AS n_terms
+FROM docs LEFT JOIN n USING (id)"""

@@ -95,4 +95,5 @@ FROM embeddings e JOIN comp c ON c.vec_id = e.vec_id LEFT JOIN n ON n.vec_id = e
     "op7_source_mix": mixing.SQL,
     "op9_spaced_seed_decontamination": decontaminate.sql(),
     "op1_suffix_array_repeats": suffix_dedup.sql(50),
+    "op3_information_theoretic_pii": pii.sql(),
 }
