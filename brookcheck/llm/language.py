@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 WINDOW, DIM, WIDTHS, FILTERS = 192, 8, (2, 3, 4), 12
 _SPAN = max(WIDTHS)
@@ -127,7 +128,7 @@ def _predict(net: ByteNet, size: int = 512):
                 np.add.at(out, np.array(owner), net.probabilities(x) * np.maximum(weight, 1)[:, None])
                 part.clear(), owner.clear()
 
-            for i, (text, ok) in enumerate(zip(pdf["text"], pdf["letters"], strict=True)):
+            for i, (text, ok) in enumerate(zip(pdf["text"], pdf["_letters"], strict=True)):
                 if not ok or not net.classes:
                     continue
                 rows = _windows(text.encode())
@@ -145,18 +146,17 @@ def _predict(net: ByteNet, size: int = 512):
             known = total > 0
             score = np.where(known, out[np.arange(len(out)), best] / np.where(known, total, 1), 0.0)
             names = np.array([*net.classes, "und"], object)
-            yield pdf.drop(columns=["letters"]).assign(lang_pred=names[np.where(known, best, len(net.classes))], score=np.clip(score, 0, 1))
+            yield pdf.drop(columns=["_letters"]).assign(_lang=names[np.where(known, best, len(net.classes))], _score=np.clip(score, 0, 1))
     return run
 
 
 def predict(docs: DataFrame, net: ByteNet) -> DataFrame:
-    """``docs`` with lang_pred and score; und and 0 where text is null or has no letter.
+    """``docs`` with _lang and _score; und and 0 where text is null or has no letter.
 
-    Nothing but text is read.  Columns named lang_pred, score or letters are replaced.
+    Nothing but text is read.  Other columns stay, whatever their names.
     """
-    rows = docs.drop("lang_pred", "score", "letters")
-    rows = rows.withColumn("letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    schema = rows.drop("letters").schema.add("lang_pred", "string").add("score", "double")
+    rows = docs.withColumn("_letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    schema = StructType([*docs.schema.fields, StructField("_lang", StringType()), StructField("_score", DoubleType())])
     return rows.mapInPandas(_predict(net), schema)
 
 
@@ -170,4 +170,4 @@ def identify(docs: DataFrame) -> DataFrame:
     net = train(docs)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     # Text stays out of what comes back from Python.
-    return predict(docs.select("doc_id", "text"), net).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+    return predict(docs.select("doc_id", "text"), net).select("doc_id", held.alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))

@@ -165,12 +165,12 @@ def sanitise(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(x["start"] >= s["at"], more).otherwise(s["out"]).alias("out"))
 
     new = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    new = keep(found.select("th", new.alias("new")).dropDuplicates(["th"]), "new")
+    new = keep(found.select(F.col("th").alias("_th"), new.alias("_new")).dropDuplicates(["_th"]), "new")
     clean = F.size(base_spans(F.coalesce("text", F.lit("")))) == 0
-    out = docs.where(~clean).withColumn("_th", F.xxhash64("text")).join(new.withColumnRenamed("th", "_th"), "_th", "left")
-    out = out.withColumn("text", F.coalesce("new", "text"))
+    out = docs.where(~clean).withColumn("_th", F.xxhash64("text")).join(new, "_th", "left")
+    out = out.withColumn("text", F.coalesce("_new", "text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("new").isNotNull(), F.length("new")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col("_new").isNotNull(), F.length("_new")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return docs.where(clean).unionByName(out.select(*docs.columns))
 
 

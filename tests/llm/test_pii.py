@@ -66,3 +66,9 @@ def test_terms_that_disclose_a_value_are_added(spark):
     clean = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert clean[0] == "the patient  wrote from [EMAIL] number ayes"
     assert clean[100] == rows[6][1]
+
+
+def test_sanitise_keeps_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "mail a@b.co now", "x", "y", "z", 15), (2, None, "x", "y", "z", 0)], "doc_id long, text string, base string, th string, terms string, n_chars int")
+    got = {r.doc_id: r for r in pii.sanitise(df).collect()}
+    assert got[1].text == "mail [EMAIL] now" and got[1].n_chars == 16 and got[1].base == "x" and got[2].text is None and got[2].n_chars == 0
