@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _SPACE = r"[\s\x{85}\p{Z}]+"
@@ -40,6 +40,12 @@ def problem(code: str, message: str, retryable: bool = False, found: Column | No
     return F.struct(F.lit(code).alias("code"), F.lit(message).alias("message"), F.lit(retryable).alias("retryable"), (empty if found is None else found).alias("issues"))
 
 
+def last_key_wins(df: DataFrame) -> DataFrame:
+    """Lets VARIANT objects repeat a key, the last of which counts; a setting of the session."""
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    return df
+
+
 # --- printed values -------------------------------------------------------------------
 
 

@@ -7,7 +7,7 @@ import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import blank, issues, or_else, problem, unicode_trim
+from ..functions.text import blank, issues, last_key_wins, or_else, problem, unicode_trim
 from ..schemas import CONFLICT, EMPTY, INVALID, NOT_FOUND
 from .topology import route_subject
 
@@ -91,7 +91,7 @@ def message_issues() -> Column:
 
 def validate_messages(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(messages, rejects)."""
-    return _with_issues(df, message_issues(), "data plane message is invalid")
+    return _with_issues(last_key_wins(df), message_issues(), "data plane message is invalid")
 
 
 def normalize_values(df: DataFrame, col: str) -> DataFrame:

@@ -12,7 +12,7 @@ import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import blank, issues, or_else, print_value, problem, unicode_trim, variant_type
+from ..functions.text import blank, issues, last_key_wins, or_else, print_value, problem, unicode_trim, variant_type
 from ..schemas import CONFLICT, EMPTY, INTERNAL, INVALID, NOT_FOUND, UNAVAILABLE, VIOLATION
 from .history import scope
 from .ingest import _with_issues, message_issues
@@ -29,7 +29,7 @@ def resolve_runtimes(messages: DataFrame, runtimes: DataFrame, most_broadcast: i
 def decode_payload(df: DataFrame) -> DataFrame:
     """Adds ``object`` MAP<STRING, VARIANT>, null unless the payload is a JSON object."""
     v = F.try_parse_json("payload")
-    return df.withColumn("object", F.when(variant_type(v).startswith("OBJECT"), F.try_variant_get(v, "$", "map<string,variant>")))
+    return last_key_wins(df).withColumn("object", F.when(variant_type(v).startswith("OBJECT"), F.try_variant_get(v, "$", "map<string,variant>")))
 
 
 def guard_messages(df: DataFrame) -> tuple[DataFrame, DataFrame]:

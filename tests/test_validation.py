@@ -62,6 +62,11 @@ def test_names_with_dots_and_quotes(spark):
     assert [v.rule for v in ok.first().violations] == ["c"]
 
 
+def test_the_last_of_repeated_keys_counts(spark):
+    ok, _ = run(spark, '{"x":1,"x":2}', [("a", "x", "equals", "2", "")])
+    assert ok.first().status == "passed"
+
+
 def test_incidents_and_redelivery(spark):
     at = lambda s: T + datetime.timedelta(seconds=s)
     ok, _ = run(spark, None, REQUIRED, messages=[("msg-1", 1, '{"status":"x"}', at(10)), ("msg-2", 2, '{"status":"x"}', at(20)), ("msg-3", 3, '{"order_id":1,"status":"x"}', at(30)), ("msg-2", 4, '{"status":"x"}', at(20))])
