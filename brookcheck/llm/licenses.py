@@ -186,5 +186,9 @@ def scan(docs: DataFrame, fit_lines: int = 4000, least: float = 0.85) -> DataFra
     are scanned like others.  Further columns are ignored; an empty table gives none.
     """
     lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).where(F.length("line") > 0)
-    sample = [r[0] for r in lines.select(F.substring("line", 1, 400).alias("line"), F.xxhash64("line").alias("h")).orderBy("h").limit(fit_lines).select("line").collect()]
+    total = docs.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0] or 1
+    draw = F.xxhash64("line")
+    # About twice the bound pass, so that no more than that reaches the driver from all tasks.
+    few = F.pmod(draw, F.lit(1 << 30)) < int(min(1.0, 2 * fit_lines / total) * (1 << 30))
+    sample = [r[0] for r in lines.where(few).select(F.substring("line", 1, 400).alias("line"), draw.alias("h")).orderBy("h").limit(fit_lines).select("line").collect()]
     return docs.select("doc_id", "text").mapInPandas(_scan(train(sorted(sample)), least), "doc_id long, line long, family string, probability double, similarity double")
