@@ -96,7 +96,9 @@ def similar_vectors(rows: DataFrame, cosine: float = 0.93, miss: float = 1e-3, f
 
     n = classes.count()
     width, tables = plan(n, cosine, miss)
-    sample = [r["vec"] for r in classes.select("v", "vec").orderBy("v").limit(fit_rows).select("vec").collect()]
+    # About twice the bound pass, so that no more than that reaches the driver from all tasks.
+    few = F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < int(min(1.0, 2 * fit_rows / max(n, 1)) * (1 << 30))
+    sample = [r["vec"] for r in classes.where(few).select("v", "vec").orderBy("v").limit(fit_rows).select("vec").collect()]
     models, starts = {}, 1
     for dim in {len(x) for x in sample}:
         x = np.array([y for y in sample if len(y) == dim])
