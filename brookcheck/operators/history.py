@@ -40,11 +40,12 @@ def activation_intervals(events: DataFrame) -> DataFrame:
     kind, key = scope(F.col("scope_kind"), F.col("scope_key"))
     e = events.where(F.col("event").isin("config.activated", "config.deactivated")).withColumn("scope_kind", kind).withColumn("scope_key", key)
     e = e.withColumn("at", F.coalesce(F.when(F.col("event") == "config.activated", F.col("activated_at")).otherwise(F.col("deactivated_at")), F.col("occurred_at")))
-    later = W.partitionBy("scope_kind", "scope_key").orderBy("at", "seq").rowsBetween(1, W.unboundedFollowing)
+    # Latest first: a frame that grows from the start is kept up row by row, one that shrinks to the end is made anew for each.
+    later = W.partitionBy("scope_kind", "scope_key").orderBy(F.desc("at"), F.desc("seq")).rowsBetween(W.unboundedPreceding, -1)
     up = F.when(F.col("event") == "config.activated", F.struct("at", "seq"))
-    e = e.withColumn("next", F.first(up, ignorenulls=True).over(later))
-    own = W.partitionBy("scope_kind", "scope_key", "version_id").orderBy("at", "seq").rowsBetween(1, W.unboundedFollowing)
-    e = e.withColumn("stop", F.first(F.when(F.col("event") == "config.deactivated", F.struct("at", "seq")), ignorenulls=True).over(own))
+    e = e.withColumn("next", F.last(up, ignorenulls=True).over(later))
+    own = W.partitionBy("scope_kind", "scope_key", "version_id").orderBy(F.desc("at"), F.desc("seq")).rowsBetween(W.unboundedPreceding, -1)
+    e = e.withColumn("stop", F.last(F.when(F.col("event") == "config.deactivated", F.struct("at", "seq")), ignorenulls=True).over(own))
     rows = e.where("event = 'config.activated'").withColumn("activated_at", F.col("at"))
     return rows.select(*INTERVAL, F.least(F.col("next.at"), F.col("stop.at")).alias("deactivated_at"), "seq")
 
