@@ -4,7 +4,9 @@ Bytes are embedded, filters of several widths slide over a window, each keeps
 its greatest response, and a softmax layer names the language.  Training takes
 windows spread over whole texts of a bounded, hash-chosen sample of labelled
 rows; prediction cuts every whole text into windows and averages their
-probabilities by length.
+probabilities by length.  A last class, none of the languages, is learned from
+junk and from made-up languages, and the score below which a text is rejected
+is set on held-out labelled rows.
 """
 
 from __future__ import annotations
@@ -24,13 +26,16 @@ _TAPS = np.concatenate([np.repeat((np.arange(_SPAN) < w).astype(np.float32), DIM
 
 
 class ByteNet:
-    """Weights of the network; classes are the language codes in order."""
+    """Weights of the network; classes are the language codes in order, followed by one output for none of them.
+
+    A text whose score is under ``least`` looks like no language that was learned.
+    """
 
     def __init__(self, classes: list[str], seed: int = 5):
         rng = np.random.default_rng(seed)
-        self.classes = classes
+        self.classes, self.least = classes, 0.25
         k, f = _TAPS.shape
-        self.w = {"e": rng.normal(0, 0.5, (256, DIM)), "c": rng.normal(0, 1 / np.sqrt(k), (k, f)) * _TAPS, "b": np.zeros(f), "o": rng.normal(0, 0.1, (f, len(classes))), "p": np.zeros(len(classes))}
+        self.w = {"e": rng.normal(0, 0.5, (256, DIM)), "c": rng.normal(0, 1 / np.sqrt(k), (k, f)) * _TAPS, "b": np.zeros(f), "o": rng.normal(0, 0.1, (f, len(classes) + 1)), "p": np.zeros(len(classes) + 1)}
         self.w = {n: x.astype(np.float32) for n, x in self.w.items()}
 
     def _patches(self, x: np.ndarray) -> np.ndarray:
@@ -84,6 +89,50 @@ def _windows(data: bytes) -> np.ndarray:
     return np.frombuffer(data.ljust(n * WINDOW, b"\0"), np.uint8).reshape(n, WINDOW)
 
 
+#: First letters of scripts, and how many follow.
+_SCRIPTS = ((0x41, 26), (0x61, 26), (0xE0, 30), (0x100, 100), (0x3B1, 25), (0x430, 32), (0x5D0, 27), (0x627, 36), (0x905, 50), (0xE01, 46), (0x10D0, 33), (0x3041, 83), (0x4E00, 3000), (0xAC00, 3000))
+
+
+def _made_up(rng: np.random.Generator) -> bytes:
+    """A window in a language that is made up here: words of a few syllables over few letters of one script."""
+    first, n = _SCRIPTS[rng.integers(len(_SCRIPTS))] if rng.random() < 0.5 else (0x61, 26)
+    letters = [chr(first + i) for i in rng.permutation(n)[: rng.integers(8, 27)]]
+    if first == 0x61 and rng.random() < 0.5:
+        letters += [chr(i) for i in rng.integers(0xE0, 0x17F, 4)]
+    vowels = letters[: len(letters) // 3]
+    parts = ["".join((*rng.choice(letters, rng.integers(0, 3)), rng.choice(vowels), *rng.choice(letters, rng.integers(0, 2)))) for _ in range(rng.integers(10, 80))]
+    words = ["".join(rng.choice(parts, rng.integers(1, 4))) for _ in range(40)]
+    return " ".join(words).encode()[:WINDOW].ljust(WINDOW, b"\0")
+
+
+def _none_of_them(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """As many windows that are in no language: shuffled bytes, letters swapped for others, random characters, made-up languages."""
+    out = x.copy()
+    for row, kind in zip(out, rng.integers(0, 4, len(out)), strict=True):
+        n = int((row != 0).sum())
+        if kind == 0:
+            row[:n] = rng.permutation(row[:n])
+        elif kind == 1:
+            turn, other = np.arange(256), rng.permutation(26)
+            turn[97:123], turn[65:91] = 97 + other, 65 + other
+            turn[128:192] = 128 + rng.permutation(64)
+            row[:n] = turn[row[:n]]
+        elif kind == 2:
+            row[:n] = rng.integers(33, 127 if rng.random() < 0.7 else 256, n)
+            row[:n][rng.random(n) < rng.uniform(0, 0.25)] = 32
+        else:
+            row[:] = np.frombuffer(_made_up(rng), np.uint8)
+            row[n:] = 0
+    return out
+
+
+def _shortened(x: np.ndarray, rng: np.random.Generator, share: float = 0.25) -> np.ndarray:
+    """Copies of which a share ends early, as short texts do."""
+    out = x.copy()
+    out[np.arange(WINDOW) >= np.where(rng.random(len(x)) < share, rng.integers(12, WINDOW, len(x)), WINDOW)[:, None]] = 0
+    return out
+
+
 def _spread(each: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -96,6 +145,14 @@ def _spread(each: int):
     return run
 
 
+def _drawn(rows: DataFrame, counts: dict[str, int], fit_rows: int) -> DataFrame:
+    """About ``fit_rows`` of the labelled rows, by a hash of the text, shared alike among languages."""
+    share = fit_rows / len(counts)
+    chance = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, share / n))])
+    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)
+    return rows.where(draw < F.element_at(chance, F.col("lang"))).select("text", "lang")
+
+
 def train(docs: DataFrame, fit_rows: int = 3000, each: int = 4, most_classes: int = 200) -> ByteNet:
     """A network fitted to about ``fit_rows`` rows (doc_id, text, lang), shared alike among languages.
 
@@ -106,20 +163,36 @@ def train(docs: DataFrame, fit_rows: int = 3000, each: int = 4, most_classes: in
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_classes).collect()}
     if not counts:
         return ByteNet([])
-    share = fit_rows / len(counts)
-    chance = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, share / n))])
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)
-    picked = rows.where(draw < F.element_at(chance, F.col("lang"))).select("text", "lang")
+    picked = _drawn(rows, counts, fit_rows)
     sample = picked.mapInPandas(_spread(each), "lang string, window binary").orderBy(F.xxhash64("window")).limit(2 * fit_rows * each).toPandas()
     classes = sorted(counts)
     x = np.frombuffer(b"".join(sample["window"]), np.uint8).reshape(-1, WINDOW)
-    return ByteNet(classes).fit(x, sample["lang"].map({c: i for i, c in enumerate(classes)}).to_numpy())
+    y = sample["lang"].map({c: i for i, c in enumerate(classes)}).to_numpy()
+    rng = np.random.default_rng(7)
+    x = _shortened(x, rng)
+    none = _none_of_them(x[rng.random(len(x)) < 0.5], rng)
+    return ByteNet(classes).fit(np.concatenate([x, none]), np.concatenate([y, np.full(len(none), len(classes))]))
+
+
+def calibrate(docs: DataFrame, net: ByteNet, lost: float = 0.001, fit_rows: int = 3000) -> ByteNet:
+    """Sets ``net.least`` to half of the score that all but a share ``lost`` of the held-out labelled rows reach.
+
+    As one output stands for none of the languages, scores are not bound from
+    below by the number of languages: texts of none score near 0.  Fewer than
+    1 / ``lost`` held-out rows cannot tell that share, and lower it in proportion.
+    """
+    held = docs.where("lang is not null and crc32(cast(doc_id as string)) % 3 = 1").where(F.col("text").rlike(r"\p{L}"))
+    counts = {r["lang"]: r["count"] for r in held.groupBy("lang").count().collect() if r["lang"] in net.classes}
+    if counts:
+        scores = [r[0] for r in predict(_drawn(held, counts, fit_rows), net).orderBy(F.xxhash64("text")).limit(2 * fit_rows).select("_score").collect()]
+        net.least = float(np.clip(np.quantile(scores, lost) / 2 * min(1.0, lost * len(scores)), 0.05, 0.5)) if scores else net.least
+    return net
 
 
 def _predict(net: ByteNet, size: int = 512):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = np.zeros((len(pdf), max(1, len(net.classes))))
+            out = np.zeros((len(pdf), len(net.classes) + 1))
             part, owner, held = [], [], 0
 
             def flush():
@@ -142,7 +215,7 @@ def _predict(net: ByteNet, size: int = 512):
             if part:
                 flush()
             total = out.sum(axis=1)
-            best = out.argmax(axis=1)
+            best = out[:, : max(1, len(net.classes))].argmax(axis=1)
             known = total > 0
             score = np.where(known, out[np.arange(len(out)), best] / np.where(known, total, 1), 0.0)
             names = np.array([*net.classes, "und"], object)
@@ -153,7 +226,7 @@ def _predict(net: ByteNet, size: int = 512):
 def predict(docs: DataFrame, net: ByteNet) -> DataFrame:
     """``docs`` with _lang and _score; und and 0 where text is null or has no letter.
 
-    Nothing but text is read.  Other columns stay, whatever their names.
+    _lang is the likeliest of the learned languages; texts of none of them have a score under ``net.least``.  Nothing but text is read.  Other columns stay, whatever their names.
     """
     rows = docs.withColumn("_letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     schema = StructType([*docs.schema.fields, StructField("_lang", StringType()), StructField("_score", DoubleType())])
