@@ -7,7 +7,9 @@ table.  Vectors that share a bucket of any table, and whose first 64 code bits
 are near, are candidates; cosines of the original vectors in double precision
 decide.  The substring grows with the logarithm of the number of vectors, so a
 bucket of unrelated vectors stays small, and the number of tables follows from
-the chance, at the threshold, that all of a substring's bits agree.
+the chance, at the threshold, that all of a substring's bits agree.  Codes are
+signs of centred vectors, between which the angle is wider where vectors have a
+direction in common; that chance is told from the sample after centring.
 """
 
 from __future__ import annotations
@@ -46,11 +48,37 @@ def learn(sample: np.ndarray, bits: int, starts: int, rounds: int = 25, seed: in
     return mean, np.concatenate(out, axis=1)
 
 
-def plan(n: int, cosine: float, miss: float) -> tuple[int, int]:
-    """(bits of a substring, tables): a pair at the threshold is missed by all tables with probability ``miss``."""
+def agreement(x: np.ndarray, mean: np.ndarray, axes: np.ndarray, cosine: float, seed: int = 12) -> np.ndarray:
+    """For each unit vector of a sample, the chance that a bit of it and of a vector at the threshold agree.
+
+    The other vector lies off in a random direction, or in that of another of
+    the sample, whichever makes the angle wider once both are centred and projected.
+    """
+    rng = np.random.default_rng(seed)
+    low = np.ones(len(x))
+    own = (x - mean) @ axes
+    for off in (rng.standard_normal(x.shape), x[rng.permutation(len(x))] - x):
+        off = off - (off * x).sum(axis=1, keepdims=True) * x
+        size = np.linalg.norm(off, axis=1, keepdims=True)
+        other = (cosine * x + math.sqrt(1 - cosine**2) * off / np.where(size > 0, size, 1) - mean) @ axes
+        lengths = np.linalg.norm(own, axis=1) * np.linalg.norm(other, axis=1)
+        angle = np.arccos(np.clip((own * other).sum(axis=1) / np.where(lengths > 0, lengths, 1), -1, 1))
+        low = np.where(size[:, 0] > 1e-9, np.minimum(low, 1 - angle / math.pi), low)
+    return np.where(low < 1, low, 1 - math.acos(cosine) / math.pi)
+
+
+def plan(n: int, agree: np.ndarray, miss: float) -> tuple[int, int]:
+    """(bits of a substring, tables): a pair at the threshold, whose bits agree with chances ``agree``, is missed by all tables with probability ``miss`` on average."""
     width = min(20, max(8, round(math.log2(max(n, 2))) - 2))
-    share = (1 - math.acos(min(1.0, max(-1.0, cosine))) / math.pi) ** width
-    return width, max(1, math.ceil(math.log(miss) / math.log(1 - share)))
+    share = np.clip(agree, 0.5, 1 - 1e-9) ** width
+    missed = lambda tables: float(np.mean(np.exp(tables * np.log1p(-share))))
+    low, high = 0, 1
+    while missed(high) > miss:
+        low, high = high, 2 * high
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (mid, high) if missed(mid) > miss else (low, mid)
+    return width, high
 
 
 def _encode(models: dict[int, tuple[np.ndarray, np.ndarray]], width: int, tables: int, starts: int):
@@ -95,15 +123,21 @@ def similar_vectors(rows: DataFrame, cosine: float = 0.93, miss: float = 1e-3, f
     classes = keep(base.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"), F.first("vec").alias("vec"), F.first("label").alias("label"), F.first("norm").alias("norm")), "classes")
 
     n = classes.count()
-    width, tables = plan(n, cosine, miss)
+    at_least = min(1.0, max(-1.0, cosine))
     # About twice the bound pass, so that no more than that reaches the driver from all tasks.
     few = F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < int(min(1.0, 2 * fit_rows / max(n, 1)) * (1 << 30))
     sample = [r["vec"] for r in classes.where(few).select("v", "vec").orderBy("v").limit(fit_rows).select("vec").collect()]
-    models, starts = {}, 1
-    for dim in {len(x) for x in sample}:
+    models, starts, agree = {}, 1, [np.array([1 - math.acos(at_least) / math.pi])]
+    units = {}
+    for dim in sorted({len(x) for x in sample}):
         x = np.array([y for y in sample if len(y) == dim])
+        units[dim] = x / np.linalg.norm(x, axis=1, keepdims=True)
+        agree.append(agreement(units[dim], *learn(units[dim], 64, 1), at_least))
+    agree = np.concatenate(agree)
+    width, tables = plan(n, agree, miss)
+    for dim, x in units.items():
         starts = math.ceil(tables * width / min(64, dim))
-        models[dim] = learn(x / np.linalg.norm(x, axis=1, keepdims=True), 64, starts)
+        models[dim] = learn(x, 64, starts)
 
     coded = classes.select("v", "vec").mapInPandas(_encode(models, width, tables, starts), "v long, code long, keys array<long>")
     labelled = coded.join(classes.select("v", "label", F.size("vec").alias("dim")), "v")
@@ -111,8 +145,8 @@ def similar_vectors(rows: DataFrame, cosine: float = 0.93, miss: float = 1e-3, f
     many = keep(slots.groupBy("bucket").count().where("count > 1").select("bucket"), "many")
     shared = keep(slots.join(many, "bucket"), "shared")
     drop(slots)
-    # The first 64 bits of a pair at 0.93 differ in 8 on average, with deviation 2.6.
-    flips = 64 * math.acos(cosine) / math.pi
+    # The first 64 bits of a pair at 0.93 differ in 8 on average, with deviation 2.6, where vectors have no direction in common.
+    flips = 64 * (1 - float(np.quantile(agree, 0.001)))
     near = int(flips + 5.5 * math.sqrt(flips * (1 - flips / 64)))
     a, b = shared.alias("a"), shared.alias("b")
     pairs = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.v") < F.col("b.v")) & F.expr(f"bit_count(a.code ^ b.code) <= {near}")).select(F.col("a.v").alias("a"), F.col("b.v").alias("b")).distinct()

@@ -25,6 +25,23 @@ def test_recall_near_the_threshold(spark):
     assert want.sum() > 500 and (have <= want).all() and have.sum() >= 0.99 * want.sum()
 
 
+def test_recall_of_vectors_with_a_common_direction(spark):
+    rng = np.random.default_rng(1)
+    unit = lambda z: z / np.linalg.norm(z, axis=-1, keepdims=True)
+    common = unit(rng.standard_normal(64))
+    x = unit(np.sqrt(0.65) * common + np.sqrt(0.35) * unit(rng.standard_normal((1200, 64))))
+    off = rng.standard_normal(x.shape)
+    y = 0.932 * x + np.sqrt(1 - 0.932**2) * unit(off - (off * x).sum(axis=1, keepdims=True) * x)
+    z = np.concatenate([x, y]).astype(np.float32)
+    got = {r.vec_id: r.n_links for r in embed_dedup.similar_vectors(spark.createDataFrame([(i, v.tolist(), 0, "x") for i, v in enumerate(z)], SCHEMA)).collect()}
+    w = unit(z.astype(float))
+    link = w @ w.T >= 0.93
+    np.fill_diagonal(link, False)
+    want = link.sum(axis=1)
+    have = np.array([got[i] for i in range(len(z))])
+    assert want.sum() >= 2400 and (have <= want).all() and have.sum() >= 0.99 * want.sum(), have.sum() / want.sum()
+
+
 def test_odd_vectors(spark):
     a = [1.0, 2.0, 3.0]
     rows = [(5, a, 1), (2, a, 1), (9, [2.0, 4.0, 6.0], 1), (3, a, 2), (4, a, None), (6, None, 1), (7, [0.0, 0.0, 0.0], 1), (8, [1.0, None, 3.0], 1), (10, [float("nan"), 2.0, 3.0], 1), (11, [float("inf"), 2.0, 3.0], 1), (12, [], 1), (13, [1.0, 2.0], 1), (None, a, 1)]
