@@ -3,11 +3,16 @@
 A seed is a fixed mask over eleven words that reads six and ignores five, so a
 substituted word hides only the seeds that read it.  Hashes of all seeds of the
 benchmark and of the documents are joined; a hit fixes an alignment of item and
-document, and the words that agree at it are counted over the whole item.
+document, and the words that agree at it are counted over the whole item, over
+its best passage, and along neighbouring alignments, as words that were put in
+or left out shift what follows.  Items too short for a seed are sought by pieces
+of which one is whole in any text that holds enough of them.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +23,10 @@ MASKS = ((0, 1, 3, 6, 7, 10), (0, 2, 3, 5, 9, 10))
 SPAN = 11
 #: Seeds of a benchmark up to this many are broadcast (24 bytes each); beyond, both sides are shuffled.
 BROADCAST_SEEDS = 500_000
+#: A passage of an item: so many consecutive words, of which so many agree at one alignment.
+PASSAGE, PASSAGE_LEAST = 30, 24
+#: Alignments up to so many words aside are added up; each change of alignment costs so many words.
+BAND, SHIFT_COSTS = 3, 2
 
 
 def _words(text: str):
@@ -32,30 +41,66 @@ def _seeds(df: DataFrame, key: str) -> DataFrame:
     return out.select(key, "p", F.explode(F.array(*[F.col(f"s.s{k}") for k in range(len(MASKS))])).alias("seed"))
 
 
+def _pieces(n: int, least: int) -> list[tuple[int, int]]:
+    """(offset, words) of equal parts of an item of ``n`` words; one stays whole if ``least`` words agree."""
+    parts = n - least + 1
+    at = [n * k // parts for k in range(parts + 1)]
+    return [(a, b - a) for a, b in zip(at, at[1:], strict=False)]
+
+
+def _short_seeds(df: DataFrame, key: str, pieces: dict[int, list[tuple[int, int]]], whole: bool) -> DataFrame:
+    """Like ``_seeds``, by pieces: those of short items, or where not ``whole`` all runs of words as long as a piece."""
+    run = lambda i, n: f"struct({i} as p, xxhash64({n}, {', '.join(f'h[{i} + {o}]' for o in range(n))}) as seed)"
+    if whole:
+        each = [f"if(size(h) = {n}, array({', '.join(run(f'{a}', m) for a, m in of)}), array())" for n, of in pieces.items()]
+    else:
+        each = [f"if(size(h) >= {n}, transform(sequence(0, size(h) - {n}), i -> {run('i', n)}), array())" for n in sorted({m for of in pieces.values() for _, m in of})]
+    return df.select(key, F.inline(F.expr(f"concat({', '.join(each)})")))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.6, least: int = 8) -> DataFrame:
     """doc_id, item_id, matched, item_words, start: documents that hold a benchmark item, at the alignment that matches best.
 
     An item is held when at least ``share`` of its words, and ``least`` of
     them, agree in place; ``start`` is the document's word at which the item
-    starts (below 0 where its head is cut off).  Words are compared in lower
+    starts (below 0 where its head is cut off).  It is also held when ``PASSAGE_LEAST`` of
+    ``PASSAGE`` consecutive words agree in place, whatever the item's length, or when its ``share``
+    agrees along alignments at most ``BAND`` words beside ``start``, each change of which costs ``SHIFT_COSTS``
+    words; matched is then the greatest count along them.  Alignments that hold the item as
+    a whole go before others.  Words are compared in lower
     case.  Ties go to the first start.  Null and empty texts and rows without an
-    id hold nothing; an item of fewer words than a seed spans has no seeds and is
-    not found.  Rows that repeat an id are looked at one by one and the best
+    id hold nothing; an item of fewer than ``least`` words is not found.
+    Rows that repeat an id are looked at one by one and the best
     is returned.  Further columns are ignored; an empty table gives none.
     """
     items = keep(benchmark.where("item_id is not null").select("item_id", _words("text").alias("h")).distinct(), "items")
-    theirs = keep(_seeds(items, "item_id").select("item_id", F.col("p").alias("q"), "seed").distinct(), "seeds")
-    ours = _seeds(docs.where("doc_id is not null").select("doc_id", _words("text").alias("h")), "doc_id")
-    small = theirs.count() <= BROADCAST_SEEDS
-    hits = ours.join(F.broadcast(theirs) if small else theirs, "seed")
-    hits = keep(hits.select("doc_id", "item_id", (F.col("p") - F.col("q")).alias("start")).distinct(), "hits")
+    words = docs.where("doc_id is not null").select("doc_id", _words("text").alias("h"))
+
+    def met(theirs: DataFrame, ours: DataFrame) -> DataFrame:
+        small = theirs.count() <= BROADCAST_SEEDS
+        hits = ours.join(F.broadcast(theirs) if small else theirs, "seed")
+        return hits.select("doc_id", "item_id", (F.col("p") - F.col("q")).alias("start"))
+
+    hits = met(keep(_seeds(items, "item_id").select("item_id", F.col("p").alias("q"), "seed").distinct(), "seeds"), _seeds(words, "doc_id"))
+    lengths = sorted(r[0] for r in items.where(F.size("h").between(least, SPAN - 1)).select(F.size("h")).distinct().collect())
+    if lengths:
+        pieces = {n: _pieces(n, max(least, math.ceil(share * n))) for n in lengths}
+        theirs = keep(_short_seeds(items, "item_id", pieces, True).select("item_id", F.col("p").alias("q"), "seed").distinct(), "seeds")
+        hits = hits.unionByName(met(theirs, _short_seeds(words, "doc_id", pieces, False)))
+    hits = keep(hits.distinct(), "hits")
     texts = docs.join(hits.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", _words("text").alias("h"))
     both = hits.join(texts, "doc_id").join(items.withColumnRenamed("h", "g"), "item_id")
-    agree = F.expr("size(filter(sequence(greatest(0, -start), least(size(g), size(h) - start) - 1), i -> h[start + i] = g[i]))")
+    agree = F.expr("transform(sequence(greatest(0, -start), least(size(g), size(h) - start) - 1), i -> h[start + i] = g[i])")
     both = both.where("least(size(g), size(h) - start) > greatest(0, -start)")
-    both = both.select("doc_id", "item_id", "start", agree.cast("long").alias("matched"), F.size("g").cast("long").alias("item_words"))
-    held = both.where((F.col("matched") >= least) & (F.col("matched") >= share * F.col("item_words")))
-    best = held.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("matched", "item_words", "start"), F.struct("matched", (-F.col("start")).alias("s"))).alias("b"))
+    both = both.withColumn("agree", agree).withColumn("matched", F.expr("size(filter(agree, x -> x))").cast("long")).withColumn("item_words", F.size("g").cast("long"))
+    enough = lambda c: (F.col(c) >= least) & (F.col(c) >= share * F.col("item_words"))
+    along = F.expr(f"""aggregate(sequence(0, size(g) - 1), array_repeat(0, {2 * BAND + 1}), (s, i) ->
+        transform(s, (x, d) -> greatest(x, array_max(s) - {SHIFT_COSTS}) + if(coalesce(get(h, start + i + d - {BAND}) = g[i], false), 1, 0)), s -> array_max(s))""")
+    passage = F.expr(f"exists(sequence(0, greatest(0, size(agree) - {PASSAGE})), j -> size(filter(slice(agree, j + 1, {PASSAGE}), x -> x)) >= {PASSAGE_LEAST})")
+    both = both.withColumn("whole", enough("matched"))
+    both = both.withColumn("matched", F.when(F.col("whole"), F.col("matched")).otherwise(F.greatest("matched", along.cast("long"))))
+    held = both.where(F.col("whole") | enough("matched") | passage)
+    best = held.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("matched", "item_words", "start"), F.struct("whole", "matched", (-F.col("start")).alias("s"))).alias("b"))
     return best.select("doc_id", "item_id", "b.matched", "b.item_words", F.col("b.start").cast("long").alias("start"))
 
 

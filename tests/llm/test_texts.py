@@ -72,6 +72,17 @@ def test_contamination(spark):
     assert decontaminate.contaminated(df, bench.limit(0)).count() == 0 and decontaminate.contaminated(df.limit(0), bench).count() == 0
 
 
+def test_contamination_by_passages_shifts_and_short_items(spark):
+    item = lambda n, c: [f"{c}{i}" for i in range(n)]
+    mid, long, even, ten, eight = item(59, "m"), item(300, "l"), item(40, "e"), item(10, "t"), item(8, "s")
+    around = lambda w: " ".join(["some", "words", *w, "and", "more", *[f"z{i}" for i in range(40)]])
+    texts = {1: mid[14:44], 2: long[60:210], 3: even[:20] + ["new"] + even[20:], 4: even[:19] + even[20:], 5: ten[:3] + ["a"] + ten[4:7] + ["b"] + ten[8:], 6: eight, 7: mid[:20], 8: ten[:6], 9: even[:12] + ["q"] * 9 + even[30:38]}
+    docs = spark.createDataFrame([(i, around(w)) for i, w in texts.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate((mid, long, even, ten, eight, item(7, "v")))], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.matched) for r in decontaminate.contaminated(docs, bench).collect())
+    assert got == [(1, 0, 30), (2, 1, 150), (3, 2, 38), (4, 2, 37), (5, 3, 8), (6, 4, 8)]
+
+
 def test_mix(spark):
     r = random.Random(3)
     rows = [(i, " ".join(["w"] * r.randrange(400)) if i % 17 else None, ["a", "b", None, "c"][i % 4], 1.0) for i in range(400)] + [(500, "one two", "tiny", 1.0), (500, "one two", "tiny", 1.0), (None, "x y z", "tiny", 1.0)]
