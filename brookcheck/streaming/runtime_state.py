@@ -8,8 +8,12 @@ not if it is older than the activation.
 
 from __future__ import annotations
 
+import heapq
+import pickle
+import tempfile
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -17,18 +21,55 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 STATE = "scope_kind string, scope_key string, set_id string, version_id string, activated_at timestamp"
 
 
+#: Changes that are sorted in memory at a time; of more, sorted runs are merged from files.
+RUN = 50_000
+_STEP = ["seq", "change", "at", "set_id", "version_id"]
+
+
+def _advance(now: tuple | None, r) -> tuple | None:
+    """The state (set_id, version_id, at) after a change; a time that is missing is neither newer nor older."""
+    if r.change == "activated":
+        return (r.set_id, r.version_id, r.at) if now is None or (now[2] is not None and r.at is not None and now[2] <= r.at) else now
+    if now is None or now[2] is None or r.at is None or None in now[:2]:
+        return now
+    return None if (now[0], now[1]) == (r.set_id, r.version_id) and now[2] <= r.at else now
+
+
+def _order(r):
+    return tuple((x is None, x) if x is not None else (True,) for x in (getattr(r, c) for c in _STEP))
+
+
+def _in_order(rows: Iterator[Row]) -> Iterator[Row]:
+    """``rows`` by seq; no more than ``RUN`` of them, and one of each run, are held at a time."""
+    def read(file):
+        file.seek(0)
+        while True:
+            try:
+                yield pickle.load(file)
+            except EOFError:
+                return
+
+    files, run = [], []
+    for r in rows:
+        run.append(r)
+        if len(run) >= RUN:
+            files.append(tempfile.TemporaryFile())
+            for x in sorted(run, key=_order):
+                pickle.dump(x, files[-1])
+            run = []
+    yield from heapq.merge(sorted(run, key=_order), *map(read, files), key=_order)
+    for f in files:
+        f.close()
+
+
 class _Cache(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.current = handle.getValueState("current", "set_id string, version_id string, activated_at timestamp")
 
     def handleInputRows(self, key, rows: Iterator[Row], timer_values) -> Iterator[Row]:
         now = self.current.get() if self.current.exists() else None
-        for r in sorted(rows, key=lambda r: r.seq):
-            if r.change == "activated":
-                if now is None or now[2] <= r.at:
-                    now = (r.set_id, r.version_id, r.at)
-            elif now is not None and (now[0], now[1]) == (r.set_id, r.version_id) and now[2] <= r.at:
-                now = None
+        for r in _in_order(rows):
+            now = _advance(now, r)
         if now is None:
             self.current.clear()
             yield Row(scope_kind=key[0], scope_key=key[1], set_id=None, version_id=None, activated_at=None)
@@ -45,19 +86,45 @@ def runtime_state(events: DataFrame) -> DataFrame:
     return events.groupBy("scope_kind", "scope_key").transformWithState(statefulProcessor=_Cache(), outputStructType=STATE, outputMode="update", timeMode="None")
 
 
+def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The last state of each scope; rows come sorted by scope and seq, and none but the state is held."""
+    scope, now = None, None
+    for pdf in batches:
+        out = []
+        for r in pdf.astype(object).where(pdf.notna(), None).itertuples(index=False):
+            if (r.scope_kind, r.scope_key) != scope:
+                if now is not None:
+                    out.append((*scope, *now))
+                scope, now = (r.scope_kind, r.scope_key), None
+            now = _advance(now, r)
+        yield pd.DataFrame(out, columns=["scope_kind", "scope_key", "set_id", "version_id", "activated_at"])
+    if now is not None:
+        yield pd.DataFrame([(*scope, *now)], columns=["scope_kind", "scope_key", "set_id", "version_id", "activated_at"])
+
+
 def runtime_state_batch(events: DataFrame) -> DataFrame:
-    """The state after all changes, as an ordered fold over each scope's changes; scopes without a runtime are left out."""
-    step = F.struct("seq", "change", "at", "set_id", "version_id")
-    ordered = events.groupBy("scope_kind", "scope_key").agg(F.array_sort(F.collect_list(step)).alias("steps"))
-    none = F.lit(None).cast("struct<set_id:string,version_id:string,activated_at:timestamp>")
-
-    def fold(s, r):
-        new = F.struct(r["set_id"].alias("set_id"), r["version_id"].alias("version_id"), r["at"].alias("activated_at"))
-        same = (s["set_id"] == r["set_id"]) & (s["version_id"] == r["version_id"]) & (s["activated_at"] <= r["at"])
-        return (F.when(r["change"] == "activated", F.when(s.isNull() | (s["activated_at"] <= r["at"]), new).otherwise(s))
-                .when(F.coalesce(same, F.lit(False)), none).otherwise(s))
-
-    return ordered.select("scope_kind", "scope_key", F.aggregate("steps", none, fold).alias("s")).where("s is not null").select("scope_kind", "scope_key", "s.set_id", "s.version_id", "s.activated_at")
+    """The state after all changes in the order of seq; scopes without a runtime are left out.
+
+    The newest activation of a scope replaces whatever is current when it comes,
+    and nothing but a clearing removes it: both are aggregates that are combined
+    before the shuffle.  Only changes that follow such a clearing, where an older
+    activation may have come late, and scopes with a missing time or seq are
+    folded row by row.
+    """
+    by = ["scope_kind", "scope_key"]
+    e = events.select(*by, *_STEP).withColumn("o", F.struct(*_STEP))
+    up = F.col("change") == "activated"
+    newest = e.groupBy(*by).agg(F.max(F.when(up, F.struct("at", "o"))).alias("top"), F.max(F.col("at").isNull() | F.col("seq").isNull()).alias("odd"))
+    top = newest.select(F.col("scope_kind").alias("k"), F.col("scope_key").alias("y"), F.col("top.at").alias("a"), F.col("top.o").alias("ao"), "odd").where("ao is not null")
+    met = F.expr("scope_kind <=> k and scope_key <=> y")
+    clear = e.where(~up).join(top, met & ~F.col("odd") & (F.col("set_id") == F.col("ao.set_id")) & (F.col("version_id") == F.col("ao.version_id")) & (F.col("at") >= F.col("a")) & (F.col("o") > F.col("ao")))
+    clear = clear.groupBy(*by).agg(F.min("o").alias("c")).select(F.col("scope_kind").alias("ck"), F.col("scope_key").alias("cy"), "c")
+    known = top.join(clear, F.expr("ck <=> k and cy <=> y"), "left").select("k", "y", "ao", "odd", "c")
+    out = known.where("c is null and not odd").select(F.col("k").alias("scope_kind"), F.col("y").alias("scope_key"), "ao.set_id", "ao.version_id", F.col("ao.at").alias("activated_at"))
+    # An activation that came after the clearing is older than the one cleared.
+    late = e.join(known.where("c is not null or odd").select("k", "y", "c", "odd"), met & (F.col("odd") | (F.col("o") > F.col("c")))).select(*by, *_STEP)
+    late = late.repartition(*by).sortWithinPartitions(*by, *[F.asc_nulls_last(c) for c in _STEP])
+    return out.unionByName(late.mapInPandas(_fold, STATE))
 
 
 def active_runtime(state: DataFrame, kind: str = "", key: str = "") -> DataFrame:

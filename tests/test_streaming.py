@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import datetime
+import random
+
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from brookcheck.operators import results
 from brookcheck.plans import fixtures as fx
 from brookcheck.schemas import RECORD
 from brookcheck.sources.files import read_records
+from brookcheck.streaming import runtime_state
 from brookcheck.streaming.pipeline import incidents_stream, process, start_pipeline
 
 DATA = "/root/testdata/sf0.001"
@@ -47,5 +52,43 @@ def test_redeliveries_are_dropped_in_the_window_and_incidents_grow(spark, tmp_pa
     assert sorted(last.collect()) == sorted(want.collect())
 
 
+def _changes(n, scopes=5, seed=3):
+    r = random.Random(seed)
+    at = lambda: datetime.datetime(2026, 1, 1) + datetime.timedelta(minutes=r.randrange(40))
+    return [(i, r.choice(("activated", "cleared")), at() if scope % 4 or i % 7 else None, "tenant", f"s{scope}", f"set{r.randrange(2)}", f"v{r.randrange(2)}") for i in range(n) for scope in [r.randrange(scopes)]]
+
+
+CHANGE = "seq long, change string, at timestamp, scope_kind string, scope_key string, set_id string, version_id string"
+
+
+def _folded(rows):
+    state = {}
+    for r in sorted(rows):
+        now = state.get(r[4])
+        if r[1] == "activated":
+            if now is None or (now[2] and r[2] and now[2] <= r[2]):
+                state[r[4]] = (r[5], r[6], r[2])
+        elif now is not None and now[2] and r[2] and now[:2] == r[5:7] and now[2] <= r[2]:
+            state[r[4]] = None
+    return sorted((k, *v) for k, v in state.items() if v)
+
+
+def test_runtime_state_equals_the_fold_without_gathering_a_scope(spark, capsys):
+    for seed in range(4):
+        rows = _changes((60, 25, 400, 9)[seed], seed=seed, scopes=(5, 9, 7, 4)[seed])
+        df = spark.createDataFrame(rows, CHANGE)
+        out = runtime_state.runtime_state_batch(df)
+        assert sorted(tuple(r)[1:] for r in out.collect()) == _folded(rows)
+    out.explain()
+    assert "collect_list" not in capsys.readouterr().out
+
+
+def test_changes_are_ordered_by_runs(monkeypatch):
+    monkeypatch.setattr(runtime_state, "RUN", 7)
+    rows = [Row(**dict(zip([c.split()[0] for c in CHANGE.split(", ")], x, strict=True))) for x in _changes(50)]
+    random.Random(1).shuffle(rows)
+    assert [r.seq for r in runtime_state._in_order(iter(rows))] == list(range(50))
+
+
 def test_record_schema():
     assert RECORD.startswith("topic string")
