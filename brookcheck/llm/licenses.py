@@ -1,6 +1,6 @@
 """Licence statements by a trained paragraph classifier.
 
-Word uni- and bigrams of short windows of each line feed a sparse logistic
+Word uni- and bigrams of short windows of each line and paragraph feed a sparse logistic
 regression over licence families and an unknown class.  It is trained in numpy
 on varied copies of the templates and on a bounded sample of corpus lines;
 temperature and threshold are set on held-out copies and lines, so that
@@ -75,44 +75,67 @@ class Classifier:
         z = np.exp((logits - logits.max(axis=1, keepdims=True)) / self.temperature)
         return z / z.sum(axis=1, keepdims=True)
 
-    def confirm(self, family: int, words: np.ndarray) -> float:
-        """Share of a template's words that the window holds in order, of the best template that starts and goes on as it stands."""
-        best, own = 0.0, [int(x) for x in words]
+    def found(self, family: int, words: np.ndarray) -> Iterator[tuple[int, float, int, int]]:
+        """(words that agree in order, their share of the template, start, end) of each place where a template starts and goes on as it stands."""
+        own = [int(x) for x in words]
         for template in self.templates[family]:
             k, width = len(template), len(template) + 3
             for at in (i for i, w in enumerate(own) if w in template[:2]):
-                row = [0] * (k + 1)
-                for w in own[at:at + width]:
+                row, end = [0] * (k + 1), at
+                for n, w in enumerate(own[at:at + width], at + 1):
                     new = row[:]
                     for j in range(k):
                         new[j + 1] = row[j] + 1 if w == template[j] else max(row[j + 1], new[j])
+                    end = n if new[k] > row[k] else end
                     row = new
-                best = max(best, row[k] / k)
-        return best
+                yield row[k], row[k] / k, at, end
 
-    def scan(self, text: str, least: float) -> list[tuple[int, str, float, float]]:
-        """(line, family, probability, similarity) of each line with a confirmed statement."""
-        words, line = _hashes(text)
-        if not len(words):
-            return []
+    def confirm(self, family: int, words: np.ndarray) -> float:
+        """Share of a template's words that the window holds in order, of the best template that starts and goes on as it stands."""
+        return max((alike for _, alike, _, _ in self.found(family, words)), default=0.0)
+
+    def _among(self, words: np.ndarray, part: np.ndarray, least: float) -> Iterator[tuple[int, float, int, int, int, float]]:
+        """(words that agree, probability, start, end, family, similarity) of statements in windows that stay in one ``part``."""
         total = np.zeros((len(words) + 1, len(FAMILIES) + 1))
-        ids = _features(words, line)
+        ids = _features(words, part)
         np.cumsum(self.weights[ids[:, 0]] + self.weights[ids[:, 1]], axis=0, out=total[1:])
-        first = np.flatnonzero(np.diff(line, prepend=-1))
+        first = np.flatnonzero(np.diff(part, prepend=-1))
         n = np.diff(first, append=len(words))
         steps = np.maximum(1, -(-(n - WINDOW) // STEP) + 1)
         at = np.repeat(first, steps) + STEP * (np.arange(steps.sum()) - np.repeat(np.cumsum(steps) - steps, steps))
-        to = np.minimum(at + WINDOW, np.repeat(first + n, steps))
-        p = self.probabilities(total[to] - total[at] + self.weights[-1])
-        best = p[:, :-1].max(axis=1)
-        out: dict[int, tuple[int, str, float, float]] = {}
-        for i in np.flatnonzero(best >= self.threshold):
-            family = int(p[i, :-1].argmax())
-            alike = self.confirm(family, words[at[i]:to[i]])
-            k = int(line[at[i]])
-            if alike >= least and (k not in out or out[k][2] < best[i]):
-                out[k] = (k, FAMILIES[family], float(best[i]), alike)
-        return [out[k] for k in sorted(out)]
+        stop = np.repeat(first + n, steps)
+        to = np.minimum(at + WINDOW, stop)
+        p = self.against_unknown(total[to] - total[at] + self.weights[-1])
+        for i, family in np.argwhere(p >= self.threshold):
+            # A statement that starts in the window may end after it.
+            for agree, alike, start, end in self.found(family, words[at[i]:min(to[i] + STEP, stop[i])]):
+                if alike >= least:
+                    yield agree, float(p[i, family]), int(at[i]) + start, int(at[i]) + end, int(family), alike
+
+    def against_unknown(self, logits: np.ndarray) -> np.ndarray:
+        """Probability of each family against the unknown class, never less than among all, so that one family does not hide another."""
+        return 1 / (1 + np.exp(np.clip((logits[:, -1:] - logits[:, :-1]) / self.temperature, -700, 700)))
+
+    def scan(self, text: str, least: float) -> list[tuple[int, str, float, float]]:
+        """(line, family, probability, similarity) of each line and family of which a confirmed statement starts there.
+
+        Windows stay in a line, and again in a paragraph.  Of statements that overlap the one that agrees in more words counts.
+        """
+        words, line = _hashes(text)
+        if not len(words):
+            return []
+        hits = set(self._among(words, line, least))
+        paragraph = np.cumsum(np.diff(line, prepend=line[0]) > 1)
+        if paragraph[-1] < np.count_nonzero(np.diff(line)):
+            hits |= set(self._among(words, paragraph, least))
+        out: dict[tuple[int, int], tuple[float, float]] = {}
+        taken = np.zeros(len(words), bool)
+        for _, p, start, end, family, alike in sorted(hits, key=lambda x: (-x[0], -x[1], *x[2:])):
+            if not taken[start:end].any():
+                taken[start:end] = True
+                key = (int(line[start]), family)
+                out[key] = max(out.get(key, (0.0, 0.0)), (p, alike))
+        return [(k, FAMILIES[f], *out[k, f]) for k, f in sorted(out)]
 
 
 def _varied(rng: np.random.Generator, noise: list[str], copies: int) -> list[tuple[str, int]]:
@@ -178,9 +201,9 @@ def _scan(classifier: Classifier, least: float):
 
 
 def scan(docs: DataFrame, fit_lines: int = 4000, least: float = 0.85) -> DataFrame:
-    """doc_id, line, family, probability, similarity: one row per line that holds a licence statement.
+    """doc_id, line, family, probability, similarity: one row per line and family of which a licence statement starts there.
 
-    Lines are counted from 0.  ``fit_lines`` bounds the corpus lines, taken by a
+    Statements may go on over line feeds, up to a blank line.  Lines are counted from 0.  ``fit_lines`` bounds the corpus lines, taken by a
     hash, that train the unknown class; every line of every text is classified.
     Null and empty texts have none.  Rows without doc_id, and repeated rows,
     are scanned like others.  Further columns are ignored; an empty table gives none.

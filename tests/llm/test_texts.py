@@ -139,6 +139,18 @@ def test_licences(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_wrapped_licences_and_two_in_a_line(spark):
+    mit = "MIT licence\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files"
+    bsd = "x\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met"
+    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that"
+    two = "This code is licensed under the MIT License and the manual is licensed under CC BY-SA 4.0."
+    lesser = "This library is licensed under the GNU Lesser General Public License."
+    filler = [(100 + i, f"some words about topic {i} and nothing else of note") for i in range(200)]
+    rows = list(enumerate((mit, bsd, isc, two, lesser))) + filler
+    got = sorted((r.doc_id, r.line, r.family) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, 2, "mit"), (1, 1, "bsd"), (2, 0, "isc"), (3, 0, "cc-by-sa"), (3, 0, "mit"), (4, 0, "lgpl")]
+
+
 @pytest.fixture(scope="module")
 def documents(spark):
     return spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
