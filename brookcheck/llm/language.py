@@ -158,9 +158,12 @@ def train(docs: DataFrame, fit_rows: int = 3000, each: int = 4, most_classes: in
 
     Rows without text, letters or lang, and those whose crc32(doc_id as text)
     mod 3 is 1 or unknown, teach nothing.  ``each``: windows of a text.
+    More than ``most_classes`` languages are refused with a ValueError.
     """
     rows = docs.where("lang is not null and crc32(cast(doc_id as string)) % 3 <> 1").where(F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_classes).collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(most_classes + 1).collect()}
+    if len(counts) > most_classes:
+        raise ValueError(f"more than {most_classes} labelled languages; raise most_classes to learn them all")
     if not counts:
         return ByteNet([])
     picked = _drawn(rows, counts, fit_rows)

@@ -171,3 +171,9 @@ def test_language_of_odd_rows(spark):
     assert all(got[i].lang_pred == ("de" if i % 2 else "en") for i in range(60)) and got[None].lang_pred == "en" and not got[None].held_out
     assert language.identify(df.limit(0)).count() == 0
     assert {r.lang_pred for r in language.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_more_languages_than_the_bound_are_refused(spark):
+    df = spark.createDataFrame([(i, "some text", f"l{i}") for i in range(20)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="most_classes"):
+        language.train(df, most_classes=5)
