@@ -177,3 +177,36 @@ def test_more_languages_than_the_bound_are_refused(spark):
     df = spark.createDataFrame([(i, "some text", f"l{i}") for i in range(20)], "doc_id long, text string, lang string")
     with pytest.raises(ValueError, match="most_classes"):
         language.train(df, most_classes=5)
+
+
+def crossed(n=60, seed=5):
+    """Texts around one passage that differ to its left and right in all combinations, so that no neighbour shares the most on both sides."""
+    r = random.Random(seed)
+    core = [f"c{i}" for i in range(24)]
+    left, right = [[f"{s}{k}_{i}" for i in range(40)] for s in "l" for k in range(3)], [[f"{s}{k}_{i}" for i in range(40)] for s in "r" for k in range(3)]
+    rows = []
+    for i in range(n):
+        a, b = r.choice(left)[:], r.choice(right)[:]
+        a[: 40 - r.randrange(41)] = [f"x{i}_{k}" for k in range(40)][: 1]
+        cut = r.randrange(41)
+        rows.append((i, " ".join([*a, *core, *b[:cut], f"y{i}"])))
+    return rows
+
+
+@pytest.mark.parametrize("near,hot", [(4, 20_000), (1, 20_000), (1, 7)])
+def test_crossed_repeats_equal_brute_force(spark, monkeypatch, near, hot):
+    monkeypatch.setattr(suffix_dedup, "NEAR", near)
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rows = crossed()
+    want = brute_repeats(rows, 50)
+    got = suffix_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), 50).collect()
+    assert len(want) > 20 and sorted([(x.doc_id, x.spans) for x in got], key=str) == want
+
+
+def test_matches_come_from_neighbours_in_the_order(spark, monkeypatch):
+    """Two texts that share one passage need no lookup, and without comparison nothing is found."""
+    shared = " ".join(f"p{i}" for i in range(90))
+    df = spark.createDataFrame([(1, f"a b c {shared} d"), (2, f"e {shared} f g")], "doc_id long, text string")
+    assert {(r.doc_id, r.spans) for r in suffix_dedup.repeated_passages(df, 50).collect()} == {(1, "3:93"), (2, "1:91")}
+    monkeypatch.setattr(suffix_dedup, "_shared", lambda x, y: x[:, 0].astype(int) * 0)
+    assert suffix_dedup.repeated_passages(df, 50).count() == 0
