@@ -59,6 +59,46 @@ def test_repeats_equal_brute_force(spark):
     assert suffix_dedup.repeated_passages(df.limit(0)).count() == 0
 
 
+def docs_of(spark, texts):
+    return spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+
+
+def agreeing(texts, items, share=0.6, least=8):
+    """(doc, item) of pairs of which enough words agree at one alignment, by trying all of them."""
+    out = set()
+    for d, t in texts.items():
+        h = t.split()
+        for i, g in items.items():
+            for start in range(-len(g) + 1, len(h)):
+                n = sum(0 <= start + k < len(h) and h[start + k] == w for k, w in enumerate(g))
+                if n >= least and n >= share * len(g):
+                    out.add((d, i))
+    return out
+
+
+def test_recall_where_two_in_five_words_are_substituted(spark):
+    """Against the rule by brute force, items of 15 to 59 words; blocks of the benchmark change nothing."""
+    r = random.Random(12)
+    items = {i: [f"w{r.randrange(3000)}" for _ in range(r.randrange(15, 60))] for i in range(60)}
+    texts = {}
+    for d in range(240):
+        g = items[d % 60][:]
+        for k in r.sample(range(len(g)), int(0.39 * len(g))):
+            g[k] = f"s{r.randrange(9999)}"
+        texts[d] = " ".join(["pre"] * r.randrange(5) + g + [f"w{r.randrange(3000)}" for _ in range(60)])
+    want = agreeing(texts, items)
+    assert len(want) >= 235
+    bench = spark.createDataFrame([(i, " ".join(g)) for i, g in items.items()], "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontaminate.contaminated(docs_of(spark, texts), bench).collect()}
+    assert len(got & want) >= 0.98 * len(want) and {d % 60 for d, _ in got} == {i for _, i in got}
+    many = decontaminate.BROADCAST_SEEDS
+    try:
+        decontaminate.BROADCAST_SEEDS = 3000
+        assert {(x.doc_id, x.item_id) for x in decontaminate.contaminated(docs_of(spark, texts), bench).collect()} == got
+    finally:
+        decontaminate.BROADCAST_SEEDS = many
+
+
 def test_contamination(spark):
     item = [f"b{i}" for i in range(40)]
     sub = item[:]
@@ -69,6 +109,7 @@ def test_contamination(spark):
     bench = spark.createDataFrame([(10, " ".join(item), "q"), (11, "too short", "q"), (12, None, "q"), (10, " ".join(item), "q")], "item_id long, text string, start string")
     got = sorted(tuple(r) for r in decontaminate.contaminated(df, bench).collect())
     assert got == [(1, 10, 40, 40, 2), (2, 10, 36, 40, 0), (4, 10, 30, 40, -10), (8, 10, 40, 40, 0)]
+    assert [r.doc_id for r in decontaminate.contaminated(docs_of(spark, {1: "too short", 2: "it is too short a text", 3: "one of four words there"}), bench.unionByName(spark.createDataFrame([(13, "of four words there", "q")], bench.schema))).orderBy("doc_id").collect()] == [1, 3]
     assert decontaminate.contaminated(df, bench.limit(0)).count() == 0 and decontaminate.contaminated(df.limit(0), bench).count() == 0
 
 
