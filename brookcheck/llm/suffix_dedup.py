@@ -184,7 +184,9 @@ def repeated_passages(docs: DataFrame, least: int = 50) -> DataFrame:
     suffixes = texts.select(*unit, "text", "ps").mapInPandas(_suffixes(left, right), "th long, tl long, shard long, hot boolean, p long, far long, near long, n long, suffix binary, before binary")
     compared = suffixes.repartition("shard").sortWithinPartitions("shard", "suffix", "before", "th", "p").mapInPandas(_compare(left, right, least), "th long, tl long, a long, e long, run long, kind int")
     compared = keep(compared, "compared")
-    shared = compared.where("kind > 0").groupBy("run").agg(F.min("th").alias("lo"), F.max("th").alias("hi"), F.min("kind").alias("kind")).where("lo <> hi and kind = 1").select("run")
+    # Written, so that the join reads two plain exchanges, which adaptive execution splits where a run is very common.
+    shared = compared.where("kind > 0").groupBy("run").agg(F.min("th").alias("lo"), F.max("th").alias("hi"), F.min("kind").alias("kind")).where("lo <> hi and kind = 1")
+    shared = keep(shared.select("run"), "shared")
     spans = compared.where("kind = 0").select(*unit, "a", "e").unionByName(compared.where("kind = 1").join(shared, "run").select(*unit, "a", "e"))
     # Spans in order; one that a former reaches goes on with it.
     in_order = W.partitionBy(*unit).orderBy("a")
@@ -194,7 +196,7 @@ def repeated_passages(docs: DataFrame, least: int = 50) -> DataFrame:
     whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n_words").alias("b")))
     found = units.select(*unit, "rows", "n_words").join(found, unit, "left").select(*unit, F.when(F.col("rows") > 1, whole).otherwise(F.col("spans")).alias("spans")).where("spans is not null")
     found = keep(found, "spans")
-    for x in (units, often, compared):
+    for x in (units, often, compared, shared):
         drop(x)
     written = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["a"], x["b"])), ",")
     total = F.aggregate("spans", F.lit(0).cast("long"), lambda o, x: o + x["b"] - x["a"])
