@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+#: Tables that the operators now running have written, one list for each.
+_written: list[list[DataFrame]] = []
 
 #: A word is a run of anything but space, \t, \n, \v, \f and \r.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or in local mode one of our own where that is unset (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="brookcheck-")
@@ -33,18 +39,47 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._kept_at = path
+    if _written:
+        _written[-1].append(out)
     return out
 
 
 def drop(df: DataFrame) -> None:
     """Delete a table that ``keep`` wrote and nothing reads any more."""
-    path = getattr(df, "_kept_at", None)
+    path, df._kept_at = getattr(df, "_kept_at", None), None
     if path:
         spark = df.sparkSession
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The operator with its result written, and all other tables that it wrote deleted."""
+    @functools.wraps(operator)
+    def run(*args, **how) -> DataFrame:
+        _written.append([])
+        own = _written[-1]
+        try:
+            found = operator(*args, **how)
+            _written.pop()
+            out = keep(found, operator.__name__)
+        finally:
+            if _written and _written[-1] is own:
+                _written.pop()
+            for x in own:
+                drop(x)
+        return out
+    return run
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """``name``, with as many underscores behind it as tell it from all columns, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

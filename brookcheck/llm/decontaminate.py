@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, keep
+from .common import keep, tidy
 
 #: Word offsets that each mask reads.  Of 15 to 59 words of which any 60 % agree, these masks together miss less than one item in a hundred.
 MASKS = ((0, 2, 3, 4), (0, 1, 4, 6), (0, 1, 7, 8), (0, 1, 3, 6), (0, 1, 5, 9))
@@ -79,6 +79,7 @@ def _hits(words: DataFrame, items: DataFrame, seeds: DataFrame, runs: list[int])
     return each.where(agree >= enough).select("doc_id", "item_id", "k", "start")
 
 
+@tidy
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.6, least: int = 8) -> DataFrame:
     """doc_id, item_id, matched, item_words, start: documents that hold a benchmark item, at the alignment that matches best.
 
@@ -128,10 +129,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.6, leas
     both = both.withColumn("matched", F.when(F.col("whole"), F.col("matched")).otherwise(F.greatest("matched", F.when(F.col("matched") >= BAND_FROM * F.col("n"), along.cast("long")).otherwise(0))))
     held = both.where(F.col("whole") | enough("matched") | passage)
     best = held.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("matched", "item_words", "start"), F.struct("whole", "matched", (-F.col("start")).alias("s"))).alias("b"))
-    best = keep(best.select("doc_id", "item_id", "b.matched", "b.item_words", F.col("b.start").cast("long").alias("start")), "held")
-    for x in (items, seeds, hits):
-        drop(x)
-    return best
+    return best.select("doc_id", "item_id", "b.matched", "b.item_words", F.col("b.start").cast("long").alias("start"))
 
 
 def sql(share: float = 0.6, least: int = 8) -> str:

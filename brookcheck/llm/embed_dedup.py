@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, keep
+from .common import drop, keep, tidy
 from .graph import connected_components
 
 
@@ -102,6 +102,7 @@ def _encode(models: dict[int, tuple[np.ndarray, np.ndarray]], width: int, tables
     return run
 
 
+@tidy
 def similar_vectors(rows: DataFrame, cosine: float = 0.93, miss: float = 1e-3, fit_rows: int = 8000) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per row of ``rows``.
 

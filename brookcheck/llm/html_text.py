@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, keep
+from .common import keep, tidy
 
 #: Templates of up to this many tokens in all are broadcast; beyond, pages and templates are joined with a salt.
 BROADCAST_TOKENS = 100_000
@@ -177,6 +177,7 @@ def host(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1), F.lit("")))
 
 
+@tidy
 def templates(pages: DataFrame) -> DataFrame:
     """host and tokens (token, text, holds) of its template in order, for pages (host, html); the content container holds.
 
@@ -202,8 +203,6 @@ def templates(pages: DataFrame) -> DataFrame:
     classes = classes.where((F.col("most") == 1) & F.col("tags"))
     own = F.filter("own", lambda t: ~t["text"] | (F.col("support") * TEXT_IN >= F.col("pages")))
     whole = keep(classes.select("host", own.alias("own")).groupBy("host").agg(F.array_sort(F.flatten(F.collect_list("own"))).alias("all")), "templates")
-    drop(each)
-    drop(hosts)
     most = F.array_max(F.transform("all", lambda t: t["chars"]))
     within = F.filter("all", lambda t: (t["level"] > 1) & (t["chars"] >= CONTAINS * most))
     container = F.array_max(F.transform(within, lambda t: F.struct(t["level"].alias("level"), t["token"].alias("token"))))["token"]
@@ -321,7 +320,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     # Ids travel as text, as pandas would turn those of a batch with a null into floats.
     rows = pages.select(F.col("page_id").cast("string"), "url", "html", host(F.col("url")).alias("host"))
-    known = keep(templates(rows.select("host", "html")), "templates")
+    known = templates(rows.select("host", "html"))
     if (known.agg(F.sum(F.size("tokens"))).first()[0] or 0) <= BROADCAST_TOKENS:
         rows = rows.join(F.broadcast(known), "host", "left")
     else:

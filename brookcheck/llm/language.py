@@ -17,7 +17,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 WINDOW, DIM, WIDTHS, FILTERS = 192, 8, (2, 3, 4), 12
 _SPAN = max(WIDTHS)
@@ -193,9 +192,9 @@ def calibrate(docs: DataFrame, net: ByteNet, lost: float = 0.001, fit_rows: int
 
 
 def _predict(net: ByteNet, size: int = 512):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = np.zeros((len(pdf), len(net.classes) + 1))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            out = np.zeros((len(texts), len(net.classes) + 1))
             part, owner, held = [], [], 0
 
             def flush():
@@ -204,8 +203,8 @@ def _predict(net: ByteNet, size: int = 512):
                 np.add.at(out, np.array(owner), net.probabilities(x) * np.maximum(weight, 1)[:, None])
                 part.clear(), owner.clear()
 
-            for i, (text, ok) in enumerate(zip(pdf["text"], pdf["_letters"], strict=True)):
-                if not ok or not net.classes:
+            for i, text in enumerate(texts):
+                if not text or not net.classes:
                     continue
                 rows = _windows(text.encode())
                 for at in range(0, len(rows), size):
@@ -222,18 +221,21 @@ def _predict(net: ByteNet, size: int = 512):
             known = total > 0
             score = np.where(known, out[np.arange(len(out)), best] / np.where(known, total, 1), 0.0)
             names = np.array([*net.classes, "und"], object)
-            yield pdf.drop(columns=["_letters"]).assign(_lang=names[np.where(known, best, len(net.classes))], _score=np.clip(score, 0, 1))
+            yield pd.DataFrame({"lang": names[np.where(known, best, len(net.classes))], "score": np.clip(score, 0, 1)})
     return run
 
 
-def predict(docs: DataFrame, net: ByteNet) -> DataFrame:
-    """``docs`` with _lang and _score; und and 0 where text is null or has no letter.
+def predict(docs: DataFrame, net: ByteNet, lang: str = "_lang", score: str = "_score") -> DataFrame:
+    """``docs`` with the columns ``lang`` and ``score``; und and 0 where text is null or has no letter.
 
-    _lang is the likeliest of the learned languages; texts of none of them have a score under ``net.least``.  Nothing but text is read.  Other columns stay, whatever their names.
+    The language is the likeliest of those learned; texts of none of them have a score under ``net.least``.
+    Only text goes through Python; other columns stay as they are, and a ValueError says
+    where one has a name that is wanted here.
     """
-    rows = docs.withColumn("_letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    schema = StructType([*docs.schema.fields, StructField("_lang", StringType()), StructField("_score", DoubleType())])
-    return rows.mapInPandas(_predict(net), schema)
+    if len({c.lower() for c in (*docs.columns, lang, score)}) != len({c.lower() for c in docs.columns}) + 2:
+        raise ValueError(f"columns named {lang} or {score} are there already")
+    found = F.pandas_udf(_predict(net), "lang string, score double", F.PandasUDFType.SCALAR_ITER)(F.when(F.col("text").rlike(r"\p{L}"), F.col("text")))
+    return docs.withColumns({lang: found["lang"], score: found["score"]})
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -245,5 +247,4 @@ def identify(docs: DataFrame) -> DataFrame:
     """
     net = train(docs)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
-    # Text stays out of what comes back from Python.
     return predict(docs.select("doc_id", "text"), net).select("doc_id", held.alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))

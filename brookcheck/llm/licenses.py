@@ -157,10 +157,10 @@ def train(lines: list[str], copies: int = 40, epochs: int = 6, rate: float = 0.1
     """A classifier fitted to the templates and to ``lines`` of the corpus, which count as unknown unless a template is in them."""
     rng = np.random.default_rng(seed)
     probe = Classifier(np.zeros((FEATURES + 1, len(FAMILIES) + 1)), 1.0, 0.0)
-    noise = [x for x in lines if all(probe.confirm(f, _hashes(x)[0][:2000]) < 0.7 for f in range(len(FAMILIES)))]
+    noise = [x for x in lines if all(probe.confirm(f, _hashes(x)[0]) < 0.7 for f in range(len(FAMILIES)))]
     samples = _varied(rng, noise, copies) + [(x, len(FAMILIES)) for x in noise]
     ids = [_features(*_hashes(x.replace("\n", " "))).ravel() for x, _ in samples]
-    ids = [x[: 2 * WINDOW] for x in ids]
+    ids = [x[: 2 * WINDOW] for x in ids]  # two features a word: a window, as later ones are
     label = np.array([y for _, y in samples])
     held = rng.random(len(samples)) < 0.2
     w = np.zeros((FEATURES + 1, len(FAMILIES) + 1), np.float64)
@@ -189,7 +189,7 @@ def train(lines: list[str], copies: int = 40, epochs: int = 6, rate: float = 0.1
     temperature = min((0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 5.0), key=loss) if len(at) else 1.0
     p = Classifier(w[:1], temperature, 0).probabilities(logits)[label[at] == len(FAMILIES), :-1] if len(at) else np.zeros((0, 1))
     threshold = max(0.5, float(np.quantile(p.max(axis=1), 0.999))) if len(p) else 0.5
-    return Classifier(w, temperature, min(threshold, 0.9))
+    return Classifier(w, temperature, threshold)
 
 
 def _scan(classifier: Classifier, least: float):
@@ -200,11 +200,12 @@ def _scan(classifier: Classifier, least: float):
     return run
 
 
-def scan(docs: DataFrame, fit_lines: int = 4000, least: float = 0.85) -> DataFrame:
+def scan(docs: DataFrame, fit_lines: int = 4000, least: float = 0.85, fit_chars: int = 400) -> DataFrame:
     """doc_id, line, family, probability, similarity: one row per line and family of which a licence statement starts there.
 
     Statements may go on over line feeds, up to a blank line.  Lines are counted from 0.  ``fit_lines`` bounds the corpus lines, taken by a
-    hash, that train the unknown class; every line of every text is classified.
+    hash, that train the unknown class, and ``fit_chars`` the characters taken from each, from a place given by the hash; every line of every text is classified
+    as a whole.
     Null and empty texts have none.  Rows without doc_id, and repeated rows,
     are scanned like others.  Further columns are ignored; an empty table gives none.
     """
@@ -213,5 +214,8 @@ def scan(docs: DataFrame, fit_lines: int = 4000, least: float = 0.85) -> DataFra
     draw = F.xxhash64("line")
     # About twice the bound pass, so that no more than that reaches the driver from all tasks.
     few = F.pmod(draw, F.lit(1 << 30)) < int(min(1.0, 2 * fit_lines / total) * (1 << 30))
-    sample = [r[0] for r in lines.where(few).select(F.substring("line", 1, 400).alias("line"), draw.alias("h")).orderBy("h").limit(fit_lines).select("line").collect()]
-    return docs.select("doc_id", "text").mapInPandas(_scan(train(sorted(sample)), least), "doc_id long, line long, family string, probability double, similarity double")
+    at = (F.pmod(F.xxhash64(draw), F.greatest(F.length("line") - fit_chars + 1, F.lit(1))) + 1).cast("int")
+    sample = [r[0] for r in lines.where(few).select(F.substring("line", at, F.lit(fit_chars)).alias("line"), draw.alias("h")).orderBy("h").limit(fit_lines).select("line").collect()]
+    # Ids travel as text, as pandas would turn those of a batch with a null into floats.
+    rows = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(_scan(train(sorted(sample)), least), "doc_id string, line long, family string, probability double, similarity double")
+    return rows.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, keep, word_count
+from .common import WORD, keep, tidy, word_count
 
 BLOCK, SLOTS, STREAM = 32, 4096, 1 << 20
 #: Primes above any number of blocks, so that multiples of them permute the indices.
@@ -58,23 +58,37 @@ def _drawn(shard_slots: Column, share: Column) -> Column:
     return whole + F.when(_digest(F.lit("slot"), "shard", whole) / 4294967296.0 < x - whole, 1).otherwise(0)
 
 
+def _before(df: DataFrame, value: str, index: str, name: str, group: int = 4096) -> DataFrame:
+    """``df`` with ``name``: the sum of ``value`` over the rows of the same rn with a lower ``index`` from 0 on.
+
+    Sums run inside groups of ``group`` indices, and then over the groups, so that a
+    source's rows never meet in one task.
+    """
+    df = keep(df.withColumn("_g", F.floor(F.col(index) / group)), "indexed")
+    sums = df.groupBy("rn", "_g").agg(F.sum(value).alias("_n"))
+    sums = keep(sums.select("rn", "_g", F.coalesce(F.sum("_n").over(W.partitionBy("rn").orderBy("_g").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_low")), "sums")
+    own = F.coalesce(F.sum(value).over(W.partitionBy("rn", "_g").orderBy(index).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return df.withColumn("_own", own).join(sums, ["rn", "_g"]).withColumn(name, F.col("_own") + F.col("_low")).drop("_g", "_own", "_low")
+
+
 class Mix:
-    """The plan of a mix.  ``docs`` needs doc_id, text and source."""
+    """The plan of a mix.  ``docs`` needs doc_id, text and source.
+
+    A row is told by its id and 128 bits of hash of its text; rows that repeat both are interchangeable.
+    """
 
     def __init__(self, docs: DataFrame):
         self.docs = docs
-        self.sized = keep(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sized")
+        self.sized = keep(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("th"), F.xxhash64(F.lit(1), "text").alias("tl")), "sized")
         self.sources = keep(source_targets(self.sized), "sources")
         streams = F.greatest(F.lit(1), F.ceil(F.col("source_size") / STREAM))
         stream = _digest(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))) % streams
         on = self.sized["source"].eqNullSafe(self.sources["source"])
-        rows = self.sized.join(self.sources, on).where("size > 0").select("doc_id", self.sized["source"], "size", "rn", stream.alias("stream"))
-        in_order = W.partitionBy("rn", "stream").orderBy("doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+        rows = self.sized.join(self.sources, on).where("size > 0").select("doc_id", self.sized["source"], "size", "th", "tl", "rn", stream.alias("stream"))
+        in_order = W.partitionBy("rn", "stream").orderBy("doc_id", "size", "th", "tl").rowsBetween(W.unboundedPreceding, -1)
         self.placed = keep(rows.withColumn("at", F.coalesce(F.sum("size").over(in_order), F.lit(0))), "placed")
         lengths = self.placed.groupBy("rn", "stream").agg(F.sum("size").alias("words"))
-        lengths = lengths.withColumn("blocks", F.ceil(F.col("words") / BLOCK))
-        first = W.partitionBy("rn").orderBy("stream").rowsBetween(W.unboundedPreceding, -1)
-        self.streams = keep(lengths.withColumn("first", F.coalesce(F.sum("blocks").over(first), F.lit(0))), "streams")
+        self.streams = keep(_before(lengths.withColumn("blocks", F.ceil(F.col("words") / BLOCK)), "blocks", "stream", "first"), "streams")
 
     def draws(self) -> DataFrame:
         """rn, shard, k (blocks of the source), start and n: the source's slots ``start`` to ``start + n - 1`` lie in the shard."""
@@ -84,12 +98,13 @@ class Mix:
         in_order, everything = W.orderBy("rn").rowsBetween(W.unboundedPreceding, 0), W.partitionBy()
         s = s.withColumn("upto", F.sum("expected").over(in_order)).withColumn("below", F.lag("upto", 1, 0.0).over(W.orderBy("rn")))
         s = s.withColumn("whole", F.max("upto").over(everything)).withColumn("slots", F.ceil("whole"))
-        s = s.withColumn("shard", F.explode(F.expr(f"sequence(0L, (slots - 1) div {SLOTS})")))
+        # Groups of shards are dealt out before they are told apart.
+        s = s.withColumn("group", F.explode(F.expr(f"sequence(0L, (slots - 1) div {SLOTS} div 4096)"))).repartition("rn", "group")
+        s = s.withColumn("shard", F.explode(F.expr(f"sequence(group * 4096, least(group * 4096 + 4095, (slots - 1) div {SLOTS}))")))
         size = F.least(F.lit(SLOTS).cast("long"), F.col("slots") - F.col("shard") * SLOTS)
         top = F.when(F.col("upto") == F.col("whole"), size).otherwise(_drawn(size, F.col("upto") / F.col("whole")))
         s = s.select("rn", "k", "shard", (top - _drawn(size, F.col("below") / F.col("whole"))).alias("n"))
-        before = W.partitionBy("rn").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
-        return s.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).where("n > 0").repartition("rn", "shard")
+        return _before(s, "n", "shard", "start").where("n > 0").repartition("rn", "shard")
 
     def slots(self) -> DataFrame:
         """rn, shard, j, idx: the block of each slot of each source; no block has more than three."""
@@ -105,7 +120,7 @@ class Mix:
         p = self.placed.join(self.streams.select("rn", "stream", "first"), ["rn", "stream"])
         p = p.withColumn("b", F.explode(F.expr(f"sequence(at div {BLOCK}, (at + size - 1) div {BLOCK})")))
         low, high = F.greatest("at", F.col("b") * BLOCK), F.least(F.col("at") + F.col("size"), (F.col("b") + 1) * BLOCK)
-        return p.select("rn", "stream", "at", "doc_id", "size", (F.col("first") + F.col("b")).alias("idx"), (low - F.col("at")).alias("skip"), (high - low).alias("words"))
+        return p.select("rn", "stream", "at", "doc_id", "th", "tl", "size", (F.col("first") + F.col("b")).alias("idx"), (low - F.col("at")).alias("skip"), (high - low).alias("words"))
 
     def taken(self) -> DataFrame:
         """doc_id, size, source_size, target, taken: one row per row of the documents."""
@@ -121,20 +136,25 @@ class Mix:
 
         Words of a document are cut by block; blocks of the corpus are put
         together from their pieces and joined to the slots that take them.
+        Each piece gets the one text of its id and hash.
         """
-        cut = self.pieces().join(self.docs.select("doc_id", F.regexp_extract_all("text", F.lit(f"({WORD})")).alias("all")).where(F.size("all") > 0), "doc_id").where(F.size("all") == F.col("size"))
+        texts = self.docs.select("doc_id", "text", F.xxhash64("text").alias("th"), F.xxhash64(F.lit(1), "text").alias("tl")).dropDuplicates(["doc_id", "th", "tl"])
+        texts = texts.select(F.col("doc_id").alias("_id"), "th", "tl", F.regexp_extract_all("text", F.lit(f"({WORD})")).alias("all")).where(F.size("all") > 0)
+        cut = self.pieces().join(texts, ["th", "tl"]).where(F.col("doc_id").eqNullSafe(F.col("_id")))
         cut = cut.select("rn", "idx", "stream", "at", F.expr("slice(all, cast(skip + 1 as int), cast(words as int))").alias("part"))
         whole = cut.groupBy("rn", "idx").agg(F.sort_array(F.collect_list(F.struct("at", "part"))).alias("parts"))
         whole = whole.select("rn", "idx", F.array_join(F.flatten("parts.part"), " ").alias("text"))
         return self.slots().join(whole, ["rn", "idx"]).join(self.sources.select("rn", "source"), "rn").select("shard", "j", "source", "text")
 
 
+@tidy
 def mix_sources(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken: how many words of each document the mix takes, repeats counted.
 
     A null text has size 0; a null source is a source like any other, the last.
     Rows that repeat a doc_id are documents of their own.  A source without
     words has target 0.  Further columns are ignored; an empty table gives none.
+    Sources are ranked in one task: their table, a row each, is taken to be small beside the documents.
     """
     return Mix(docs).taken()
 

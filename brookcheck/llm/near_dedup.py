@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, keep, mix, shingles, word_hashes
+from .common import drop, keep, mix, shingles, tidy, word_hashes
 from .graph import connected_components
 
 _T = 128
@@ -66,13 +66,16 @@ def _describe(size: int):
                 rows.append((len(items), v, *planes[0], *planes[1], sig.tobytes()))
             out = pd.DataFrame(rows, columns=["n", "v", *_SKETCH, "sig"], index=pdf.index, dtype=object)
             out.insert(0, "doc_id", pdf["doc_id"])
+            out.insert(1, "th", pdf["th"])
             yield out
     return run
 
 
 def describe(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, n (set size), v (64-bit fingerprint of the set), sketch s1 to s4, minwise values sig."""
-    return docs.select("doc_id", "text").mapInPandas(_describe(shingle), "doc_id long, n long, v long, s1 long, s2 long, s3 long, s4 long, sig binary")
+    """doc_id, th (hash of the text), n (set size), v (64-bit fingerprint of the set), sketch s1 to s4, minwise values sig."""
+    # Ids travel as text, as pandas would turn those of a batch with a null into floats.
+    rows = docs.select(F.col("doc_id").cast("string"), "text", F.xxhash64("text").alias("th")).mapInPandas(_describe(shingle), "doc_id string, th long, n long, v long, s1 long, s2 long, s3 long, s4 long, sig binary")
+    return rows.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
 def _children(nodes: np.ndarray, sig: np.ndarray, similarity: float) -> list[list[int]]:
@@ -204,18 +207,20 @@ def _block_links(size: int, percent: int):
 
 def _links(clusters: DataFrame, vertices: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Links of a spanning forest of every cluster; full sets are made anew from the text of one document for each vertex."""
-    members = vertices.drop("sig").join(clusters.select(F.col("id").alias("v"), F.col("component").alias("c")), "v")
+    members = vertices.select("v", "doc", "th", "n", *_SKETCH).join(clusters.select(F.col("id").alias("v"), F.col("component").alias("c")), "v")
     sizes = members.groupBy("c").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_ITEMS)).alias("blocks"), F.sum("n").alias("items"))
     sizes = keep(sizes, "sizes")
     together = max(1, -(-(sizes.where("blocks = 1").agg(F.sum("items")).first()[0] or 0) // BLOCK_ITEMS))
-    members = members.join(sizes.drop("items"), "c").select("v", "n", *_SKETCH, "c", "blocks", F.col("doc").alias("doc_id"))
-    texts = docs.select("doc_id", "text").join(members, "doc_id").dropDuplicates(["v"])
+    members = members.join(sizes.drop("items"), "c").select("v", "n", *_SKETCH, "c", "blocks", F.col("doc").alias("doc_id"), "th")
+    # By id and text: rows may repeat an id with another text.
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).join(members, ["doc_id", "th"]).dropDuplicates(["v"])
     # Small clusters share a task; large ones have one for each pair of blocks.
     rows = _in_blocks(texts, "blocks").withColumn("task", F.when(F.col("blocks") == 1, F.expr(f"pmod(xxhash64(c), {4 * together})")).otherwise(F.col("c")))
     rows = rows.withColumn("large", F.col("blocks") > 1).select("task", "large", "i", "j", "b", "c", "v", "n", *_SKETCH, "text")
     return keep(rows.groupBy("task", "large", "i", "j").applyInPandas(_block_links(size, percent), "a long, b long"), "links")
 
 
+@tidy
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, trees: int = 16, leaf: int = 64, depth: int = 12) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``docs``.
 
@@ -230,7 +235,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, trees:
     similarity = percent / 100
     sets = keep(describe(docs, shingle), "sets")
     real = sets.where("v is not null and doc_id is not null")
-    vertices = keep(real.groupBy("v").agg(F.min("doc_id").alias("doc"), *[F.first(c).alias(c) for c in ("n", *_SKETCH, "sig")]), "vertices")
+    vertices = keep(real.groupBy("v").agg(F.min(F.struct("doc_id", "th")).alias("low"), *[F.first(c).alias(c) for c in ("n", *_SKETCH, "sig")]).select("v", F.col("low.doc_id").alias("doc"), "low.th", "n", *_SKETCH, "sig"), "vertices")
     signed = vertices.select("v", "sig")
 
     found, rows, large = None, keep(_expand(vertices, similarity, trees), "nodes"), None

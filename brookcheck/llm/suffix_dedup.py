@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import drop, keep, mix, word_hashes, _powers
+from .common import keep, mix, tidy, word_hashes, _powers
 
 #: Neighbours on either side that a suffix is compared with.
 NEAR = 4
@@ -157,6 +157,7 @@ def _compare(left: int, right: int, least: int):
     return run
 
 
+@tidy
 def repeated_passages(docs: DataFrame, least: int = 50) -> DataFrame:
     """doc_id, n_words, repeated_words, n_spans, spans: documents that hold a passage of ``least`` words or more that other documents hold too.
 
@@ -196,8 +197,6 @@ def repeated_passages(docs: DataFrame, least: int = 50) -> DataFrame:
     whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n_words").alias("b")))
     found = units.select(*unit, "rows", "n_words").join(found, unit, "left").select(*unit, F.when(F.col("rows") > 1, whole).otherwise(F.col("spans")).alias("spans")).where("spans is not null")
     found = keep(found, "spans")
-    for x in (units, often, compared, shared):
-        drop(x)
     written = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["a"], x["b"])), ",")
     total = F.aggregate("spans", F.lit(0).cast("long"), lambda o, x: o + x["b"] - x["a"])
     ids = F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")

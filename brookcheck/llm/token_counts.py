@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Words a task remembers before it starts over.
@@ -119,6 +120,8 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens: one row per row of ``docs``, for the vocabulary and scores in the file at ``path``.
 
     The file is read on the driver; pieces travel with the tasks.  Null and
-    empty texts have none.  Further columns are ignored; an empty table gives none.
+    empty texts have none.  Null ids stay null, repeated rows are counted each.  Further columns are ignored; an empty table gives none.
     """
-    return docs.select("doc_id", "text").mapInPandas(_count(vocabulary(path)), "doc_id long, n_tokens long")
+    # Ids travel as text, as pandas would turn those of a batch with a null into floats.
+    rows = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(_count(vocabulary(path)), "doc_id string, n_tokens long")
+    return rows.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))

@@ -147,12 +147,17 @@ def test_mix(spark):
 
 def test_blocks_hold_the_words_that_are_taken(spark):
     rows = [(i, " ".join(f"d{i}w{k}" for k in range(50 + i)), "ab"[i % 2]) for i in range(30)]
+    rows += [(100, " ".join(f"d100w{k}" for k in range(45)), "a")] * 2 + [(None, " ".join(f"dNonew{k}" for k in range(45)), "b"), (7, " ".join(f"d7w{k}" for k in range(33)), "b")]
     mix = mixing.Mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
     words = {}
     for b in mix.blocks().collect():
         for w in b.text.split():
             words[w.split("w")[0]] = words.get(w.split("w")[0], 0) + 1
-    assert words == {f"d{r.doc_id}": r.taken for r in mix.taken().collect() if r.taken}
+    want = {}
+    for r in mix.taken().collect():
+        if r.taken:
+            want[f"d{r.doc_id}"] = want.get(f"d{r.doc_id}", 0) + r.taken
+    assert words == want and {"d100", "dNone"} <= set(words)
 
 
 def page(body):
