@@ -1,10 +1,14 @@
 """Personal data and what gives it away, with DataFrame functions only.
 
 Four patterns find e-mail addresses, IP addresses, card and phone numbers.
+A value is an entity, and so is what values have in common: the domain of an
+address, the network, the number's first digits.
 Information-theoretic sanitisation adds terms: over all lines of the corpus,
-the pointwise mutual information of a term with a protected value, as a share of
-the value's own information, says how far the term alone discloses the value
-(1: the term never stands without it).  In documents that hold the value, terms
+the pointwise mutual information of a term with an entity in its line or the lines beside it, as a share of
+the entity's own information, says how far the term alone discloses the entity
+(1: the term never stands without it).  How often entity and term meet is
+estimated from below (the lower bound of a Wilson interval), so that few meetings
+count for less and none are left out.  In documents that hold the entity, terms
 above the threshold are generalised, and removed when they disclose almost
 all of it.
 """
@@ -14,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import fresh, keep, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 #: The patterns of the four kinds.  Possessive repeats and the look-behinds only
@@ -28,6 +32,8 @@ PATTERNS = {
 }
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _TERM = r"\p{L}{3,}"
+#: Deviations of the lower bound of the share of a term's lines that are near an entity.
+Z = 1.645
 #: Candidate terms up to this many are broadcast (as 8-byte hashes); beyond, both sides are shuffled.
 BROADCAST_TERMS = 1_000_000
 
@@ -87,56 +93,84 @@ def _terms(line: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(line), F.lit(f"({_TERM})")))
 
 
-def find_pii(docs: DataFrame, support: int = 3, generalise: float = 0.9, remove: float = 0.98) -> DataFrame:
-    """doc_id, th, n_lines, base, terms and hit: one row per row of ``docs``.
+def _entities(s: Column) -> Column:
+    """Hashes of a span's value and of what it has in common with others of its kind."""
+    value, digits = F.lower(s["value"]), F.regexp_replace(s["value"], "[^0-9]", "")
+    shared = (F.when(s["kind"] == "email", F.substring_index(value, "@", -1)).when(s["kind"] == "ip", F.regexp_extract(value, r"^(.*)\.[^.]*$", 1))
+              .when(s["kind"] == "card", F.substring(digits, 1, 6)).otherwise(F.substring(digits, F.lit(1), F.length(digits) - 4)))
+    return F.array(F.xxhash64(s["kind"], F.lit("value"), value), F.xxhash64(s["kind"], F.lit("shared"), shared))
+
+
+def lower_share(k: Column, n: Column) -> Column:
+    """Lower bound of the Wilson interval of ``k`` in ``n``, ``Z`` deviations wide."""
+    p = k / n
+    return (p + Z * Z / (2 * n) - Z * F.sqrt(p * (1 - p) / n + Z * Z / (4 * n * n))) / (1 + Z * Z / n)
+
+
+@tidy
+def terms_told(rows: DataFrame, docs: DataFrame, generalise: float, remove: float, least_bits: float) -> DataFrame:
+    """th, tl, told: the disclosing terms (t, gone) of texts that hold an entity; ``rows`` are those of ``find_pii``."""
+    unit = ["th", "tl"]
+    hits = keep(rows.where("hit is not null").select(*unit, "hit", "base", "n_lines").dropDuplicates(unit), "hits")
+    spans = hits.select(*unit, "n_lines", "hit", F.explode("base").alias("s"))
+    before = F.substring(F.col("hit"), F.lit(1), F.col("s.start"))
+    spans = spans.select(*unit, "n_lines", (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit("")))).alias("at"), F.explode(_entities(F.col("s"))).alias("e"))
+    near = spans.select(*unit, "e", F.explode(F.sequence(F.greatest(F.col("at") - 1, F.lit(0)), F.least(F.col("at") + 1, F.col("n_lines") - 1))).alias("at")).distinct()
+    near = keep(near, "near")
+    entities = near.groupBy("e").agg(F.count("*").alias("n_e"))
+    lines = hits.select(*unit, F.posexplode(F.split("hit", "\n")).alias("at", "line")).join(near.select(*unit, "at").distinct(), [*unit, "at"], "left_semi")
+    terms = keep(lines.select(*unit, "at", F.explode(_terms(F.col("line"))).alias("t")), "lines")
+    pairs = near.join(terms, [*unit, "at"]).groupBy("e", "t").agg(F.count("*").alias("n_et")).join(entities, "e")
+
+    total = float(hits.select(F.sum("n_lines")).first()[0] or 0) + float(rows.where("hit is null").select(*unit, "n_lines").distinct().select(F.sum("n_lines")).first()[0] or 0)
+    own = F.log2(F.lit(total) / F.col("n_e"))
+    told = lambda n_t: (F.log2(lower_share(F.col("n_et").cast("double"), n_t.cast("double"))) + own) / own
+    # What would not be told even if the term stood nowhere else need not be counted.
+    pairs = keep(pairs.where((own >= least_bits) & (told(F.col("n_et")) >= generalise)), "pairs")
+    names = keep(pairs.select(F.xxhash64("t").alias("k")).distinct(), "terms")
+    if names.count() <= BROADCAST_TERMS:
+        names = F.broadcast(names)
+    everywhere = docs.where("text is not null").select(F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    everywhere = everywhere.select("th", "at", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(f"({_TERM})")))).alias("t"))
+    # Copies of a text count once.
+    counts = everywhere.select("th", "at", F.xxhash64("t").alias("k")).join(names, "k", "left_semi").distinct().groupBy("k").agg(F.count("*").alias("n_t"))
+    found = pairs.withColumn("k", F.xxhash64("t")).join(counts, "k").withColumn("told", told(F.greatest("n_t", "n_et"))).where(F.col("told") >= generalise)
+    found = found.select("e", "t", (F.col("told") >= remove).alias("gone"))
+    by_text = near.select(*unit, "e").distinct().join(found, "e").groupBy(*unit, "t").agg(F.max("gone").alias("gone"))
+    return by_text.groupBy(*unit).agg(F.collect_list(F.struct("t", "gone")).alias("told"))
+
+
+def find_pii(docs: DataFrame, generalise: float = 0.9, remove: float = 0.98, least_bits: float = 6.0) -> DataFrame:
+    """doc_id, th, tl, n_lines, base, terms and hit: one row per row of ``docs``.
 
     base holds the spans of the patterns, terms those of disclosing terms; hit
-    is the text of documents with any base span.  ``support``: lines, not all
-    the same, in which value and term must meet.  Null text counts as empty.
+    is the text of documents with any base span.  A term discloses an entity from a share ``generalise`` of
+    its information on, and is removed from ``remove`` on; entities of fewer than ``least_bits``, which stand
+    near more than one line in 64, are no secret.  Copies of a text count once.  Null text counts as empty.
     Documents without protected values never gain terms.  Rows are told apart
-    by a hash of the text, so null and repeated ids do no harm.
+    by 128 bits of hash of the text, so null and repeated ids do no harm.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text")).select("doc_id", "text", base_spans(F.col("text")).alias("base"))
     n_lines = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1
-    rows = keep(rows.select("doc_id", F.xxhash64("text").alias("th"), n_lines.alias("n_lines"), "base", F.when(F.size("base") > 0, F.col("text")).alias("hit")), "base")
-
+    rows = keep(rows.select("doc_id", F.xxhash64("text").alias("th"), F.xxhash64(F.lit(1), "text").alias("tl"), n_lines.alias("n_lines"), "base", F.when(F.size("base") > 0, F.col("text")).alias("hit")), "base")
     hits = rows.where("hit is not null")
-    lines = hits.select("th", F.explode(F.split("hit", "\n")).alias("line"))
-    lines = lines.select("th", "line", base_spans(F.col("line")).alias("base")).where(F.size("base") > 0)
-    held = F.array_distinct(F.transform("base", lambda s: F.xxhash64(s["kind"], F.lower(s["value"]))))
-    lines = keep(lines.select("th", F.xxhash64("line").alias("lh"), held.alias("es"), _terms(F.col("line")).alias("ts")), "lines")
-    met = lines.select("th", "lh", "ts", F.explode("es").alias("e"))
-    often = lambda df, n: df.agg(F.count("*").alias(n), F.min("lh").alias("lo"), F.max("lh").alias("hi")).where((F.col(n) >= support) & (F.col("lo") != F.col("hi"))).drop("lo", "hi")
-    values = keep(often(met.groupBy("e"), "n_e"), "values")
-    pairs = met.join(values, "e").select("e", "n_e", "lh", F.explode("ts").alias("t"))
-    pairs = keep(often(pairs.groupBy("e", "n_e", "t"), "n_et"), "pairs")
-    terms = keep(pairs.select(F.xxhash64("t").alias("k")).distinct(), "terms")
-    if terms.count() <= BROADCAST_TERMS:
-        terms = F.broadcast(terms)
-    everywhere = docs.select(F.explode(F.split("text", "\n")).alias("line")).select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(f"({_TERM})")))).alias("t"))
-    counts = everywhere.select(F.xxhash64("t").alias("k")).join(terms, "k", "left_semi").groupBy("k").agg(F.count("*").alias("n_t"))
-    total = rows.agg(F.sum("n_lines")).first()[0] or 0
-
-    own = F.log2(F.lit(float(total)) / F.col("n_e"))
-    shared = F.log2(F.col("n_et") * F.lit(float(total)) / (F.col("n_e") * F.greatest("n_t", "n_et")))
-    told = pairs.withColumn("k", F.xxhash64("t")).join(counts, "k").where(own > 0).withColumn("told", shared / own).where(F.col("told") >= generalise)
-    told = keep(told.select("e", "t", (F.col("told") >= remove).alias("gone")), "told")
-    by_text = met.select("th", "e").distinct().join(told, "e").groupBy("th", "t").agg(F.max("gone").alias("gone"))
-    by_text = by_text.groupBy("th").agg(F.collect_list(F.struct("t", "gone")).alias("told"))
-
-    one = hits.select("th", "hit", "base").dropDuplicates(["th"]).join(by_text, "th")
+    by_text = terms_told(rows, docs, generalise, remove, least_bits)
+
+    unit = ["th", "tl"]
+    one = hits.select(*unit, "hit", "base").dropDuplicates(unit).join(by_text, unit)
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.transform("told", lambda x: x["t"]), "|"), F.lit(r")(?!\p{L})"))
     gone = F.transform(F.filter("told", lambda x: x["gone"]), lambda x: x["t"])
-    one = one.select("th", "base", gone.alias("gone"), _located(F.col("hit"), pattern, "term", len(KINDS)).alias("terms"))
+    one = one.select(*unit, "base", gone.alias("gone"), _located(F.col("hit"), pattern, "term", len(KINDS)).alias("terms"))
     free = F.filter("terms", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    one = one.select("th", F.transform(free, lambda t: t.withField("value", F.when(F.array_contains("gone", F.lower(t["value"])), "").otherwise("[TERM]"))).alias("terms"))
+    one = one.select(*unit, F.transform(free, lambda t: t.withField("value", F.when(F.array_contains("gone", F.lower(t["value"])), "").otherwise("[TERM]"))).alias("terms"))
     one = keep(one, "told")
     empty = F.array().cast("array<struct<start:int,o:int,end:int,kind:string,value:string>>")
     clean = rows.where("hit is null").select("*", empty.alias("terms"))
-    return clean.unionByName(hits.join(one, "th", "left").select(*rows.columns, F.coalesce("terms", empty).alias("terms")))
+    return clean.unionByName(hits.join(one, unit, "left").select(*rows.columns, F.coalesce("terms", empty).alias("terms")))
 
 
+@tidy
 def spans_per_document(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms: one row per row of ``docs``.
 
@@ -149,12 +183,9 @@ def spans_per_document(docs: DataFrame) -> DataFrame:
                         written(F.array_sort(F.concat("base", "terms"))).alias("spans"), F.size("terms").cast("long").alias("n_terms"))
 
 
-def sanitise(docs: DataFrame) -> DataFrame:
-    """``docs`` with its columns and rows; spans of ``text`` are replaced by [KIND], terms by [TERM] or nothing.
-
-    Null text stays null.  Overlapping spans go together.  A column n_chars
-    follows the text.  Only documents with spans are shuffled.
-    """
+@tidy
+def replaced_texts(docs: DataFrame) -> DataFrame:
+    """th, tl, new: texts that hold spans, by hash, and what becomes of them."""
     found = find_pii(docs).where(F.size("base") > 0)
     spans = F.array_sort(F.concat("base", "terms"))
     text = F.col("hit")
@@ -165,16 +196,26 @@ def sanitise(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(x["start"] >= s["at"], more).otherwise(s["out"]).alias("out"))
 
     new = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    new = keep(found.select(F.col("th").alias("_th"), new.alias("_new")).dropDuplicates(["_th"]), "new")
+    return found.select("th", "tl", new.alias("new")).dropDuplicates(["th", "tl"])
+
+
+def sanitise(docs: DataFrame) -> DataFrame:
+    """``docs`` with its columns and rows; spans of ``text`` are replaced by [KIND], terms by [TERM] or nothing.
+
+    Null text stays null, and repeated rows are replaced each.  Overlapping spans go together.  A column n_chars
+    follows the text.  Other columns stay, whatever their names.  Only documents with spans are shuffled.  An empty table stays empty.
+    """
+    th, tl, new = (fresh(c, docs.columns) for c in ("_th", "_tl", "_new"))
+    texts = replaced_texts(docs).toDF(th, tl, new)
     clean = F.size(base_spans(F.coalesce("text", F.lit("")))) == 0
-    out = docs.where(~clean).withColumn("_th", F.xxhash64("text")).join(new, "_th", "left")
-    out = out.withColumn("text", F.coalesce("_new", "text"))
+    out = docs.where(~clean).withColumns({th: F.xxhash64("text"), tl: F.xxhash64(F.lit(1), "text")}).join(texts, [th, tl], "left")
+    out = out.withColumn("text", F.coalesce(new, "text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_new").isNotNull(), F.length("_new")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col(new).isNotNull(), F.length(new)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return docs.where(clean).unionByName(out.select(*docs.columns))
 
 
-def sql(support: int = 3, generalise: float = 0.9) -> str:
+def sql(generalise: float = 0.9, least_bits: float = 6.0) -> str:
     """The rows of ``spans_per_document`` in DuckDB."""
     plain = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
     size = lambda of: f"coalesce(list_sum(list_transform({of}, lambda x: length(x))), 0)"
@@ -195,21 +236,25 @@ def sql(support: int = 3, generalise: float = 0.9) -> str:
     masked = "line"
     for p in plain.values():
         masked = f"regexp_replace({masked}, '{p}', ' ', 'g')"
+    low = lambda k, n: f"(({k} / {n} + {Z * Z} / (2 * {n}) - {Z} * sqrt({k} / {n} * (1 - {k} / {n}) / {n} + {Z * Z} / (4 * {n} * {n}))) / (1 + {Z * Z} / {n}))"
     terms = lambda of: rf"unnest(list_distinct(regexp_extract_all(lower({of}), '\p{{L}}{{3,}}')))"
     return f"""
 WITH docs AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t FROM documents),
 {spans('base', 'docs')},
-lines AS (SELECT id * 1000000 + i AS id, id AS doc, line FROM (SELECT id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM docs)),
-held_lines AS (SELECT id, line AS t FROM lines WHERE doc IN (SELECT id FROM base)),
-{spans('lb', 'held_lines')},
-es AS (SELECT DISTINCT id, kind || ':' || lower(v) AS e FROM lb),
-n_e AS (SELECT e, count(*) AS n_e FROM es JOIN lines USING (id) GROUP BY e HAVING count(*) >= {support} AND min(line) <> max(line)),
-lt AS (SELECT id, line, {terms(masked)} AS term FROM lines WHERE id IN (SELECT id FROM es)),
-pairs AS (SELECT e, n_e, term, count(*) AS n_et FROM es JOIN n_e USING (e) JOIN lt USING (id) GROUP BY e, n_e, term HAVING count(*) >= {support} AND min(line) <> max(line)),
+shared AS (SELECT id, start, kind || ':value:' || lower(v) AS e FROM base UNION ALL SELECT id, start, kind || ':shared:' ||
+  CASE kind WHEN 'email' THEN string_split(lower(v), '@')[-1] WHEN 'ip' THEN regexp_extract(v, '^(.*)\\.[^.]*$', 1) WHEN 'card' THEN regexp_replace(v, '[^0-9]', '', 'g')[1:6] ELSE regexp_replace(v, '[^0-9]', '', 'g')[1:-5] END FROM base),
+one_of AS (SELECT min(id) AS id, t FROM docs GROUP BY t),
+lines AS (SELECT id, unnest(string_split(t, chr(10))) AS line, unnest(range(0, len(string_split(t, chr(10))))) AS ln FROM one_of),
+near AS (SELECT DISTINCT id, e, unnest(range(greatest(ln - 1, 0), least(ln + 1, n - 1) + 1)) AS ln FROM
+  (SELECT id, e, len(string_split(substr(t, 1, start), chr(10))) - 1 AS ln, len(string_split(t, chr(10))) AS n FROM shared JOIN one_of USING (id))),
+n_e AS (SELECT e, count(*) AS n_e FROM near GROUP BY e),
+lt AS (SELECT id, ln, {terms(masked)} AS term FROM lines SEMI JOIN near USING (id, ln)),
+total AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM lines),
+pairs0 AS (SELECT e, term, count(*) AS n_et FROM near JOIN lt USING (id, ln) GROUP BY e, term),
+pairs AS (SELECT e, term, CAST(n_et AS DOUBLE) AS n_et, log2(n / n_e) AS own FROM pairs0 JOIN n_e USING (e), total WHERE log2(n / n_e) >= {least_bits} AND (log2({low('CAST(n_et AS DOUBLE)', 'CAST(n_et AS DOUBLE)')}) + log2(n / n_e)) / log2(n / n_e) >= {generalise}),
 n_t AS (SELECT term, count(*) AS n_t FROM (SELECT {terms('line')} AS term FROM lines) WHERE term IN (SELECT term FROM pairs) GROUP BY term),
-total AS (SELECT count(*) AS n FROM lines),
-told AS (SELECT e, term FROM pairs JOIN n_t USING (term), total WHERE n > n_e AND log2(n_et * n / (n_e * CAST(greatest(n_t, n_et) AS DOUBLE))) / log2(n / CAST(n_e AS DOUBLE)) >= {generalise}),
-doc_terms AS (SELECT DISTINCT doc AS id, term FROM es JOIN told USING (e) JOIN lines USING (id)),
+told AS (SELECT e, term FROM (SELECT e, term, n_et, own, greatest(CAST(n_t AS DOUBLE), n_et) AS n_t FROM pairs JOIN n_t USING (term)) WHERE (log2({low('n_et', 'n_t')}) + own) / own >= {generalise}),
+doc_terms AS (SELECT DISTINCT d.id, term FROM docs d JOIN one_of o ON o.t = d.t JOIN near n ON n.id = o.id JOIN told USING (e)),
 runs AS (SELECT id, regexp_extract_all(t, '\\p{{L}}+') AS m, string_split_regex(t, '\\p{{L}}+') AS g FROM docs WHERE id IN (SELECT id FROM doc_terms)),
 run_i AS (SELECT id, m, g, unnest(range(1, len(m) + 1)) AS i FROM runs),
 hits AS (SELECT id, m[i] AS v, CAST({size('g[1:i]')} + {size('m[1:i - 1]')} AS BIGINT) AS start FROM run_i SEMI JOIN doc_terms ON run_i.id = doc_terms.id AND lower(run_i.m[run_i.i]) = doc_terms.term),
