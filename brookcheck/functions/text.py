@@ -2,15 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_SPACE = r"[\s\x{85}\p{Z}]+"
+#: The characters of Unicode white space.
+_SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def unicode_trim(c: Column) -> Column:
     """Strip Unicode white space at both ends; Spark's own trim strips spaces only."""
-    return F.regexp_replace(c, f"^{_SPACE}|{_SPACE}$", "")
+    return F.btrim(c, F.lit(_SPACES))
+
+
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(x)`` with ``x`` computed once."""
+    return F.transform(F.array(x), f)[0]
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with further columns that are computed once a row; filters on them do not compute them again."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
 def blank(c: Column) -> Column:
@@ -35,6 +48,14 @@ def issues(*checks: tuple[str, Column, str]) -> Column:
     return F.filter(every, lambda x: x.isNotNull())
 
 
+def any_of(checks) -> Column:
+    """Whether any of the checks (field, failing condition, message) fails."""
+    bad = F.lit(False)
+    for _, c, _ in checks:
+        bad = bad | F.coalesce(c, F.lit(False))
+    return bad
+
+
 def problem(code: str, message: str, retryable: bool = False, found: Column | None = None) -> Column:
     empty = F.array().cast("array<struct<field:string,message:string>>")
     return F.struct(F.lit(code).alias("code"), F.lit(message).alias("message"), F.lit(retryable).alias("retryable"), (empty if found is None else found).alias("issues"))
@@ -54,9 +75,8 @@ def variant_type(v: Column) -> Column:
 
 
 def _plain_number(v: Column) -> Column:
-    s = v.cast("string")
-    s = F.when(s.contains("E"), v.cast("decimal(38,18)").cast("string")).otherwise(s)
-    return F.when(s.contains("."), F.regexp_replace(s, r"\.?0+$", "")).otherwise(s)
+    plain = lambda s: F.when(s.contains("E"), v.cast("decimal(38,18)").cast("string")).otherwise(s)
+    return let(let(v.cast("string"), plain), lambda s: F.when(s.contains("."), F.regexp_replace(s, r"\.?0+$", "")).otherwise(s))
 
 
 def _shortest_number(v: Column) -> Column:
@@ -87,17 +107,20 @@ def print_value(v: Column, mode: str = "plain") -> Column:
     prints arrays and objects one level deep.  Null is ``<nil>``; nested
     values that a mode does not print are null, which equals nothing.
     """
-    kind = variant_type(v)
     number = _plain_number if mode == "plain" else _shortest_number
 
-    def scalar(x: Column) -> Column:
-        k = variant_type(x)
+    def of_kind(x: Column, k: Column) -> Column:
         return (F.when(k == "VOID", "<nil>").when(k.isin("STRING", "BOOLEAN"), x.cast("string"))
                 .when(k.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT|SMALLINT|TINYINT)"), number(x)))
 
-    out = F.when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), F.lit(None).cast("string")).otherwise(scalar(v))
+    def scalar(x: Column) -> Column:
+        return let(variant_type(x), lambda k: of_kind(x, k))
+
+    nested = lambda k: k.startswith("ARRAY") | k.startswith("OBJECT")
+    out = let(variant_type(v), lambda k: F.when(nested(k), F.lit(None).cast("string")).otherwise(of_kind(v, k)))
     if mode != "compat":
         return out
+    kind = variant_type(v)
     arr = F.transform(F.try_variant_get(v, "$", "array<variant>"), scalar)
     obj = F.try_variant_get(v, "$", "map<string,variant>")
     pairs = F.transform(F.array_sort(F.map_keys(obj)), lambda k: F.concat(k, F.lit(":"), scalar(F.element_at(obj, k))))

@@ -7,7 +7,7 @@ import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import blank, issues, last_key_wins, or_else, problem, unicode_trim
+from ..functions.text import any_of, blank, issues, last_key_wins, once, or_else, problem, unicode_trim
 from ..schemas import CONFLICT, EMPTY, INVALID, NOT_FOUND
 from .topology import route_subject
 
@@ -25,20 +25,19 @@ def split(df: DataFrame, reject: Column) -> tuple[DataFrame, DataFrame]:
 def normalize_records(df: DataFrame, now: datetime.datetime | None = None) -> tuple[DataFrame, DataFrame]:
     """(records, rejects): topic, key and headers trimmed, header names in lower case, blank names dropped; published_at is now where it is null."""
     names = F.transform(F.map_entries(F.coalesce("headers", F.create_map().cast("map<string,string>"))), lambda e: F.struct(F.lower(unicode_trim(e["key"])).alias("key"), unicode_trim(F.coalesce(e["value"], F.lit(""))).alias("value")))
-    names = F.filter(names, lambda e: e["key"] != "")
-    last = F.filter(names, lambda e, i: ~F.exists(F.slice(names, i + 2, F.greatest(F.size(names) - i - 1, F.lit(0))), lambda o: o["key"] == e["key"]))
+    df = once(df, _names=F.filter(names, lambda e: e["key"] != ""))
+    later = lambda i: F.slice("_names", i + 2, F.greatest(F.size("_names") - i - 1, F.lit(0)))
+    last = F.filter("_names", lambda e, i: ~F.exists(later(i), lambda o: o["key"] == e["key"]))
     out = (df.withColumn("topic", unicode_trim(F.coalesce("topic", F.lit("")))).withColumn("key", unicode_trim(F.coalesce("key", F.lit(""))))
-           .withColumn("headers", F.map_from_entries(last)).withColumn("published_at", F.coalesce("published_at", _moment(now))))
-    found = issues(("topic", F.col("topic") == "", EMPTY), ("payload", F.coalesce(F.length("payload"), F.lit(0)) == 0, EMPTY),
-                   ("partition", F.col("partition") < 0, "must not be negative"), ("offset", F.col("offset") < 0, "must not be negative"))
-    return _with_issues(out, found, "kafka record is invalid")
+           .withColumn("headers", F.map_from_entries(last)).withColumn("published_at", F.coalesce("published_at", _moment(now)))).drop("_names")
+    return _checked(out, [("topic", F.col("topic") == "", EMPTY), ("payload", F.coalesce(F.length("payload"), F.lit(0)) == 0, EMPTY),
+                          ("partition", F.col("partition") < 0, "must not be negative"), ("offset", F.col("offset") < 0, "must not be negative")], "kafka record is invalid")
 
 
-def _with_issues(df: DataFrame, found: Column, message: str) -> tuple[DataFrame, DataFrame]:
-    df = df.withColumn("_issues", found)
-    ok = df.where(F.size("_issues") == 0).drop("_issues")
-    bad = df.where(F.size("_issues") > 0).withColumn("problem", problem(INVALID, message, found=F.col("_issues"))).drop("_issues")
-    return ok, bad
+def _checked(df: DataFrame, checks: list, message: str) -> tuple[DataFrame, DataFrame]:
+    """(rows without a failing check, the others with ``problem``); which of them fail is told for the latter alone."""
+    bad = any_of(checks)
+    return df.where(~bad), df.where(bad).withColumn("problem", problem(INVALID, message, found=issues(*checks)))
 
 
 def message_id(*parts: Column) -> Column:
@@ -81,17 +80,24 @@ def check_pairs(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs.where(ok), pairs.where(~F.coalesce(ok, F.lit(False))).withColumn("problem", problem(CONFLICT, "kafka record topic does not match binding topic"))
 
 
-def message_issues() -> Column:
+def parse_payload(df: DataFrame) -> DataFrame:
+    """Adds ``_json``, the payload as VARIANT, null where it is no JSON; what follows reads it instead of parsing again."""
+    return df if "_json" in df.columns else once(last_key_wins(df), _json=F.try_parse_json("payload"))
+
+
+def message_checks() -> list:
+    """The checks of a message with ``_json``."""
     need = [("binding.name", "binding_name"), ("binding.topic", "topic"), ("binding.scope.kind", "scope_kind"), ("binding.scope.key", "scope_key"), ("binding.config.version_id", "version_id"),
             ("origin.source", "source"), ("origin.topic", "topic"), ("metadata.message_id", "message_id")]
     empty = F.coalesce(F.length("payload"), F.lit(0)) == 0
-    return issues(*[(f, blank(F.col(c)), EMPTY) for f, c in need], ("metadata.ingested_at", F.col("ingested_at").isNull(), "must not be zero"), ("metadata.content_type", blank(F.col("content_type")), EMPTY),
-                  ("payload", empty, EMPTY), ("payload", ~empty & F.try_parse_json("payload").isNull(), "must be valid JSON"))
+    return [*[(f, blank(F.col(c)), EMPTY) for f, c in need], ("metadata.ingested_at", F.col("ingested_at").isNull(), "must not be zero"), ("metadata.content_type", blank(F.col("content_type")), EMPTY),
+            ("payload", empty, EMPTY), ("payload", ~empty & F.col("_json").isNull(), "must be valid JSON")]
 
 
-def validate_messages(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(messages, rejects)."""
-    return _with_issues(last_key_wins(df), message_issues(), "data plane message is invalid")
+def validate_messages(df: DataFrame, parsed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(messages, rejects); messages keep ``_json`` if they are to go on ``parsed``."""
+    ok, bad = _checked(parse_payload(df), message_checks(), "data plane message is invalid")
+    return ok if parsed else ok.drop("_json"), bad.drop("_json")
 
 
 def normalize_values(df: DataFrame, col: str) -> DataFrame:
@@ -104,11 +110,11 @@ ENVELOPE_KINDS = ("command", "event", "request", "reply")
 
 def validate_envelopes(df: DataFrame, kind: str, type: str) -> tuple[DataFrame, DataFrame]:
     """(envelopes of a kind and type with valid metadata, the others)."""
-    found = issues(("kind", ~F.coalesce(F.col("kind").isin(*ENVELOPE_KINDS), F.lit(False)), "must be one of command, event, request or reply"),
+    found = [("kind", ~F.coalesce(F.col("kind").isin(*ENVELOPE_KINDS), F.lit(False)), "must be one of command, event, request or reply"),
                    *[(c, F.coalesce(F.col(c), F.lit("")) == "", EMPTY) for c in ("id", "type")], ("timestamp", F.col("timestamp").isNull(), "must not be zero"),
                    ("content_type", F.coalesce("content_type", F.lit("")) == "", EMPTY), ("headers", F.exists(F.map_keys("headers"), lambda k: k == ""), "must not contain empty header keys"),
-                   ("kind", (F.col("kind") != kind) | (F.col("type") != type), "is not the wanted kind and type"))
-    return _with_issues(df, found, "envelope is invalid")
+                   ("kind", (F.col("kind") != kind) | (F.col("type") != type), "is not the wanted kind and type")]
+    return _checked(df, found, "envelope is invalid")
 
 
 def dedup_messages(stream: DataFrame, window: str = "2 minutes", key: str = "message_id", at: str = "ingested_at") -> DataFrame:

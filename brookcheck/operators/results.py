@@ -11,9 +11,9 @@ import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import blank, issues, unicode_trim
+from ..functions.text import blank, unicode_trim
 from ..schemas import EMPTY, VIOLATION
-from .ingest import _with_issues
+from .ingest import _checked
 from .validate import disposition, processing_key
 
 KIND, OPEN = "validation.rule_violation", "open"
@@ -91,11 +91,11 @@ def list_incidents(found: DataFrame, scope_kind: str = "global", scope_key: str
 def validate_incidents(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(incidents, rejects)."""
     need = [("binding.name", "binding_name"), ("binding.topic", "topic"), ("binding.scope.kind", "scope_kind"), ("binding.scope.key", "scope_key"), ("config.version_id", "version_id")]
-    found = issues(("incident_key", blank(F.col("incident_key")), EMPTY), ("kind", F.coalesce(F.col("kind") != KIND, F.lit(True)), f"must be {KIND}"), ("status", F.coalesce(F.col("status") != OPEN, F.lit(True)), "must be open"),
+    found = [("incident_key", blank(F.col("incident_key")), EMPTY), ("kind", F.coalesce(F.col("kind") != KIND, F.lit(True)), f"must be {KIND}"), ("status", F.coalesce(F.col("status") != OPEN, F.lit(True)), "must be open"),
                    *[(f, blank(F.col(c)), EMPTY) for f, c in need], ("count", F.coalesce(F.col("count") <= 0, F.lit(True)), "must be greater than zero"),
                    *[(c, F.col(c).isNull(), "must not be zero") for c in ("first_seen_at", "last_seen_at")], ("last_seen_at", F.col("last_seen_at") < F.col("first_seen_at"), "must not be before first_seen_at"),
-                   ("latest_message_id", blank(F.col("latest_message_id")), EMPTY), ("violations", F.coalesce(F.size("violations"), F.lit(0)) <= 0, "must contain at least one item"))
-    return _with_issues(df, found, "validation incident is invalid")
+                   ("latest_message_id", blank(F.col("latest_message_id")), EMPTY), ("violations", F.coalesce(F.size("violations"), F.lit(0)) <= 0, "must contain at least one item")]
+    return _checked(df, found, "validation incident is invalid")
 
 
 def results_summary(results: DataFrame) -> DataFrame:

@@ -184,6 +184,22 @@ def _results_out(df):
     return df.select("processing_key", "message_id", "correlation_id", "binding_name", "topic", "scope_kind", "scope_key", "set_id", "config_key", "version_id", "version", "status", violations_text(), us("processed_at"), "seq")
 
 
+@register(f"{_OBJ} SELECT seq, 'odd:event_type:matches:error:rule operator is unsupported' AS violations FROM p")
+def unknown_operator(spark, d):
+    rules = F.array(F.struct(F.lit(" odd ").alias("name"), F.lit("event_type").alias("field"), F.lit(" Matches ").alias("operator"), F.lit("x").alias("expected_value"), F.lit("").alias("severity")))
+    return _objects(spark, d).select("seq", validate.violations(F.col("object"), rules).alias("violations")).select("seq", violations_text())
+
+
+# Numbers as the scientific form writes them, of values that follow from event_id.
+@register("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN '1e+06' WHEN 1 THEN '1e-05' WHEN 2 THEN CAST(event_id AS VARCHAR) WHEN 3 THEN '[' || event_id || ' <nil> x]' WHEN 4 THEN 'map[a:' || event_id || ' b:true]' ELSE '0.25' END AS printed FROM events WHERE event_id < 1000000""")
+def printed_values(spark, d):
+    e = fx.view(spark, d, "events").where("event_id < 1000000")
+    k, i = F.col("event_id") % 6, F.col("event_id").cast("string")
+    text = (F.when(k == 0, "1000000").when(k == 1, "0.00001").when(k == 2, i).when(k == 3, F.concat(F.lit("["), i, F.lit(', null, "x"]')))
+            .when(k == 4, F.concat(F.lit('{"b": true, "a": '), i, F.lit("}"))).otherwise("2.5e-1"))
+    return e.select("event_id", print_value(F.parse_json(text), "compat").alias("printed"))
+
+
 @register(f"WITH {q.RES} SELECT {_RES_COLS} FROM res")
 def evaluate(spark, d):
     return _results_out(fx.results(spark, d))
@@ -371,9 +387,11 @@ def audit_transitions(spark, d):
     return history.audit_transitions(fx.config_events(spark, d))
 
 
-@register(f"WITH {q.VER} SELECT set_id, count(*) FILTER (lifecycle IN ('draft', 'validated')) AS candidates FROM ver GROUP BY set_id HAVING count(*) FILTER (lifecycle IN ('draft', 'validated')) > 1")
+# Of odd orders only drafts and validations have come so far.
+@register(f"WITH {q.VER}, n AS (SELECT *, {q.STATE} AS state, row_number() OVER (PARTITION BY version_id ORDER BY occurred_at DESC, seq DESC) AS k FROM e WHERE seq % 10 <= 1 OR (seq // 10) % 2 = 0), o AS (SELECT set_id, count(*) AS candidates FROM n WHERE k = 1 AND state IN ('draft', 'validated') GROUP BY set_id) SELECT set_id, candidates FROM o WHERE candidates > 1")
 def open_candidate_conflicts(spark, d):
-    return history.open_candidate_conflicts(fx.versions(spark, d))
+    e = fx.config_events(spark, d).where("seq % 10 <= 1 or (seq div 10) % 2 = 0")
+    return history.open_candidate_conflicts(history.current_lifecycle(e))
 
 
 @register(f"WITH {q.VER} SELECT version_id, set_id, version FROM ver")

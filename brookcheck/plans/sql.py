@@ -64,23 +64,24 @@ canon AS (SELECT *, sha256('{{"metadata":{{"name":"' || c_name || '","descriptio
   || '"}}],"fields":[{{"name":"id","type":"string","required":true}},{{"name":"amount","type":"number"}}],"rules":[{{"name":"r1","field":"id","operator":"required"}},{{"name":"r2","field":"amount","operator":"' || op2 || '"'
   || CASE WHEN k % 8 = 0 THEN '' ELSE ',"expected_value":"\\u003c5\\u003e"' END || CASE WHEN k % 3 = 0 THEN ',"severity":"warn"' ELSE '' END || '}}]}}') AS definition_checksum FROM op)"""
 
-EV = f"""ev AS ({_duck(EVENTS)}),
-e AS (SELECT * EXCLUDE (scope_kind, scope_key), coalesce(nullif(lower(trim(scope_kind)), ''), 'global') AS scope_kind, coalesce(nullif(trim(scope_key), ''), 'default') AS scope_key FROM ev WHERE trim(event_id) <> '')"""
+EV = f"""ev AS MATERIALIZED ({_duck(EVENTS)}),
+e AS MATERIALIZED (SELECT * EXCLUDE (scope_kind, scope_key), coalesce(nullif(lower(trim(scope_kind)), ''), 'global') AS scope_kind, coalesce(nullif(trim(scope_key), ''), 'default') AS scope_key FROM ev WHERE trim(event_id) <> '')"""
 
 IV = f"""{EV},
-ad AS (SELECT *, coalesce(CASE WHEN event = 'config.activated' THEN activated_at ELSE deactivated_at END, occurred_at) AS pos FROM e WHERE event IN ('config.activated', 'config.deactivated')),
+ad AS MATERIALIZED (SELECT *, coalesce(CASE WHEN event = 'config.activated' THEN activated_at ELSE deactivated_at END, occurred_at) AS pos FROM e WHERE event IN ('config.activated', 'config.deactivated')),
 ad2 AS (SELECT *, first_value(CASE WHEN event = 'config.activated' THEN pos END IGNORE NULLS) OVER (PARTITION BY scope_kind, scope_key ORDER BY pos, seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt,
   first_value(CASE WHEN event = 'config.deactivated' THEN pos END IGNORE NULLS) OVER (PARTITION BY scope_kind, scope_key, version_id ORDER BY pos, seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS stop FROM ad),
-iv AS (SELECT set_id, config_key, version_id, version, scope_kind, scope_key, pos AS activated_at, least(nxt, stop) AS deactivated_at, seq FROM ad2 WHERE event = 'config.activated')"""
+iv AS MATERIALIZED (SELECT set_id, config_key, version_id, version, scope_kind, scope_key, pos AS activated_at, least(nxt, stop) AS deactivated_at, seq FROM ad2 WHERE event = 'config.activated')"""
 
 STATE = "CASE event WHEN 'config.draft_created' THEN 'draft' WHEN 'config.validated' THEN 'validated' WHEN 'config.compiled' THEN 'compiled' WHEN 'config.activated' THEN 'active' WHEN 'config.deactivated' THEN 'inactive' WHEN 'config.archived' THEN 'archived' WHEN 'config.rejected' THEN 'rejected' END"
 
 VER = f"""{IV},
 st AS (SELECT *, {STATE} AS state, row_number() OVER (PARTITION BY version_id ORDER BY occurred_at DESC, seq DESC) AS rn FROM e),
-life AS (SELECT version_id, set_id, config_key, version, CASE WHEN state = 'inactive' AND EXISTS (SELECT 1 FROM iv WHERE iv.version_id = st.version_id AND iv.deactivated_at IS NULL) THEN 'active' ELSE state END AS lifecycle, occurred_at AS updated_at FROM st WHERE rn = 1),
-ver AS (SELECT l.version_id, l.set_id, l.config_key, l.lifecycle, d.occurred_at AS created_at, row_number() OVER (PARTITION BY l.set_id ORDER BY d.occurred_at, d.seq) AS version FROM life l JOIN e d ON d.version_id = l.version_id AND d.event = 'config.draft_created')"""
+held AS MATERIALIZED (SELECT DISTINCT version_id AS held_id FROM iv WHERE deactivated_at IS NULL),
+life AS MATERIALIZED (SELECT version_id, set_id, config_key, version, CASE WHEN state = 'inactive' AND held_id IS NOT NULL THEN 'active' ELSE state END AS lifecycle, occurred_at AS updated_at FROM st LEFT JOIN held ON held_id = version_id WHERE rn = 1),
+ver AS MATERIALIZED (SELECT l.version_id, l.set_id, l.config_key, l.lifecycle, d.occurred_at AS created_at, row_number() OVER (PARTITION BY l.set_id ORDER BY d.occurred_at, d.seq) AS version FROM life l JOIN e d ON d.version_id = l.version_id AND d.event = 'config.draft_created')"""
 
 RUN = f"""{VER},
 act AS (SELECT version_id, string_agg(DISTINCT scope_kind || '/' || scope_key, ',' ORDER BY scope_kind || '/' || scope_key) AS scopes FROM iv WHERE deactivated_at IS NULL GROUP BY version_id),
-rt AS (SELECT iv.*, 'artifact-' || iv.version_id AS artifact_id, md5(iv.version_id) AS artifact_checksum, md5('d' || iv.version_id) AS definition_checksum FROM iv JOIN ver USING (version_id) WHERE deactivated_at IS NULL),
+rt AS MATERIALIZED (SELECT iv.*, 'artifact-' || iv.version_id AS artifact_id, md5(iv.version_id) AS artifact_checksum, md5('d' || iv.version_id) AS definition_checksum FROM iv JOIN ver USING (version_id) WHERE deactivated_at IS NULL),
 bd AS (SELECT rt.*, x.binding_name, CASE x.binding_name WHEN 'orders' THEN 't.' || set_id ELSE 't.audit' END AS topic FROM rt, (VALUES ('orders'), ('audit')) x(binding_name))"""

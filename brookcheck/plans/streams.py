@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import history, ingest, results
 from ..schemas import RECORD
+from ..sources import files
 from ..sources.files import read_records, shared_folder
 from ..streaming import pipeline, runtime_state
 from . import fixtures as fx
@@ -27,6 +28,45 @@ def stream_results(spark, d):
     return results.latest_results(spark.read.parquet(f"{at}/out/results").drop("date", "batch")).select("processing_key", "status", violations_text(), us("processed_at"))
 
 
+@register(f"WITH {q.LATEST} SELECT processing_key, status, violations FROM latest")
+def refresh_topology(spark, d):
+    """Two micro-batches; the second refresh fails, and the topology of the first stays."""
+    at = shared_folder(spark, "refresh")
+    df = fx.records(spark, d).select(*[c.split()[0] for c in RECORD.split(", ") if not c.startswith("string")])
+    for part in (0, 1):
+        df.where(F.col("offset") % 2 == part).coalesce(1).write.mode("append").parquet(f"{at}/in")
+    loaded = [(fx.bindings(spark), fx.runtimes(spark))]
+    records = read_records(spark, {"format": "parquet", "path": f"{at}/in", "maxFilesPerTrigger": 1}, _TOPICS, streaming=True)
+    pipeline.start_pipeline(records, loaded.pop, f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    return results.latest_results(spark.read.parquet(f"{at}/out/results").drop("date", "batch")).select("processing_key", "status", violations_text())
+
+
+@register(f"WITH {q.MSG} SELECT message_id, seq, 'dataplane.ingestion.received.' || scope_kind || '.' || scope_key || '.' || binding_name AS route FROM mj WHERE j IS NOT NULL")
+def write_messages(spark, d):
+    """Messages as they come back from their sink, a folder for each route."""
+    at = shared_folder(spark, "messages")
+    files.write_messages(fx.valid_messages(spark, d).drop("headers"), at)
+    return spark.read.parquet(at).select("message_id", "seq", "route")
+
+
+@register(f"WITH {q.REC} SELECT topic, coalesce(correlation_header, '') AS correlation, off AS \"offset\", epoch_us(published_at) AS published_at FROM rec WHERE off % 11 <> 0")
+def write_records(spark, d):
+    """Records as they come back from the sink; those without topic are refused."""
+    at = shared_folder(spark, "records")
+    df = fx.records(spark, d).withColumn("topic", F.when(F.col("offset") % 11 == 0, " ").otherwise(F.concat(F.lit(" "), "topic"))).drop("seq")
+    files.write_records(df, {"format": "json", "path": at})
+    back = read_records(spark, {"format": "json", "path": at}, _TOPICS)
+    return back.select("topic", F.coalesce(F.try_element_at("headers", F.lit("X-Correlation-Id")), F.lit("")).alias("correlation"), "offset", us("published_at"))
+
+
+@register(f"WITH {q.MSG} SELECT message_id, seq, 'VAL_INVALID_ARGUMENT' AS code FROM mj WHERE j IS NULL")
+def write_rejects(spark, d):
+    """Rejected messages as they come back from their sink."""
+    at = shared_folder(spark, "rejects")
+    files.write_rejects(ingest.validate_messages(fx.messages(spark, d))[1], at)
+    return spark.read.parquet(at).select("message_id", "seq", "problem.code")
+
+
 def _changes(spark, d):
     kind, key = history.scope(F.col("scope_kind"), F.col("scope_key"))
     e = fx.config_events(spark, d).where("event in ('config.activated', 'config.deactivated')").withColumn("at", F.coalesce("activated_at", "deactivated_at"))

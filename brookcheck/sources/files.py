@@ -8,8 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import once, problem, unicode_trim
 from ..operators.history import check_events
-from ..schemas import RECORD
+from ..schemas import INVALID, RECORD
 
 EVENT = "seq bigint, event string, event_id string, occurred_at timestamp, correlation_id string, set_id string, config_key string, version_id string, version bigint, scope_kind string, scope_key string, activated_at timestamp, deactivated_at timestamp, reason string"
 
@@ -44,17 +45,41 @@ def write_rejects(df: DataFrame, path: str, mode: str = "append") -> None:
     df.write.mode(mode).parquet(path)
 
 
-def write_records(df: DataFrame, target: dict, mode: str = "append") -> None:
-    """Records with key, headers and time to Kafka, or to files."""
+def outgoing_records(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(records, rejects): topic, header names and header values trimmed, headers without a name dropped, published_at now where it is null; a record without topic is refused."""
+    pairs = F.transform(F.map_entries(F.coalesce("headers", F.create_map().cast("map<string,string>"))), lambda e: F.struct(unicode_trim(e["key"]).alias("key"), unicode_trim(F.coalesce(e["value"], F.lit(""))).alias("value")))
+    df = once(df, _pairs=F.filter(pairs, lambda e: e["key"] != ""))
+    later = lambda i: F.slice("_pairs", i + 2, F.greatest(F.size("_pairs") - i - 1, F.lit(0)))
+    last = F.filter("_pairs", lambda e, i: ~F.exists(later(i), lambda o: o["key"] == e["key"]))
+    df = df.withColumn("topic", unicode_trim(F.coalesce("topic", F.lit("")))).withColumn("headers", F.map_from_entries(last)).withColumn("published_at", F.coalesce("published_at", F.current_timestamp())).drop("_pairs")
+    return df.where("topic <> ''"), df.where("topic = ''").withColumn("problem", problem(INVALID, "topic is required"))
+
+
+def write_records(df: DataFrame, target: dict, mode: str = "append") -> DataFrame:
+    """Writes records with key, headers and time to Kafka, or to files; returns those refused.
+
+    Spark's Kafka sink cannot set a record's time: it goes along as the header ``published_at``, in ISO 8601.
+    """
+    df, refused = outgoing_records(df)
     if target["format"] == "kafka":
-        headers = F.transform(F.map_entries("headers"), lambda e: F.struct(e["key"].alias("key"), e["value"].cast("binary").alias("value")))
-        df = df.select("topic", "key", F.col("payload").alias("value"), headers.alias("headers"))
-        df.write.format("kafka").options(**{k: v for k, v in target.items() if k != "format"}).save()
+        for_kafka(df).write.format("kafka").options(**{k: v for k, v in target.items() if k != "format"}).save()
     else:
-        df.write.mode(mode).format(target["format"]).save(target["path"])
+        # Text formats would cut times to milliseconds.
+        df.write.mode(mode).format(target["format"]).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").save(target["path"])
+    return refused
+
+
+def for_kafka(df: DataFrame) -> DataFrame:
+    """topic, key, value and headers as Spark's Kafka sink takes them."""
+    time = F.struct(F.lit("published_at").alias("key"), F.date_format(F.to_utc_timestamp("published_at", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").cast("binary").alias("value"))
+    headers = F.transform(F.map_entries(F.map_filter("headers", lambda k, v: k != "published_at")), lambda e: F.struct(e["key"].alias("key"), e["value"].cast("binary").alias("value")))
+    return df.select("topic", "key", F.col("payload").alias("value"), F.concat(headers, F.array(time)).alias("headers"))
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors see: under ``spark.checkpoint.dir``, or a temporary one where that is unset."""
+    """A new folder that all executors see: under ``spark.checkpoint.dir``, or in local mode a temporary one where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not base and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{(base or 'file://' + tempfile.mkdtemp(prefix='brookcheck-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -8,6 +8,7 @@ not if it is older than the activation.
 
 from __future__ import annotations
 
+import datetime
 import heapq
 import pickle
 import tempfile
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-STATE = "scope_kind string, scope_key string, set_id string, version_id string, activated_at timestamp"
+STATE = "scope_kind string, scope_key string, set_id string, version_id string, activated_at timestamp, loaded_at timestamp"
 
 
 #: Changes that are sorted in memory at a time; of more, sorted runs are merged from files.
@@ -64,25 +65,32 @@ def _in_order(rows: Iterator[Row]) -> Iterator[Row]:
 
 class _Cache(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.current = handle.getValueState("current", "set_id string, version_id string, activated_at timestamp")
+        self.current = handle.getValueState("current", "set_id string, version_id string, activated_at timestamp, loaded_at timestamp")
 
     def handleInputRows(self, key, rows: Iterator[Row], timer_values) -> Iterator[Row]:
-        now = self.current.get() if self.current.exists() else None
+        before = tuple(self.current.get()) if self.current.exists() else None
+        now, loaded = (before[:3], before[3]) if before else (None, None)
         for r in _in_order(rows):
-            now = _advance(now, r)
+            new = _advance(now, r)
+            if new is not now and new is not None:
+                loaded = datetime.datetime.now()
+            now = new
         if now is None:
             self.current.clear()
-            yield Row(scope_kind=key[0], scope_key=key[1], set_id=None, version_id=None, activated_at=None)
+            yield Row(scope_kind=key[0], scope_key=key[1], set_id=None, version_id=None, activated_at=None, loaded_at=None)
         else:
-            self.current.update(tuple(now))
-            yield Row(scope_kind=key[0], scope_key=key[1], set_id=now[0], version_id=now[1], activated_at=now[2])
+            self.current.update((*now, loaded))
+            yield Row(scope_kind=key[0], scope_key=key[1], set_id=now[0], version_id=now[1], activated_at=now[2], loaded_at=loaded)
 
     def close(self) -> None:
         pass
 
 
 def runtime_state(events: DataFrame) -> DataFrame:
-    """A row for each scope that a micro-batch touches; without version where it has been cleared."""
+    """A row for each scope that a micro-batch touches; without version where it has been cleared.
+
+    loaded_at is when the current runtime was taken over; an activation that is ignored leaves it.
+    """
     return events.groupBy("scope_kind", "scope_key").transformWithState(statefulProcessor=_Cache(), outputStructType=STATE, outputMode="update", timeMode="None")
 
 
@@ -102,9 +110,11 @@ def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(*scope, *now)], columns=["scope_kind", "scope_key", "set_id", "version_id", "activated_at"])
 
 
-def runtime_state_batch(events: DataFrame) -> DataFrame:
+def runtime_state_batch(events: DataFrame, loaded_at: datetime.datetime | None = None) -> DataFrame:
     """The state after all changes in the order of seq; scopes without a runtime are left out.
 
+    loaded_at is now, unless it is given.
+
     The newest activation of a scope replaces whatever is current when it comes,
     and nothing but a clearing removes it: both are aggregates that are combined
     before the shuffle.  Only changes that follow such a clearing, where an older
@@ -124,7 +134,8 @@ def runtime_state_batch(events: DataFrame) -> DataFrame:
     # An activation that came after the clearing is older than the one cleared.
     late = e.join(known.where("c is not null or odd").select("k", "y", "c", "odd"), met & (F.col("odd") | (F.col("o") > F.col("c")))).select(*by, *_STEP)
     late = late.repartition(*by).sortWithinPartitions(*by, *[F.asc_nulls_last(c) for c in _STEP])
-    return out.unionByName(late.mapInPandas(_fold, STATE))
+    folded = late.mapInPandas(_fold, STATE.rpartition(",")[0])
+    return out.unionByName(folded).withColumn("loaded_at", F.current_timestamp() if loaded_at is None else F.lit(loaded_at))
 
 
 def active_runtime(state: DataFrame, kind: str = "", key: str = "") -> DataFrame:

@@ -32,6 +32,17 @@ def test_sinks_and_sources_round_trip(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "x")).count() == bad.count()
 
 
+def test_outgoing_records_are_cleaned_and_blank_topics_refused(spark, tmp_path):
+    at = datetime.datetime(2026, 1, 2, 3, 4, 5, 600)
+    rows = [(" t ", "k", "p", {" A ": " x ", "": "y", "n": None}, at), (" \t", "k", "p", None, at), ("u", None, "p", None, None)]
+    df = spark.createDataFrame(rows, "topic string, key string, payload string, headers map<string,string>, published_at timestamp")
+    refused = files.write_records(df, {"format": "json", "path": str(tmp_path / "o")})
+    assert [(r.topic, r.problem.code) for r in refused.collect()] == [("", "VAL_INVALID_ARGUMENT")]
+    ok = {r.topic: r for r in files.for_kafka(files.outgoing_records(df)[0]).collect()}
+    assert {(h.key, bytes(h.value).decode()) for h in ok["t"].headers} == {("A", "x"), ("n", ""), ("published_at", "2026-01-02T03:04:05.000600Z")}
+    assert [h.key for h in ok["u"].headers] == ["published_at"] and bytes(ok["u"].headers[0].value)
+
+
 def test_retries_end(spark):
     df = spark.createDataFrame([(1, "SYS_NOT_FOUND", True, 9), (2, "SYS_NOT_FOUND", True, 10), (3, "SYS_CONFLICT", False, 1), (4, "SYS_UNAVAILABLE", False, None)], "id int, code string, retryable boolean, attempt int")
     again, over = results.retry_rejects(df.withColumn("problem", F.struct("code", "retryable")))
