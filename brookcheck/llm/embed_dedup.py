@@ -98,7 +98,7 @@ def _encode(models: dict[int, tuple[np.ndarray, np.ndarray]], width: int, tables
                 keys = bits[:, : tables * width].reshape(len(x), tables, width) @ weights
                 near = np.zeros((len(x), 64), bool)
                 near[:, : min(64, bits.shape[1])] = bits[:, :64]
-                yield pd.DataFrame({"v": rows["v"].to_numpy(), "code": np.packbits(near, axis=1).view(np.int64)[:, 0], "keys": list(keys)})
+                yield pd.DataFrame({"v": rows["v"].to_numpy(), "kind": rows["kind"].to_numpy(), "code": np.packbits(near, axis=1).view(np.int64)[:, 0], "keys": list(keys)})
     return run
 
 
@@ -108,17 +108,16 @@ def similar_vectors(rows: DataFrame, cosine: float = 0.93, miss: float = 1e-3, f
 
     ``rows`` needs vec_id, embedding and label; further columns are ignored.
     Vectors link when their labels are equal and not null and their cosine in
-    double precision is at least ``cosine``.  A vector that is null, empty,
+    double precision is at least ``cosine``.  Rows that repeat a vec_id are vectors of their own.  A vector that is null, empty,
     zero, or holds a null or non-finite component, and a row without vec_id,
     links with nothing; the latter has no component.  Vectors of different
     length never link.  Equal vectors are one vertex with a count, never all
     pairs.  Rotations are fitted on at most ``fit_rows`` rows, taken by a hash
     of the vector; every vector is indexed.  An empty table gives none.
     """
-    d = F.transform("embedding", lambda x: x.cast("double"))
     ok = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(F.size("embedding") > 0, F.lit(False)) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    norm = F.sqrt(F.aggregate(F.col("vec"), F.lit(0.0), lambda s, x: s + x * x))
-    base = rows.select("vec_id", F.when(F.coalesce(ok, F.lit(False)), F.struct(F.xxhash64("label", "embedding").alias("v"), d.alias("vec"), "label")).alias("r"))
+    norm = F.sqrt(F.aggregate(F.col("vec"), F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    base = rows.select("vec_id", F.when(F.coalesce(ok, F.lit(False)), F.struct(F.xxhash64("label", "embedding").alias("v"), F.col("embedding").alias("vec"), "label")).alias("r"))
     base = base.select("vec_id", "r.v", "r.vec", "r.label").withColumn("norm", norm)
     base = base.select("vec_id", "vec", "label", "norm", F.when((F.col("norm") > 0) & (F.col("norm") < float("inf")), F.col("v")).alias("v"))
     classes = keep(base.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"), F.first("vec").alias("vec"), F.first("label").alias("label"), F.first("norm").alias("norm")), "classes")
@@ -127,7 +126,7 @@ def similar_vectors(rows: DataFrame, cosine: float = 0.93, miss: float = 1e-3, f
     at_least = min(1.0, max(-1.0, cosine))
     # About twice the bound pass, so that no more than that reaches the driver from all tasks.
     few = F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < int(min(1.0, 2 * fit_rows / max(n, 1)) * (1 << 30))
-    sample = [r["vec"] for r in classes.where(few).select("v", "vec").orderBy("v").limit(fit_rows).select("vec").collect()]
+    sample = [list(map(float, r["vec"])) for r in classes.where(few).select("v", "vec").orderBy("v").limit(fit_rows).select("vec").collect()]
     models, starts, agree = {}, 1, [np.array([1 - math.acos(at_least) / math.pi])]
     units = {}
     for dim in sorted({len(x) for x in sample}):
@@ -140,16 +139,13 @@ def similar_vectors(rows: DataFrame, cosine: float = 0.93, miss: float = 1e-3, f
         starts = math.ceil(tables * width / min(64, dim))
         models[dim] = learn(x, 64, starts)
 
-    coded = classes.select("v", "vec").mapInPandas(_encode(models, width, tables, starts), "v long, code long, keys array<long>")
-    labelled = coded.join(classes.select("v", "label", F.size("vec").alias("dim")), "v")
-    slots = keep(labelled.select("v", "code", "label", "dim", F.posexplode("keys").alias("t", "k")).select("v", "code", F.xxhash64("label", "dim", "t", "k").alias("bucket")), "slots")
-    many = keep(slots.groupBy("bucket").count().where("count > 1").select("bucket"), "many")
-    shared = keep(slots.join(many, "bucket"), "shared")
-    drop(slots)
+    coded = classes.select("v", F.xxhash64("label", F.size("vec")).alias("kind"), "vec").mapInPandas(_encode(models, width, tables, starts), "v long, kind long, code long, keys array<long>")
+    slots = keep(coded.select("v", "code", "kind", F.posexplode("keys").alias("t", "k")).select("v", "code", F.xxhash64("kind", "t", "k").alias("bucket")), "slots")
     # The first 64 bits of a pair at 0.93 differ in 8 on average, with deviation 2.6, where vectors have no direction in common.
     flips = 64 * (1 - float(np.quantile(agree, 0.001)))
     near = int(flips + 5.5 * math.sqrt(flips * (1 - flips / 64)))
-    a, b = shared.alias("a"), shared.alias("b")
+    # Both sides are one plain exchange, which adaptive execution splits where a bucket is large.
+    a, b = slots.alias("a"), slots.alias("b")
     pairs = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.v") < F.col("b.v")) & F.expr(f"bit_count(a.code ^ b.code) <= {near}")).select(F.col("a.v").alias("a"), F.col("b.v").alias("b")).distinct()
     at = lambda s: classes.select(F.col("v").alias(s), F.col("vec").alias(f"vec_{s}"), F.col("norm").alias(f"norm_{s}"), F.col("label").alias(f"label_{s}"), F.col("copies").alias(f"copies_{s}"))
     links = pairs.join(at("a"), "a").join(at("b"), "b").where((F.col("label_a") == F.col("label_b")) & (F.size("vec_a") == F.size("vec_b")) & (_cosine() >= cosine))
@@ -167,5 +163,5 @@ def similar_vectors(rows: DataFrame, cosine: float = 0.93, miss: float = 1e-3, f
 
 
 def _cosine() -> Column:
-    dot = F.aggregate(F.zip_with("vec_a", "vec_b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    dot = F.aggregate(F.zip_with("vec_a", "vec_b", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     return dot / (F.col("norm_a") * F.col("norm_b"))

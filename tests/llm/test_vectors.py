@@ -42,6 +42,13 @@ def test_recall_of_vectors_with_a_common_direction(spark):
     assert want.sum() >= 2400 and (have <= want).all() and have.sum() >= 0.99 * want.sum(), have.sum() / want.sum()
 
 
+def test_rows_that_repeat_an_id(spark):
+    a, b = [1.0, 0.0, 0.5], [-1.0, 0.2, 0.0]
+    rows = [(1, a, 1), (1, a, 1), (1, b, 1), (2, a, 1), (3, b, 1)]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embed_dedup.similar_vectors(spark.createDataFrame([(*r, "x") for r in rows], SCHEMA)).collect())
+    assert got == [(1, 1, 1), (1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 1, 1)]
+
+
 def test_odd_vectors(spark):
     a = [1.0, 2.0, 3.0]
     rows = [(5, a, 1), (2, a, 1), (9, [2.0, 4.0, 6.0], 1), (3, a, 2), (4, a, None), (6, None, 1), (7, [0.0, 0.0, 0.0], 1), (8, [1.0, None, 3.0], 1), (10, [float("nan"), 2.0, 3.0], 1), (11, [float("inf"), 2.0, 3.0], 1), (12, [], 1), (13, [1.0, 2.0], 1), (None, a, 1)]
