@@ -221,20 +221,20 @@ def _predict(net: ByteNet, size: int = 512):
             known = total > 0
             score = np.where(known, out[np.arange(len(out)), best] / np.where(known, total, 1), 0.0)
             names = np.array([*net.classes, "und"], object)
-            yield pd.DataFrame({"lang": names[np.where(known, best, len(net.classes))], "score": np.clip(score, 0, 1)})
+            yield pd.DataFrame({"lang": names[np.where(known, best, len(net.classes))], "score": np.round(np.clip(score, 0, 1), 6)})
     return run
 
 
 def predict(docs: DataFrame, net: ByteNet, lang: str = "_lang", score: str = "_score") -> DataFrame:
     """``docs`` with the columns ``lang`` and ``score``; und and 0 where text is null or has no letter.
 
-    The language is the likeliest of those learned; texts of none of them have a score under ``net.least``.
+    The language is the likeliest of those learned; its score has six digits, as the last ones depend on how rows are batched.  Texts of none of them have a score under ``net.least``.
     Only text goes through Python; other columns stay as they are, and a ValueError says
     where one has a name that is wanted here.
     """
     if len({c.lower() for c in (*docs.columns, lang, score)}) != len({c.lower() for c in docs.columns}) + 2:
         raise ValueError(f"columns named {lang} or {score} are there already")
-    found = F.pandas_udf(_predict(net), "lang string, score double", F.PandasUDFType.SCALAR_ITER)(F.when(F.col("text").rlike(r"\p{L}"), F.col("text")))
+    found = F.pandas_udf(_predict(net), "lang string, score double")(F.when(F.col("text").rlike(r"\p{L}"), F.col("text")))
     return docs.withColumns({lang: found["lang"], score: found["score"]})
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -197,6 +198,46 @@ def test_wrapped_licences_and_two_in_a_line(spark):
     assert got == [(0, 2, "mit"), (1, 1, "bsd"), (2, 0, "isc"), (3, 0, "cc-by-sa"), (3, 0, "mit"), (4, 0, "lgpl")]
 
 
+def plain(text):
+    return re.findall(r"[a-z0-9\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+
+
+def in_order(template, words):
+    row = [0] * (len(template) + 1)
+    for w in words:
+        new = row[:]
+        for j, t in enumerate(template):
+            new[j + 1] = row[j] + 1 if w == t else max(row[j + 1], new[j])
+        row = new
+    return row[-1]
+
+
+def test_licence_statements_of_the_data(spark, documents):
+    """Every line that holds a template as it stands is reported with its family, and what is reported holds most of one."""
+    texts = {r.doc_id: r.text or "" for r in documents.collect()}
+    got = licenses.scan(documents).collect()
+    want = set()
+    for d, text in texts.items():
+        for k, line in enumerate(text.split("\n")):
+            words = f" {' '.join(plain(line))} "
+            best = {}
+            for family, templates in licenses.TEMPLATES.items():
+                size = max((len(plain(t)) for t in templates if f" {' '.join(plain(t))} " in words), default=0)
+                best |= {family: size} if size else {}
+            if len(best) == 1:
+                want.add((d, k, *best))
+    assert len(want) >= 20 and want <= {(r.doc_id, r.line, r.family) for r in got}
+    for r in got:
+        words = plain(" ".join(texts[r.doc_id].split("\n")[r.line:r.line + 8]))
+        assert any(in_order(plain(t), words) >= 0.85 * len(plain(t)) for t in licenses.TEMPLATES[r.family]), r
+
+
+def test_licences_of_repeated_rows_and_null_ids(spark):
+    rows = [(1, "Released under the MIT License."), (1, "Released under the MIT License."), (None, "All rights reserved.")] + [(100 + i, f"plain words of topic {i}") for i in range(60)]
+    got = sorted((str(r.doc_id), r.family) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [("1", "mit"), ("1", "mit"), ("None", "proprietary")]
+
+
 @pytest.fixture(scope="module")
 def documents(spark):
     return spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
@@ -210,15 +251,27 @@ def test_language_accuracy_on_held_out_rows(spark, documents):
 
 
 def test_language_of_odd_rows(spark):
-    rows = [(i, ("der die das und nicht ein " if i % 2 else "the and of that with for ") * 10, "de" if i % 2 else "en", 1) for i in range(60)] + [(100, None, "en", 1), (101, "", None, 1), (102, "123 !!", "en", 1), (None, "the and of that with", "en", 1), (103, "x" * 100000, None, 1)]
+    rows_3 = "der die das und nicht ein " * 10
+    rows = [(i, ("der die das und nicht ein " if i % 2 else "the and of that with for ") * 10, "de" if i % 2 else "en", 1) for i in range(60)] + [(100, None, "en", 1), (101, "", None, 1), (102, "123 !!", "en", 1), (None, "the and of that with", "en", 1), (103, "x" * 100000, None, 1), (3, rows_3, "de", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int")
-    got = {r.doc_id: r for r in language.identify(df).collect()}
+    every = language.identify(df).collect()
+    assert len(every) == len(rows) and len({tuple(r) for r in every if r.doc_id == 3}) == 1
+    got = {r.doc_id: r for r in every}
     assert [got[i].lang_pred for i in (100, 101, 102)] == ["und"] * 3 and got[100].score == 0
     assert all(got[i].lang_pred == ("de" if i % 2 else "en") for i in range(60)) and got[None].lang_pred == "en" and not got[None].held_out
     assert language.identify(df.limit(0)).count() == 0
     assert {r.lang_pred for r in language.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_other_columns_stay_whatever_their_names(spark):
+    df = spark.createDataFrame([(2**62 + 1, "the cat", "a", "b"), (None, None, "c", "d")], "doc_id long, text string, _lang string, _letters string")
+    net = language.ByteNet(["en"])
+    got = {r.doc_id: tuple(r)[:5] for r in language.predict(df, net, "l", "s").collect()}
+    assert got == {2**62 + 1: (2**62 + 1, "the cat", "a", "b", "en"), None: (None, None, "c", "d", "und")}
+    with pytest.raises(ValueError):
+        language.predict(df, net)
+
+
 def test_more_languages_than_the_bound_are_refused(spark):
     df = spark.createDataFrame([(i, "some text", f"l{i}") for i in range(20)], "doc_id long, text string, lang string")
     with pytest.raises(ValueError, match="most_classes"):

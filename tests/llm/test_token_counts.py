@@ -38,3 +38,15 @@ def test_runs_of_unknown_characters_are_one_piece_without_bytes():
     model = token_counts.Unigram([("▁", -1.0), ("a", -2.0), ("▁a", -3.0)], -3.0, False)
     assert model.count("aXXa X") == 5
     assert model.best("▁a") == 1  # a tie goes to the piece that starts first
+
+
+def test_odd_rows(spark):
+    """Null ids and texts, repeated rows, names that clash, a very long text, an empty table."""
+    long = "an unlikely sequence of words, é😀 and more\n" * 20000
+    rows = [(None, "hello world"), (7, "hello world"), (7, "hello world"), (8, None), (9, ""), (10, long)]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, n_tokens int, tokens string")
+    t = exact()
+    got = sorted((str(r.doc_id), r.n_tokens) for r in token_counts.count_tokens(df, PATH).collect())
+    n = len(t.encode("hello world").ids)
+    assert got == sorted([("None", n), ("7", n), ("7", n), ("8", 0), ("9", 0), ("10", len(t.encode(long).ids))])
+    assert token_counts.count_tokens(df.limit(0), PATH).count() == 0
