@@ -7,8 +7,8 @@ Information-theoretic sanitisation adds terms: over all lines of the corpus,
 the pointwise mutual information of a term with an entity in its line or the lines beside it, as a share of
 the entity's own information, says how far the term alone discloses the entity
 (1: the term never stands without it).  How often entity and term meet is
-estimated from below (the lower bound of a Wilson interval), so that few meetings
-count for less and none are left out.  In documents that hold the entity, terms
+estimated from the other meetings (leaving one out) and from below (the lower bound of a Wilson interval), so that few meetings
+count for less.  In documents that hold the entity, terms
 above the threshold are generalised, and removed when they disclose almost
 all of it.
 """
@@ -102,7 +102,8 @@ def _entities(s: Column) -> Column:
 
 
 def lower_share(k: Column, n: Column) -> Column:
-    """Lower bound of the Wilson interval of ``k`` in ``n``, ``Z`` deviations wide."""
+    """Lower bound of the Wilson interval, ``Z`` deviations wide, of ``k`` in ``n`` without the one at hand; null if there is no other."""
+    k, n = k - 1, F.nullif(n - 1, F.lit(0.0))
     p = k / n
     return (p + Z * Z / (2 * n) - Z * F.sqrt(p * (1 - p) / n + Z * Z / (4 * n * n))) / (1 + Z * Z / n)
 
@@ -117,7 +118,9 @@ def terms_told(rows: DataFrame, docs: DataFrame, generalise: float, remove: floa
     spans = spans.select(*unit, "n_lines", (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit("")))).alias("at"), F.explode(_entities(F.col("s"))).alias("e"))
     near = spans.select(*unit, "e", F.explode(F.sequence(F.greatest(F.col("at") - 1, F.lit(0)), F.least(F.col("at") + 1, F.col("n_lines") - 1))).alias("at")).distinct()
     near = keep(near, "near")
-    entities = near.groupBy("e").agg(F.count("*").alias("n_e"))
+    # An entity near a single line meets no term twice.
+    entities = keep(near.groupBy("e").agg(F.count("*").alias("n_e")).where("n_e > 1"), "entities")
+    near = keep(near.join(entities.select("e"), "e", "left_semi"), "near")
     lines = hits.select(*unit, F.posexplode(F.split("hit", "\n")).alias("at", "line")).join(near.select(*unit, "at").distinct(), [*unit, "at"], "left_semi")
     terms = keep(lines.select(*unit, "at", F.explode(_terms(F.col("line"))).alias("t")), "lines")
     pairs = near.join(terms, [*unit, "at"]).groupBy("e", "t").agg(F.count("*").alias("n_et")).join(entities, "e")
@@ -126,7 +129,7 @@ def terms_told(rows: DataFrame, docs: DataFrame, generalise: float, remove: floa
     own = F.log2(F.lit(total) / F.col("n_e"))
     told = lambda n_t: (F.log2(lower_share(F.col("n_et").cast("double"), n_t.cast("double"))) + own) / own
     # What would not be told even if the term stood nowhere else need not be counted.
-    pairs = keep(pairs.where((own >= least_bits) & (told(F.col("n_et")) >= generalise)), "pairs")
+    pairs = keep(pairs.where("n_et > 1").where((own >= least_bits) & (told(F.col("n_et")) >= generalise)), "pairs")
     names = keep(pairs.select(F.xxhash64("t").alias("k")).distinct(), "terms")
     if names.count() <= BROADCAST_TERMS:
         names = F.broadcast(names)
@@ -144,7 +147,7 @@ def find_pii(docs: DataFrame, generalise: float = 0.9, remove: float = 0.98, lea
     """doc_id, th, tl, n_lines, base, terms and hit: one row per row of ``docs``.
 
     base holds the spans of the patterns, terms those of disclosing terms; hit
-    is the text of documents with any base span.  A term discloses an entity from a share ``generalise`` of
+    is the text of documents with any base span.  Meetings are counted in lines; one that has no other tells nothing.  A term discloses an entity from a share ``generalise`` of
     its information on, and is removed from ``remove`` on; entities of fewer than ``least_bits``, which stand
     near more than one line in 64, are no secret.  Copies of a text count once.  Null text counts as empty.
     Documents without protected values never gain terms.  Rows are told apart
@@ -236,7 +239,10 @@ def sql(generalise: float = 0.9, least_bits: float = 6.0) -> str:
     masked = "line"
     for p in plain.values():
         masked = f"regexp_replace({masked}, '{p}', ' ', 'g')"
-    low = lambda k, n: f"(({k} / {n} + {Z * Z} / (2 * {n}) - {Z} * sqrt({k} / {n} * (1 - {k} / {n}) / {n} + {Z * Z} / (4 * {n} * {n}))) / (1 + {Z * Z} / {n}))"
+    def low(k: str, n: str) -> str:
+        k, n = f"({k} - 1)", f"nullif({n} - 1, 0)"
+        return f"(({k} / {n} + {Z * Z} / (2 * {n}) - {Z} * sqrt({k} / {n} * (1 - {k} / {n}) / {n} + {Z * Z} / (4 * {n} * {n}))) / (1 + {Z * Z} / {n}))"
+
     terms = lambda of: rf"unnest(list_distinct(regexp_extract_all(lower({of}), '\p{{L}}{{3,}}')))"
     return f"""
 WITH docs AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t FROM documents),
@@ -251,7 +257,7 @@ n_e AS (SELECT e, count(*) AS n_e FROM near GROUP BY e),
 lt AS (SELECT id, ln, {terms(masked)} AS term FROM lines SEMI JOIN near USING (id, ln)),
 total AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM lines),
 pairs0 AS (SELECT e, term, count(*) AS n_et FROM near JOIN lt USING (id, ln) GROUP BY e, term),
-pairs AS (SELECT e, term, CAST(n_et AS DOUBLE) AS n_et, log2(n / n_e) AS own FROM pairs0 JOIN n_e USING (e), total WHERE log2(n / n_e) >= {least_bits} AND (log2({low('CAST(n_et AS DOUBLE)', 'CAST(n_et AS DOUBLE)')}) + log2(n / n_e)) / log2(n / n_e) >= {generalise}),
+pairs AS (SELECT e, term, CAST(n_et AS DOUBLE) AS n_et, log2(n / n_e) AS own FROM pairs0 JOIN n_e USING (e), total WHERE n_et > 1 AND log2(n / n_e) >= {least_bits} AND (log2({low('CAST(n_et AS DOUBLE)', 'CAST(n_et AS DOUBLE)')}) + log2(n / n_e)) / log2(n / n_e) >= {generalise}),
 n_t AS (SELECT term, count(*) AS n_t FROM (SELECT {terms('line')} AS term FROM lines) WHERE term IN (SELECT term FROM pairs) GROUP BY term),
 told AS (SELECT e, term FROM (SELECT e, term, n_et, own, greatest(CAST(n_t AS DOUBLE), n_et) AS n_t FROM pairs JOIN n_t USING (term)) WHERE (log2({low('n_et', 'n_t')}) + own) / own >= {generalise}),
 doc_terms AS (SELECT DISTINCT d.id, term FROM docs d JOIN one_of o ON o.t = d.t JOIN near n ON n.id = o.id JOIN told USING (e)),
