@@ -92,7 +92,7 @@ def _each(array: str, prefix: str, checks) -> Column:
 
 
 def diagnose_documents(df: DataFrame) -> DataFrame:
-    """``diagnostics`` of normalised documents, in the order in which they are checked."""
+    """``diagnostics`` of normalised documents, in the order in which they are checked; paths and messages are fixed values."""
     seen = lambda before, member, value: (value != "") & F.exists(before, lambda o: o[member] == value)
     names = F.transform(F.coalesce(F.col("fields"), F.array()), lambda f: f["name"])
     top = F.array(

@@ -86,7 +86,7 @@ def parse_payload(df: DataFrame) -> DataFrame:
 
 
 def message_checks() -> list:
-    """The checks of a message with ``_json``."""
+    """The checks of a message with ``_json``; paths and messages are fixed values."""
     need = [("binding.name", "binding_name"), ("binding.topic", "topic"), ("binding.scope.kind", "scope_kind"), ("binding.scope.key", "scope_key"), ("binding.config.version_id", "version_id"),
             ("origin.source", "source"), ("origin.topic", "topic"), ("metadata.message_id", "message_id")]
     empty = F.coalesce(F.length("payload"), F.lit(0)) == 0

@@ -34,7 +34,11 @@ def binding_index(bindings: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def topic_topology(bindings: DataFrame) -> DataFrame:
-    """topic, n_bindings, bindings (sorted structs of scope, name and version)."""
+    """topic, n_bindings, bindings (sorted structs of scope, name and version).
+
+    A row holds all bindings of its topic, as is asked for: of a topic that very many
+    versions bind, take ``binding_index`` instead, which has a row for each.
+    """
     one = F.struct("scope_kind", "scope_key", "binding_name", "version_id")
     return bindings.groupBy(unicode_trim(F.col("topic")).alias("topic")).agg(F.count("*").alias("n_bindings"), F.sort_array(F.collect_list(one)).alias("bindings"))
 

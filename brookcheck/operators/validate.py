@@ -58,7 +58,7 @@ def decode_payload(df: DataFrame) -> DataFrame:
 
 
 def _guards(df: DataFrame, checks: list) -> list[tuple[Column, Column]]:
-    """(failing condition, problem) of each guard, in order."""
+    """(failing condition, problem) of each guard, in order; codes and messages are fixed values."""
     runtime = df.schema["runtime"].dataType.fieldNames()
     uncovered = F.col("runtime.uncovered") if "uncovered" in runtime else _uncovered(F.col("runtime.rules"), F.col("runtime.artifact.capabilities"))
     differs = lambda a, b: F.coalesce(unicode_trim(F.col(a)) != F.col(b), F.lit(True))

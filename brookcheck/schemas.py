@@ -14,6 +14,7 @@ PROBLEM = f"struct<code:string,message:string,retryable:boolean,issues:{ISSUES}>
 VIOLATION = "struct<rule:string,field:string,operator:string,severity:string,message:string>"
 RECORD = "topic string, key string, payload string, headers map<string,string>, partition int, offset bigint, published_at timestamp"
 
+# What documents may hold, problem codes and messages.
 FIELD_TYPES = ("string", "integer", "number", "boolean", "timestamp")
 OPERATORS = ("required", "not_empty", "equals")
 SEVERITIES = ("error", "warn")

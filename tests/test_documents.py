@@ -4,9 +4,9 @@ import json
 
 from brookcheck.operators import documents as D
 
-GOOD = {"metadata": {"name": " smoke ", "labels": {" team ": " x ", " ": "y", "z": " "}}, "bindings": [{"name": "b", "topic": "t"}],
-        "fields": [{"name": "event_id", "type": "STRING", "required": True}, {"name": "status", "type": "string"}, {"name": "amount", "type": "number"}],
-        "rules": [{"name": "r1", "field": "event_id", "operator": "required"}, {"name": "r2", "field": "status", "operator": "not_empty", "severity": "warn"}]}
+GOOD = {"metadata": {"name": " meters ", "labels": {" site ": " north ", " ": "y", "z": " "}}, "bindings": [{"name": "gauges", "topic": "plant.gauges"}],
+        "fields": [{"name": "gauge", "type": "STRING", "required": True}, {"name": "unit", "type": "string"}, {"name": "level", "type": "number"}, {"name": "taken", "type": "timestamp"}],
+        "rules": [{"name": "has_level", "field": "level", "operator": "required"}, {"name": "in_bar", "field": "unit", "operator": "equals", "expected_value": "bar", "severity": "warn"}]}
 
 
 def verdicts(spark, *docs):
@@ -15,22 +15,23 @@ def verdicts(spark, *docs):
     return [r.asDict(recursive=True) for r in df.orderBy("i").collect()]
 
 
-def test_smoke_document_is_valid_in_json_and_yaml(spark):
-    yaml = "metadata: {name: smoke, labels: {team: x}}\nbindings: [{name: b, topic: t}]\nfields:\n- {name: event_id, type: string, required: true}\n- {name: status, type: string}\n- {name: amount, type: number}\nrules:\n- {name: r1, field: event_id, operator: required}\n- {name: r2, field: status, operator: not_empty, severity: warn}\n"
+def test_one_document_in_json_and_yaml(spark):
+    yaml = "metadata:\n  name: meters\n  labels: {site: north}\nbindings:\n  - {topic: plant.gauges, name: gauges}\nfields:\n  - {type: string, name: gauge, required: true}\n  - {type: string, name: unit}\n  - {type: number, name: level}\n  - {type: timestamp, name: taken}\nrules:\n  - {name: has_level, operator: required, field: level}\n  - {name: in_bar, operator: equals, field: unit, expected_value: bar, severity: warn}\n"
     a, b = verdicts(spark, (" JSON ", GOOD), ("yaml", yaml))
     assert a["valid"] and b["valid"] and a["definition_checksum"] == b["definition_checksum"]
-    assert a["metadata"] == {"name": "smoke", "description": "", "labels": {"team": "x"}}
+    assert a["metadata"] == {"name": "meters", "description": "", "labels": {"site": "north"}}
 
 
 def test_canonical_json(spark):
     import hashlib
 
     doc = GOOD | {"metadata": {"name": "a<b&c>", "description": 'q"\n'}}
-    want = ('{"metadata":{"name":"a\\u003cb\\u0026c\\u003e","description":"q\\""},"bindings":[{"name":"b","topic":"t"}],"fields":[{"name":"event_id","type":"string","required":true},{"name":"status","type":"string"},{"name":"amount","type":"number"}],'
-            '"rules":[{"name":"r1","field":"event_id","operator":"required"},{"name":"r2","field":"status","operator":"not_empty","severity":"warn"}]}')
+    want = ('{"metadata":{"name":"a\\u003cb\\u0026c\\u003e","description":"q\\""},"bindings":[{"name":"gauges","topic":"plant.gauges"}],"fields":[{"name":"gauge","type":"string","required":true},{"name":"unit","type":"string"},{"name":"level","type":"number"},{"name":"taken","type":"timestamp"}],'
+            '"rules":[{"name":"has_level","field":"level","operator":"required"},{"name":"in_bar","field":"unit","operator":"equals","expected_value":"bar","severity":"warn"}]}')
     assert verdicts(spark, ("json", doc))[0]["definition_checksum"] == hashlib.sha256(want.encode()).hexdigest()
 
 
+# Paths and messages of diagnostics.
 def test_diagnostics(spark):
     bad = {"metadata": {"name": ""}, "bindings": [{"name": "b", "topic": "t"}, {"name": "b", "topic": "t"}, {"name": " ", "topic": ""}], "fields": [{"name": "x", "type": "money"}, {"name": "x", "type": "string"}],
            "rules": [{"name": "r", "field": "status", "operator": "required"}, {"name": "r", "field": "", "operator": "like", "severity": "fatal"}, {"name": "q", "field": "x", "operator": "equals"}]}
