@@ -124,6 +124,7 @@ def _with_pivot(rows: DataFrame, percent: int) -> DataFrame:
     """Every candidate pair of a member with its node's pivot, the member of least hash."""
     cols = ["v", "n", *_SKETCH]
     pivot = rows.groupBy("node").agg(F.min(F.struct(F.xxhash64("node", "v").alias("h"), *cols)).alias("p")).select("node", *[F.col(f"p.{x}").alias(x) for x in cols])
+    pivot = keep(pivot, "pivot")  # so that the join reads two plain exchanges, which adaptive execution splits where a node is large
     return rows.alias("a").join(pivot.alias("b"), (F.col("a.node") == F.col("b.node")) & (F.col("a.v") != F.col("b.v")) & _alike(percent)).select(F.col("a.v").alias("a"), F.col("b.v").alias("b"))
 
 
