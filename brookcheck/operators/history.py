@@ -40,10 +40,15 @@ def activation_intervals(events: DataFrame) -> DataFrame:
     kind, key = scope(F.col("scope_kind"), F.col("scope_key"))
     e = events.where(F.col("event").isin("config.activated", "config.deactivated")).withColumn("scope_kind", kind).withColumn("scope_key", key)
     e = e.withColumn("at", F.coalesce(F.when(F.col("event") == "config.activated", F.col("activated_at")).otherwise(F.col("deactivated_at")), F.col("occurred_at")))
-    # Latest first: a frame that grows from the start is kept up row by row, one that shrinks to the end is made anew for each.
-    later = W.partitionBy("scope_kind", "scope_key").orderBy(F.desc("at"), F.desc("seq")).rowsBetween(W.unboundedPreceding, -1)
+    # The next activation is sought within a day, and then among the first ones of the days that follow, so that no task has to hold a scope.
+    where = ["scope_kind", "scope_key"]
+    e = e.withColumn("day", F.coalesce(F.unix_date(F.to_date("at")), F.lit(-(1 << 30))))
     up = F.when(F.col("event") == "config.activated", F.struct("at", "seq"))
-    e = e.withColumn("next", F.last(up, ignorenulls=True).over(later))
+    days = e.groupBy(*where, "day").agg(F.min(up).alias("first"))
+    days = days.select(*where, "day", F.last("first", ignorenulls=True).over(W.partitionBy(*where).orderBy(F.desc("day")).rowsBetween(W.unboundedPreceding, -1)).alias("then"))
+    # Latest first: a frame that grows from the start is kept up row by row, one that shrinks to the end is made anew for each.
+    later = W.partitionBy(*where, "day").orderBy(F.desc("at"), F.desc("seq")).rowsBetween(W.unboundedPreceding, -1)
+    e = e.withColumn("next", F.last(up, ignorenulls=True).over(later)).join(days, [*where, "day"]).withColumn("next", F.coalesce("next", "then")).drop("then", "day")
     own = W.partitionBy("scope_kind", "scope_key", "version_id").orderBy(F.desc("at"), F.desc("seq")).rowsBetween(W.unboundedPreceding, -1)
     e = e.withColumn("stop", F.last(F.when(F.col("event") == "config.deactivated", F.struct("at", "seq")), ignorenulls=True).over(own))
     rows = e.where("event = 'config.activated'").withColumn("activated_at", F.col("at"))
