@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 _SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+def _solid(c: Column) -> Column:
+    """Whether a text starts with an ASCII character that is no space."""
+    return F.ascii(c).between(33, 126)
+
+
 def unicode_trim(c: Column) -> Column:
     """Strip Unicode white space at both ends; Spark's own trim strips spaces only."""
     return F.btrim(c, F.lit(_SPACES))
@@ -28,7 +33,7 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
 
 def blank(c: Column) -> Column:
     """Null, empty, or white space alone."""
-    return F.coalesce(unicode_trim(c) == "", F.lit(True))
+    return F.coalesce(F.when(_solid(c), F.lit(False)).otherwise(F.btrim(c, F.lit(_SPACES)) == ""), F.lit(True))
 
 
 def or_else(c: Column, *others: Column) -> Column:

@@ -48,12 +48,10 @@ def message_id(*parts: Column) -> Column:
 def to_messages(df: DataFrame, now: datetime.datetime | None = None, source: str = "kafka") -> DataFrame:
     """Adds message_id, correlation_id, content_type, source, ingested_at and route to rows that hold a record and a binding."""
     header = lambda n: F.try_element_at("headers", F.lit(n))
-    df = df.withColumn("message_id", message_id(*[F.col(c) for c in ("topic", "partition", "offset", "scope_kind", "scope_key", "version_id", "binding_name")]))
-    return (df.withColumn("correlation_id", or_else(header("x-correlation-id"), F.col("message_id")))
-            .withColumn("content_type", or_else(header("content-type"), F.lit("application/json")))
-            .withColumn("source", F.lower(or_else(F.lit(source), F.lit("kafka"))))
-            .withColumn("ingested_at", _moment(now) if now is not None else F.col("published_at"))
-            .withColumn("route", route_subject(F.col("scope_kind"), F.col("scope_key"), F.col("binding_name"))))
+    own = [F.col(c) for c in ("topic", "partition", "offset", "scope_kind", "scope_key", "version_id", "binding_name")]
+    made = {"message_id": message_id(*own), "correlation_id": or_else(header("x-correlation-id")), "content_type": or_else(header("content-type"), F.lit("application/json")),
+            "source": F.lower(or_else(F.lit(source), F.lit("kafka"))), "ingested_at": _moment(now) if now is not None else F.col("published_at"), "route": route_subject(F.col("scope_kind"), F.col("scope_key"), F.col("binding_name"))}
+    return once(df, **made).withColumn("correlation_id", F.coalesce("correlation_id", "message_id"))
 
 
 BINDING = ("binding_name", "scope_kind", "scope_key", "set_id", "config_key", "version_id", "version", "definition_checksum")
