@@ -133,10 +133,14 @@ def terms_told(rows: DataFrame, docs: DataFrame, generalise: float, remove: floa
     names = keep(pairs.select(F.xxhash64("t").alias("k")).distinct(), "terms")
     if names.count() <= BROADCAST_TERMS:
         names = F.broadcast(names)
-    everywhere = docs.where("text is not null").select(F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    everywhere = everywhere.select("th", "at", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(f"({_TERM})")))).alias("t"))
-    # Copies of a text count once.
-    counts = everywhere.select("th", "at", F.xxhash64("t").alias("k")).join(names, "k", "left_semi").distinct().groupBy("k").agg(F.count("*").alias("n_t"))
+    # Copies of a text count once: each has its share of one, so that terms are summed before any shuffle.
+    copies = keep(rows.groupBy(*unit).agg(F.count("*").alias("m")).where("m > 1"), "copies")
+    if copies.count() <= BROADCAST_TERMS:
+        copies = F.broadcast(copies)
+    everywhere = docs.where("text is not null").select(F.xxhash64("text").alias("th"), F.xxhash64(F.lit(1), "text").alias("tl"), "text").join(copies, unit, "left")
+    everywhere = everywhere.select((1 / F.coalesce("m", F.lit(1))).alias("w"), F.explode(F.split("text", "\n")).alias("line"))
+    everywhere = everywhere.select("w", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(f"({_TERM})")))).alias("t"))
+    counts = everywhere.select("w", F.xxhash64("t").alias("k")).join(names, "k", "left_semi").groupBy("k").agg(F.round(F.sum("w")).cast("long").alias("n_t"))
     found = pairs.withColumn("k", F.xxhash64("t")).join(counts, "k").withColumn("told", told(F.greatest("n_t", "n_et"))).where(F.col("told") >= generalise)
     found = found.select("e", "t", (F.col("told") >= remove).alias("gone"))
     by_text = near.select(*unit, "e").distinct().join(found, "e").groupBy(*unit, "t").agg(F.max("gone").alias("gone"))
