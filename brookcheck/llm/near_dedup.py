@@ -237,9 +237,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, trees:
     sets = keep(describe(docs, shingle), "sets")
     real = sets.where("v is not null and doc_id is not null")
     vertices = keep(real.groupBy("v").agg(F.min(F.struct("doc_id", "th")).alias("low"), *[F.first(c).alias(c) for c in ("n", *_SKETCH, "sig")]).select("v", F.col("low.doc_id").alias("doc"), "low.th", "n", *_SKETCH, "sig"), "vertices")
+    # Signatures are needed once for each vertex only; tables go as soon as nothing reads them any more.
+    described, sets = sets, keep(sets.select("doc_id", "n", "v"), "ids")
+    drop(described)
     signed = vertices.select("v", "sig")
 
-    found, rows, large = None, keep(_expand(vertices, similarity, trees), "nodes"), None
+    found, parts, large, rows = None, [], None, keep(_expand(vertices, similarity, trees), "nodes")
     for level in range(1, 4):
         sizes = keep(rows.groupBy("node").count().where("count > 1"), "sizes")
         grouped = keep(rows.join(sizes, "node"), "grouped")
@@ -247,9 +250,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, trees:
         small, large = grouped.where(F.col("count") <= leaf).drop("count"), grouped.where(F.col("count") > leaf).drop("count")
         new = keep(_pairs(small, percent).unionByName(_with_pivot(large, percent)), "found")
         found = new if found is None else found.unionByName(new)
+        drop(sizes)
+        parts.append(new)
         if level < 3:
             rows = keep(_expand(large.join(signed, "v"), similarity, trees), "nodes")
+            drop(grouped)
     clusters = keep(connected_components(found), "clusters")
+    for x in parts:
+        drop(x)
 
     def with_cluster(df: DataFrame) -> DataFrame:
         return df.join(clusters.select(F.col("id").alias("v"), "component"), "v", "left").withColumn("c", F.coalesce("component", "v")).drop("component")
