@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embed_dedup, html_text, language, licenses, mixing, near_dedup, pii, suffix_dedup, token_counts
+from . import decontaminate, embed_dedup, html_text, language, licenses, mixing, near_dedup, periodic, pii, suffix_dedup, token_counts
 from .common import table
 
 #: Where the vocabulary files of public tokenizers lie.
@@ -53,6 +53,10 @@ def op4_license_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(periodic.periodic_runs(periodic.spliced(table(spark, sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_repeats": op1_suffix_array_repeats,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_spaced_seed_decontamination": op9_spaced_seed_decontamination,
     "op10_language_id": op10_language_id,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 _WORDS = r"list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -96,4 +101,5 @@ FROM embeddings e JOIN comp c ON c.vec_id = e.vec_id LEFT JOIN n ON n.vec_id = e
     "op9_spaced_seed_decontamination": decontaminate.sql(),
     "op1_suffix_array_repeats": suffix_dedup.sql(50),
     "op3_information_theoretic_pii": pii.sql(),
+    "op11_periodic_runs": periodic.sql(),
 }
