@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embed_dedup, html_text, language, licenses, mixing, near_dedup, periodic, pii, suffix_dedup, token_counts
+from . import collocations, decontaminate, embed_dedup, html_text, language, licenses, mixing, near_dedup, periodic, pii, suffix_dedup, token_counts
 from .common import table
 
 #: Where the vocabulary files of public tokenizers lie.
@@ -57,6 +57,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digest(periodic.periodic_runs(periodic.spliced(table(spark, sf_dir, "documents"))))
 
 
+def op12_son_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), longest=3, support=10, inside=50, top=2000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_repeats": op1_suffix_array_repeats,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_spaced_seed_decontamination": op9_spaced_seed_decontamination,
     "op10_language_id": op10_language_id,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_son_collocations": op12_son_collocations,
 }
 
 _WORDS = r"list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -102,4 +107,5 @@ FROM embeddings e JOIN comp c ON c.vec_id = e.vec_id LEFT JOIN n ON n.vec_id = e
     "op1_suffix_array_repeats": suffix_dedup.sql(50),
     "op3_information_theoretic_pii": pii.sql(),
     "op11_periodic_runs": periodic.sql(),
+    "op12_son_collocations": collocations.sql(),
 }
