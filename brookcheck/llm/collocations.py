@@ -8,8 +8,8 @@ nothing.  A shard is mined length by length: a phrase can be frequent only if bo
 parts that are one word shorter are, so only such phrases are counted.  Phrases are known by 64-bit
 hashes there.  Two that collide are counted together, which can only add a candidate.
 
-Then all candidates of all lengths are counted over the whole corpus, by their words themselves, and
-those below the support go: counts are exact.
+Then all candidates of all lengths are counted over the whole corpus, inside a task by 128 bits of hash
+and across tasks by their words themselves, and those below the support go: counts are exact.
 
 Occurrences are summed in the task that reads the texts, again before the shuffle, and after it.
 Hashes of candidates are given to the tasks while there are no more than
@@ -41,6 +41,7 @@ _CUT[list(b".,;:!?\n\v\f\r")] = True
 _GAP[list(b" \t")] = True
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[ord("A"):ord("Z") + 1] += 32
+_OTHER = mix(_LOWER) | np.uint64(1)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -57,20 +58,37 @@ class Words:
         self.piece = np.concatenate([[0], np.cumsum(cut)])[self.start]
         ends = np.cumsum([len(t) + 1 for t in texts])
         self.text = np.searchsorted(ends, self.start, side="right")
+        self.seed = seeds[langs[self.text]]
+        self.word = self._hashes(_LOWER)
+
+    def _hashes(self, of_byte: np.ndarray) -> np.ndarray:
         up, down = _powers(len(self.data))
         total = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_LOWER[self.data] * up[:len(self.data)], out=total[1:], dtype=np.uint64)
-        h = mix((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
-        self.word = mix(h ^ seeds[langs[self.text]])
+        np.cumsum(of_byte[self.data] * up[:len(self.data)], out=total[1:], dtype=np.uint64)
+        return mix(mix((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64)) ^ self.seed)
 
     def phrases(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """(first words, hashes) of all phrases of ``size`` words that lie in one piece."""
         n = max(0, len(self.word) - size + 1)
         at = np.flatnonzero(self.piece[:n] == self.piece[size - 1:size - 1 + n])
+        return at, self._joined(self.word, at, size)
+
+    @staticmethod
+    def _joined(word: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
         h = np.full(len(at), size, np.uint64)
         for k in range(size):
-            h = mix((h + self.word[at + k]) * _STEP)
-        return at, h
+            h = mix((h + word[at + k]) * _STEP)
+        return h
+
+    def counted(self, at: np.ndarray, h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first words, hashes, counts) of the different phrases among these, told apart by 128 bits."""
+        if not hasattr(self, "other"):
+            self.other = self._hashes(_OTHER)
+        more = self._joined(self.other, at, size)
+        order = np.lexsort((more, h))
+        h, more, at = h[order], more[order], at[order]
+        first = np.flatnonzero(np.concatenate([[True], (np.diff(h) != 0) | (np.diff(more) != 0)]))
+        return at[first], h[first], np.diff(np.append(first, len(h)))
 
     def written(self, at: np.ndarray, size: int) -> list[str]:
         data, start, end = self.data.tobytes(), self.start, self.end
@@ -122,6 +140,8 @@ def _mine(size: int, parts):
                 ok[first[_held(shorter, known)]] = True
                 stays = ok[at] & ok[at + 1]
                 at, h = at[stays], h[stays]
+            if not len(h):
+                continue
             h, first, n = np.unique(h, return_index=True, return_counts=True)
             yield pd.DataFrame({"lang": np.array(langs, object)[of[words.text[at[first]]]], "shard": shard, "h": h.view(np.int64), "n": n})
     return run
@@ -136,8 +156,9 @@ def _count(sizes: range, known):
                 if known is not None:
                     held = _held(h, known.value)
                     at, h = at[held], h[held]
-                h, first, n = np.unique(h, return_index=True, return_counts=True)
-                at = at[first]
+                if not len(h):
+                    continue
+                at, h, n = words.counted(at, h, size)
                 yield pd.DataFrame({"lang": np.array(langs, object)[of[words.text[at]]], "size": size, "h": h.view(np.int64), "phrase": words.written(at, size), "n": n})
     return run
 
