@@ -4,17 +4,19 @@ Documents are dealt to ``shards`` shards by hash.  A phrase that ``support``
 occurrences make frequent in a language has, in one shard at least, as great a
 share of them as the shard has of the language's words; so each shard is mined completely
 at that lowered support (rounded up), and the union of what is frequent in some shard misses
-nothing.  A shard is mined length by length: a phrase can be frequent only if both of its
+nothing.  A shard in which a phrase is not frequent holds one occurrence less than its support at
+most, so a candidate that cannot come to ``support`` even then goes at once.  A shard is mined length by length: a phrase can be frequent only if both of its
 parts that are one word shorter are, so only such phrases are counted.  Phrases are known by 64-bit
 hashes there.  Two that collide are counted together, which can only add a candidate.
 
-Then all candidates of all lengths are counted over the whole corpus, inside a task by 128 bits of hash
-and across tasks by their words themselves, and those below the support go: counts are exact.
+Then all candidates of all lengths are counted over the whole corpus, by 128 bits of hash, and those below the
+support go.
 
-Occurrences are summed in the task that reads the texts, again before the shuffle, and after it.
-Hashes of candidates are given to the tasks while there are no more than
+Counts are summed over each batch of texts and shuffled as packed arrays, a row for each language, shard and
+range of hashes; the number of ranges grows with the bytes of text, so a group that is summed
+holds the counts of a few megabytes of it.  Hashes of candidates are given to the tasks while there are no more than
 ``BROADCAST_PHRASES`` of them (8 bytes each).  Beyond that phrases are counted
-unpruned, and the exact count is joined with the candidates by a shuffle; the result is the same.
+unpruned, and the exact counts are joined with the candidates by a shuffle; the result is the same.
 """
 
 from __future__ import annotations
@@ -32,7 +34,9 @@ from .common import keep, mix, tidy, _LOWER, _powers
 #: Up to this many hashes of candidates go to the tasks.
 BROADCAST_PHRASES = 4_000_000
 #: Bytes of text that are counted at a time; a longer text goes alone.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
+#: Bytes of text for each range of hashes of a shard.
+RANGE = 8 << 20
 #: Parts in which the phrases of a language are ranked before they meet.
 PARTS = 64
 
@@ -80,19 +84,18 @@ class Words:
             h = mix((h + word[at + k]) * _STEP)
         return h
 
-    def counted(self, at: np.ndarray, h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first words, hashes, counts) of the different phrases among these, told apart by 128 bits."""
+    def counted(self, at: np.ndarray, h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(first words, hashes, more bits of hash, counts) of the different phrases among these, told apart by 128 bits."""
         if not hasattr(self, "other"):
             self.other = self._hashes(_OTHER)
         more = self._joined(self.other, at, size)
-        order = np.lexsort((more, h))
-        h, more, at = h[order], more[order], at[order]
-        first = np.flatnonzero(np.concatenate([[True], (np.diff(h) != 0) | (np.diff(more) != 0)]))
-        return at[first], h[first], np.diff(np.append(first, len(h)))
+        first, n = _summed(h, np.ones(len(h), np.int64), more)
+        return at[first], h[first], more[first], n
 
-    def written(self, at: np.ndarray, size: int) -> list[str]:
-        data, start, end = self.data.tobytes(), self.start, self.end
-        return [b" ".join([data[start[i + k]:end[i + k]] for k in range(size)]).decode() for i in at.tolist()]
+    def written(self, at: np.ndarray, size: int) -> list[bytes]:
+        data = self.data.tobytes()
+        words = [[data[a:b] for a, b in zip(self.start[at + k].tolist(), self.end[at + k].tolist(), strict=True)] for k in range(size)]
+        return words[0] if size == 1 else [b" ".join(x) for x in zip(*words, strict=True)]
 
 
 def _held(h: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -109,8 +112,8 @@ def _seed(lang: str) -> np.uint64:
     return mix(np.array([total], np.uint64))[0]
 
 
-def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list[str], int, Words]]:
-    """(languages, shard, words) of a few megabytes of text of one shard at a time."""
+def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list[str], int, Words | None, np.ndarray]]:
+    """(languages, shard, words, language of each text) of a megabyte of text of one shard at a time; without words at the end of a shard's share of a batch."""
     for pdf in batches:
         langs = sorted(set(pdf["lang"]))
         seeds = np.array([_seed(x) for x in langs], np.uint64)
@@ -126,13 +129,43 @@ def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list[str], int, W
                 of.append(number[lang])
                 size += len(data) + 1
             yield langs, shard, Words(texts, np.array(of), seeds), np.array(of)
+            yield langs, shard, None, np.zeros(0, np.int64)
 
 
-def _mine(size: int, parts):
+def _summed(h: np.ndarray, n: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first of each different (h, more), sum of n)."""
+    order = np.lexsort((*more, h)) if more else np.argsort(h, kind="stable")
+    new = np.ones(len(h), bool)
+    new[1:] = np.logical_or.reduce([np.diff(x[order]) != 0 for x in (h, *more)])
+    first = np.flatnonzero(new)
+    return order[first], np.add.reduceat(n[order], first)
+
+
+def _packed(langs: list[str], of: np.ndarray, h: np.ndarray, ranges: int, columns: dict[str, np.ndarray], shard: int) -> pd.DataFrame:
+    """A row for each language and range of hashes, with the bytes of all columns."""
+    range_ = ((h >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+    order = np.lexsort((range_, of))
+    of, range_, columns = of[order], range_[order], {k: x[order] for k, x in columns.items()}
+    edge = np.flatnonzero(np.concatenate([[True], (np.diff(of) != 0) | (np.diff(range_) != 0), [True]]))
+    out = {"lang": [langs[i] for i in of[edge[:-1]]], "shard": shard, "range": range_[edge[:-1]].astype(np.int64)}
+    for k, x in columns.items():
+        join = (lambda y: b"\n".join(y.tolist())) if x.dtype == object else np.ndarray.tobytes
+        out[k] = [join(x[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+    return pd.DataFrame(out)
+
+
+def _mine(size: int, parts, ranges: int):
     """Counts of phrases of ``size`` words by shard; with ``parts``, only of those whose parts of one word less are among them."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = parts.value if parts is not None else None
+        known, held = parts.value if parts is not None else None, []
         for langs, shard, words, of in _chunks(batches):
+            if words is None:
+                if held:
+                    h, n, lang = (np.concatenate(x) for x in zip(*held, strict=True))
+                    first, n = _summed(h, n)
+                    yield _packed(langs, lang[first], h[first], ranges, {"h": h[first], "n": n}, shard)
+                held = []
+                continue
             at, h = words.phrases(size)
             if known is not None:
                 ok = np.zeros(len(words.word) + 1, bool)
@@ -140,26 +173,46 @@ def _mine(size: int, parts):
                 ok[first[_held(shorter, known)]] = True
                 stays = ok[at] & ok[at + 1]
                 at, h = at[stays], h[stays]
-            if not len(h):
-                continue
-            h, first, n = np.unique(h, return_index=True, return_counts=True)
-            yield pd.DataFrame({"lang": np.array(langs, object)[of[words.text[at[first]]]], "shard": shard, "h": h.view(np.int64), "n": n})
+            if len(h):
+                h, first, n = np.unique(h, return_index=True, return_counts=True)
+                held.append((h, n, of[words.text[at[first]]]))
     return run
 
 
-def _count(sizes: range, known):
-    """Counts of phrases by their words; with ``known``, of those among it."""
+def _frequent(pdf: pd.DataFrame) -> pd.DataFrame:
+    """What is frequent in a shard, of one range of hashes."""
+    h, n = (np.frombuffer(b"".join(pdf[c]), t) for c, t in (("h", np.uint64), ("n", np.int64)))
+    first, n = _summed(h, n)
+    least = int(pdf["least"].iloc[0])
+    often = n >= least
+    return pd.DataFrame({"lang": pdf["lang"].iloc[0], "h": h[first[often]].view(np.int64), "over": n[often] - (least - 1)})
+
+
+def _count(longest: int, known, ranges: int):
+    """Counts of phrases by 128 bits, with their words; with ``known``, of those among it."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for langs, _, words, of in _chunks(batches):
-            for size in sizes:
+        for langs, shard, words, of in _chunks(batches):
+            for size in range(1, longest + 1) if words is not None else ():
                 at, h = words.phrases(size)
                 if known is not None:
                     held = _held(h, known.value)
                     at, h = at[held], h[held]
                 if not len(h):
                     continue
-                at, h, n = words.counted(at, h, size)
-                yield pd.DataFrame({"lang": np.array(langs, object)[of[words.text[at]]], "size": size, "h": h.view(np.int64), "phrase": words.written(at, size), "n": n})
+                at, h, more, n = words.counted(at, h, size)
+                text = np.array([None, *words.written(at, size)], object)[1:]
+                yield _packed(langs, of[words.text[at]], h, ranges, {"h": h, "more": more, "n": n, "text": text}, shard).drop(columns="shard").assign(size=size)
+    return run
+
+
+def _exact(support: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        h, more, n = (np.frombuffer(b"".join(pdf[c]), t) for c, t in (("h", np.uint64), ("more", np.uint64), ("n", np.int64)))
+        first, n = _summed(h, n, more)
+        often = n >= support
+        first, n = first[often], n[often]
+        texts = b"\n".join(pdf["text"]).split(b"\n")
+        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "size": pdf["size"].iloc[0], "h": h[first].view(np.int64), "phrase": np.array([None, *(texts[i].decode() for i in first)], object)[1:], "a": n})
     return run
 
 
@@ -176,25 +229,30 @@ def frequent_phrases(docs: DataFrame, longest: int, support: int, shards: int) -
     spark = docs.sparkSession
     shard = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(shards)).cast("int")
     rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), shard.alias("shard"))
-    by, found, share, totals = ["lang", "shard", "h"], [], None, None
+    ranges = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (RANGE * shards) + 1
+    by, found = ["lang", "shard", "range"], []
     for size in range(1, longest + 1):
         parts = _given(spark, found[-1:]) if found else None
-        mined = rows.mapInPandas(_mine(size, parts), "lang string, shard int, h long, n long").groupBy(*by).agg(F.sum("n").alias("n"))
-        if share is None:
+        mined = rows.mapInPandas(_mine(size, parts, ranges), "lang string, shard int, range long, h binary, n binary")
+        if size == 1:
             mined = keep(mined, "words")
-            share = keep(mined.groupBy("lang", "shard").agg(F.sum("n").alias("of")), "share")
+            words = F.expr("aggregate(sequence(1, length(n), 8), 0L, (s, i) -> s + cast(conv(hex(reverse(substring(n, i, 8))), 16, 10) as bigint))")
+            share = keep(mined.groupBy("lang", "shard").agg(F.sum(words).alias("of")), "share")
             totals = keep(share.groupBy("lang").agg(F.sum("of").alias("all")), "totals")
-            share = share.join(totals, "lang").select("lang", "shard", F.expr(f"({support} * of + `all` - 1) div `all`").alias("least"))
-        found.append(keep(mined.join(share, ["lang", "shard"]).where("n >= least").select("lang", "h").distinct(), "candidates"))
+            least = keep(share.join(totals, "lang").select("lang", "shard", F.expr(f"({support} * of + `all` - 1) div `all`").alias("least")), "least")
+            slack = keep(least.groupBy("lang").agg(F.sum(F.col("least") - 1).alias("slack")), "slack")
+        often = mined.join(least, ["lang", "shard"]).groupBy(*by).applyInPandas(_frequent, "lang string, h long, over long")
+        often = often.groupBy("lang", "h").agg(F.sum("over").alias("over")).join(slack, "lang").where(F.col("over") + F.col("slack") >= support)
+        found.append(keep(often.select("lang", "h"), "candidates"))
     known = _given(spark, found)
-    counted = rows.mapInPandas(_count(range(1, longest + 1), known), "lang string, size int, h long, phrase string, n long")
+    counted = rows.mapInPandas(_count(longest, known, ranges * shards), "lang string, range long, h binary, more binary, n binary, text binary, size int")
+    exact = counted.groupBy("lang", "size", "range").applyInPandas(_exact(support), "lang string, size int, h long, phrase string, a long")
     if known is None:
         every = found[0]
         for x in found[1:]:
             every = every.unionByName(x)
-        counted = counted.join(every, ["lang", "h"], "left_semi")
-    exact = counted.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= support)
-    return keep(exact, "exact"), totals.select("lang", F.col("all").alias("n"))
+        exact = exact.join(every, ["lang", "h"], "left_semi")
+    return keep(exact.select("lang", "size", "phrase", "a"), "exact"), totals.select("lang", F.col("all").alias("n"))
 
 
 def score(a: str, l: str, r: str) -> Column:  # noqa: E741

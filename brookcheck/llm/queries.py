@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import collocations, decontaminate, embed_dedup, html_text, language, licenses, mixing, near_dedup, periodic, pii, suffix_dedup, token_counts
+from . import collocations, decontaminate, embed_dedup, html_text, language, licenses, mixing, near_dedup, periodic, pii, suffix_dedup, token_counts, url_templates
 from .common import table
 
 #: Where the vocabulary files of public tokenizers lie.
@@ -61,6 +61,14 @@ def op12_son_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"), longest=3, support=10, inside=50, top=2000)
 
 
+#: Which urls are known to be wanted, or not.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op13_path_template_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_repeats": op1_suffix_array_repeats,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -74,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_son_collocations": op12_son_collocations,
+    "op13_path_template_urls": op13_path_template_urls,
 }
 
 _WORDS = r"list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -108,4 +117,5 @@ FROM embeddings e JOIN comp c ON c.vec_id = e.vec_id LEFT JOIN n ON n.vec_id = e
     "op3_information_theoretic_pii": pii.sql(),
     "op11_periodic_runs": periodic.sql(),
     "op12_son_collocations": collocations.sql(),
+    "op13_path_template_urls": url_templates.sql(URL_RULES),
 }

@@ -75,8 +75,8 @@ def test_hashes_that_collide_add_candidates_only():
     words.word[:] = 5
     at, h = words.phrases(2)
     assert len(set(h.tolist())) == 1
-    at, h, n = words.counted(at, h, 2)
-    assert dict(zip(words.written(at, 2), n.tolist())) == {"aa bb": 2, "bb aa": 1}
+    at, h, _, n = words.counted(at, h, 2)
+    assert dict(zip(words.written(at, 2), n.tolist())) == {b"aa bb": 2, b"bb aa": 1}
 
 
 def test_shards_are_mined_at_a_lowered_support(spark):
