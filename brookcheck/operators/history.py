@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import blank, or_else, unicode_trim
+from .asof import as_of, carried
 
 #: The state that each event leads to.
 STATE_OF = {"config.draft_created": "draft", "config.validated": "validated", "config.compiled": "compiled", "config.activated": "active", "config.deactivated": "inactive", "config.archived": "archived", "config.rejected": "rejected"}
@@ -55,15 +56,29 @@ def activation_intervals(events: DataFrame) -> DataFrame:
     return rows.select(*INTERVAL, F.least(F.col("next.at"), F.col("stop.at")).alias("deactivated_at"), "seq")
 
 
+def _beside(df: DataFrame, at: str, value: Column, forward: bool) -> DataFrame:
+    """``df`` with ``beside``, the ``value`` of the row before (or, not ``forward``, after) each in its scope by ``at`` and seq.
+
+    Sought within a day, and for a day's first (last) row among one row for each other day, so that no task has to hold a scope.
+    """
+    where = ["scope_kind", "scope_key"]
+    e = df.withColumn("bucket", F.coalesce(F.unix_date(F.to_date(at)), F.lit(-(1 << 30)))).withColumn("_value", value)
+    order = [F.col(at), F.col("seq")] if forward else [F.desc(at), F.desc("seq")]
+    pick = F.max_by if forward else F.min_by
+    days = carried(e.groupBy(*where, "bucket").agg(pick(F.struct(F.col("_value").alias("v")), F.struct(at, "seq")).alias("then")), where, "then", forward)
+    # A struct around the value tells a row without one from no row.
+    e = e.withColumn("beside", F.lag(F.struct(F.col("_value").alias("v"))).over(W.partitionBy(*where, "bucket").orderBy(*order)))
+    return e.join(days, [*where, "bucket"]).withColumn("beside", F.coalesce("beside", "then")["v"]).drop("then", "bucket", "_value")
+
+
 def deactivation_conflicts(events: DataFrame) -> DataFrame:
     """Deactivations of a version that is not active in the scope at that time."""
     kind, key = scope(F.col("scope_kind"), F.col("scope_key"))
     e = events.where(F.col("event").isin("config.activated", "config.deactivated")).withColumn("scope_kind", kind).withColumn("scope_key", key)
     e = e.withColumn("at", F.coalesce(F.when(F.col("event") == "config.activated", F.col("activated_at")).otherwise(F.col("deactivated_at")), F.col("occurred_at")))
-    before = W.partitionBy("scope_kind", "scope_key").orderBy("at", "seq")
-    e = e.withColumn("pe", F.lag("event").over(before)).withColumn("pv", F.lag("version_id").over(before))
+    e = _beside(e, "at", F.struct("event", "version_id"), True).withColumn("pe", F.col("beside.event")).withColumn("pv", F.col("beside.version_id"))
     ok = F.coalesce((F.col("pe") == "config.activated") & (F.col("pv") == F.col("version_id")), F.lit(False))
-    return e.where((F.col("event") == "config.deactivated") & ~ok).drop("at", "pe", "pv")
+    return e.where((F.col("event") == "config.deactivated") & ~ok).select(*events.columns)
 
 
 def current_lifecycle(events: DataFrame) -> DataFrame:
@@ -111,6 +126,18 @@ def active_by_scope(intervals: DataFrame, kind: str = "", key: str = "", as_of:
     return df.where((F.col("activated_at") <= at) & (F.col("deactivated_at").isNull() | (F.col("deactivated_at") > at)))
 
 
+def activation_as_of(rows: DataFrame, intervals: DataFrame, at: str, width: int = 86_400_000_000) -> DataFrame:
+    """``rows`` (scope_kind, scope_key, and the time ``at``) with ``activation``, the interval their scope had then, null where it had none.
+
+    ``width`` is in microseconds, see ``as_of``.
+    """
+    kind, key = scope(F.col("scope_kind"), F.col("scope_key"))
+    df = as_of(rows.withColumn("_kind", kind).withColumn("_key", key), intervals.withColumns({"_kind": F.col("scope_kind"), "_key": F.col("scope_key")}), ["_kind", "_key"], F.unix_micros(at), F.unix_micros("activated_at"), [F.col("seq")], width, "_found")
+    own = F.struct(*[F.col(f"_found.{c}").alias(c) for c in intervals.columns])
+    held = F.col("_found.deactivated_at").isNull() | (F.col("_found.deactivated_at") > F.col(at))
+    return df.select(*rows.columns, F.when(F.col("_found").isNotNull() & held, own).alias("activation"))
+
+
 def activations_of(intervals: DataFrame, version_id: str) -> DataFrame:
     return intervals.where(F.col("version_id") == version_id).orderBy("activated_at", "seq")
 
@@ -179,8 +206,7 @@ def compact_runtimes(runtimes: DataFrame) -> DataFrame:
 
 def runtime_changes(intervals: DataFrame) -> DataFrame:
     """change, at, scope and version: ``activated`` at each start, ``cleared`` at each end that no start of the scope replaces."""
-    later = F.lead("activated_at").over(W.partitionBy("scope_kind", "scope_key").orderBy("activated_at", "seq"))
-    df = intervals.withColumn("_next", later)
+    df = _beside(intervals, "activated_at", F.col("activated_at"), False).withColumnRenamed("beside", "_next")
     on = df.select(F.lit("activated").alias("change"), F.col("activated_at").alias("at"), *RUNTIME_KEY)
     off = df.where("deactivated_at is not null and (_next is null or deactivated_at < _next)").select(F.lit("cleared").alias("change"), F.col("deactivated_at").alias("at"), *RUNTIME_KEY)
     return on.unionByName(off)

@@ -426,6 +426,18 @@ def active_by_scope(spark, d):
     return _intervals_out(history.active_by_scope(fx.intervals(spark, d), " Tenant ", "t7", datetime.datetime(1997, 1, 1)))
 
 
+# A message for each order: in the scope of its customer, days after the order.
+_LATER = "SELECT o_orderkey, 'tenant' AS scope_kind, 't' || CAST(o_custkey % 50 AS {S}) AS scope_key, CAST(o_orderdate AS TIMESTAMP) + (o_orderkey % 2000) * INTERVAL '1' HOUR AS at FROM orders"
+
+
+@register(f"""WITH {q.IV}, m AS ({_LATER.replace('{S}', 'VARCHAR')})
+SELECT o_orderkey, version_id, epoch_us(activated_at) AS activated_at FROM m LEFT JOIN iv ON iv.scope_kind = m.scope_kind AND iv.scope_key = m.scope_key AND iv.activated_at <= m.at AND (iv.deactivated_at IS NULL OR iv.deactivated_at > m.at)""")
+def activation_as_of(spark, d):
+    """The version each of many messages met, by an as-of join."""
+    m = spark.sql(fx._fixture(_LATER, "orders"), orders=fx.view(spark, d, "orders"))
+    return history.activation_as_of(m, fx.intervals(spark, d), "at").select("o_orderkey", "activation.version_id", F.unix_micros("activation.activated_at").alias("activated_at"))
+
+
 @register(f"WITH {q.IV} SELECT {_IV_COLS} FROM iv WHERE version_id = 'ver-38'")
 def activations_of(spark, d):
     return _intervals_out(history.activations_of(fx.intervals(spark, d), "ver-38"))
