@@ -37,14 +37,19 @@ def _uncovered(rules: Column, capabilities: Column) -> Column:
     return F.coalesce(F.exists(rules, lambda r: ~F.array_contains(caps, F.concat(F.lit("rule.operator."), op(r)))), F.lit(False))
 
 
+def runtime_struct(runtimes: DataFrame) -> Column:
+    """What messages need of a runtime, with its rules as they are evaluated."""
+    own = [c for c in _OF_RUNTIME if c in runtimes.columns]
+    return F.struct(*own, _checks(F.col("rules")).alias("checks"), _uncovered(F.col("rules"), F.col("artifact.capabilities")).alias("uncovered"))
+
+
 def resolve_runtimes(messages: DataFrame, runtimes: DataFrame, most_broadcast: int = 100_000, most_bytes: int = 64 << 20) -> DataFrame:
     """Adds ``runtime``, what messages need of the runtime of the normalised scope, null if there is none.
 
     The runtimes are broadcast when at most ``most_broadcast`` rows whose text takes at most ``most_bytes``.
     """
     kind, key = scope(F.col("scope_kind"), F.col("scope_key"))
-    own = [c for c in _OF_RUNTIME if c in runtimes.columns]
-    r = runtimes.select(F.col("scope_kind").alias("_kind"), F.col("scope_key").alias("_key"), F.struct(*own, _checks(F.col("rules")).alias("checks"), _uncovered(F.col("rules"), F.col("artifact.capabilities")).alias("uncovered")).alias("runtime"))
+    r = runtimes.select(F.col("scope_kind").alias("_kind"), F.col("scope_key").alias("_key"), runtime_struct(runtimes).alias("runtime"))
     rows, size = r.agg(F.count("*"), F.coalesce(F.sum(F.length(F.to_json("runtime"))), F.lit(0))).first()
     r = F.broadcast(r) if rows <= most_broadcast and size <= most_bytes else r
     return messages.withColumn("_k", kind).withColumn("_y", key).join(r, (F.col("_k") == F.col("_kind")) & (F.col("_y") == F.col("_key")), "left").drop("_k", "_y", "_kind", "_key")
@@ -169,12 +174,17 @@ def _as_results(df: DataFrame, processed_at: Column | datetime.datetime | None)
 
 def judge_messages(messages: DataFrame, runtimes: DataFrame, mode: str = "plain") -> DataFrame:
     """Messages with ``valid``, ``problem``, ``violations`` and the runtime's identity: all that results and rejects are read from, in one pass."""
+    return judge_resolved(resolve_runtimes(messages, runtimes), mode)
+
+
+def judge_resolved(messages: DataFrame, mode: str = "plain") -> DataFrame:
+    """The same of messages that have their ``runtime``."""
     df = parse_payload(messages)
     checks = message_checks()
     df = once(df, _invalid=F.when(any_of(checks), problem(INVALID, "data plane message is invalid", found=issues(*checks))))
-    df = decode_payload(resolve_runtimes(df, runtimes))
+    df = decode_payload(df)
     df = once(df, problem=F.coalesce("_invalid", _first(_guards(df, []))), _found=F.when(F.col("object").isNotNull(), _violations(F.col("object"), F.col("runtime.checks"), mode)))
-    own = [c for c in messages.columns if c not in ("set_id", "config_key", "version", "definition_checksum")]
+    own = [c for c in messages.columns if c not in ("set_id", "config_key", "version", "definition_checksum", "runtime")]
     return df.select(*own, F.col("_invalid").isNull().alias("valid"), "problem", F.col("_found").alias("violations"), *[F.coalesce(f"runtime.{c}", c).alias(c) if c in messages.columns else F.col(f"runtime.{c}").alias(c) for c in ("set_id", "config_key", "version", "definition_checksum")])
 
 
