@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import datetime
+import time
+
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from ..operators import history, ingest, results
+from ..operators import history, ingest, results, validate
 from ..schemas import RECORD
-from ..sources import files
-from ..sources.files import read_records, shared_folder
-from ..streaming import incidents, live, pipeline, runtime_state
+from ..sources import current, files
+from ..sources.files import read_records, read_topics, shared_folder
+from ..streaming import incidents, live, pipeline, redelivery, runtime_state
 from . import fixtures as fx
 from . import sql as q
 from .queries import register, us, violations_text
@@ -28,6 +32,55 @@ def stream_results(spark, d):
     return results.latest_results(spark.read.parquet(f"{at}/out/results").drop("date", "batch")).select("processing_key", "status", violations_text(), us("processed_at"))
 
 
+@register(f"WITH {q.LATEST} SELECT processing_key, status, violations FROM latest")
+def resumed_results(spark, d):
+    """The pipeline fails in its second batch of three, when all is written and before that is noted, and is started again on its checkpoint."""
+    at = shared_folder(spark, "resume")
+    df = fx.records(spark, d).select(*[c.split()[0] for c in RECORD.split(", ") if not c.startswith("string")])
+    for part in range(3):
+        df.where(F.col("offset") % 3 == part).coalesce(1).write.mode("append").parquet(f"{at}/in")
+    b, r = fx.bindings(spark), fx.runtimes(spark)
+    failures = []
+
+    def fail(batch_id):
+        if batch_id == 1 and not failures:
+            failures.append(batch_id)
+            raise RuntimeError("killed")
+
+    for _ in range(2):
+        records = read_records(spark, {"format": "parquet", "path": f"{at}/in", "maxFilesPerTrigger": 1}, _TOPICS, streaming=True)
+        query = pipeline.start_pipeline(records, lambda: (b, r), f"{at}/out", f"{at}/checkpoint", written=fail)
+        try:
+            query.awaitTermination()
+        except StreamingQueryException:
+            if failures != [1]:
+                raise
+    return results.latest_results(pipeline.committed(spark, f"{at}/out", "results").drop("date", "batch")).select("processing_key", "status", violations_text())
+
+
+@register(f"WITH {q.LATEST} SELECT processing_key, status, violations FROM latest")
+def follow_topics(spark, d):
+    """Two topics are bound at first and the others while the stream runs: their records are read from the start, the rest not again."""
+    at = shared_folder(spark, "follow")
+    fx.records(spark, d).select(*[c.split()[0] for c in RECORD.split(", ") if not c.startswith("string")]).write.partitionBy("topic").parquet(f"{at}/in")
+    b, r = fx.bindings(spark), fx.runtimes(spark)
+    asked = [b.where("topic in ('events.click', 'events.view')"), b]
+    bound, queries = [], []
+
+    def topics():
+        bound.append(asked.pop(0) if asked else b)
+        return pipeline.topics_of(bound[-1])
+
+    def start(names):
+        records = read_topics(spark, {"format": "parquet", "path": f"{at}/in"}, names, streaming=True)
+        queries.append(pipeline.start_pipeline(records, lambda: (bound[-1], r), f"{at}/out", f"{at}/checkpoint"))
+        return queries[-1]
+
+    # Between two questions each query reads all there is.
+    pipeline.follow_topics(start, topics, ended=lambda: len(queries) == 2 and queries[-1].awaitTermination() is None, sleep=lambda _: queries[-1].awaitTermination())
+    return results.latest_results(pipeline.committed(spark, f"{at}/out", "results").drop("date", "batch")).select("processing_key", "status", violations_text())
+
+
 @register(f"WITH {q.LATEST} SELECT processing_key, status, violations FROM latest")
 def refresh_topology(spark, d):
     """Two micro-batches; the second refresh fails, and the topology of the first stays."""
@@ -194,3 +247,67 @@ def live_incidents(spark, d):
         parts = _drained(spark, incidents.incident_parts(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(at), salts=4), "incident_parts", "append")
     out = incidents.incidents_of(parts)
     return out.select("incident_key", "count", us("first_seen_at"), us("last_seen_at"), "max_seq", "latest_message_id", "latest_correlation_id", "binding_name", "topic", "scope_kind", "scope_key")
+
+
+@register(f"""WITH {q.MSG} SELECT message_id, seq, attempt, true AS waited FROM (SELECT message_id, seq, unnest(range(2, CASE WHEN seq % 3 = 0 THEN 4 ELSE 5 END)) AS attempt FROM mj WHERE j IS NOT NULL AND scope_kind = 'tenant')""")
+def redeliver_rejects(spark, d):
+    """Every delivery of messages whose runtime is missing: again after a wait each time, until it is there (a third of them, at the third delivery) or after four."""
+    wait, most, at = 0.5, 4, shared_folder(spark, "redeliver")
+    lost = validate.judge_messages(fx.valid_messages(spark, d), fx.runtimes(spark).where("scope_kind = 'global'")).where("problem is not null and scope_kind = 'tenant'")
+    rejects = lost.select("message_id", "seq", "problem", F.lit(1).alias("attempt"), F.current_timestamp().alias("rejected_at"))
+    rejects.write.parquet(f"{at}/in")
+    third = F.col("seq") % 3 == 0
+    due = rejects.agg(F.sum(F.when(third, 2).otherwise(most - 1))).first()[0] or 0
+    again, _ = redelivery.redeliveries(spark.readStream.schema(rejects.schema).parquet(f"{at}/in"), most, wait, salts=4)
+
+    def deliver(batch, i):
+        now = F.current_timestamp()
+        batch = batch.withColumn("waited", now >= F.col("rejected_at") + F.make_dt_interval(secs=F.lit(wait))).persist()
+        batch.drop("problem").write.mode("overwrite").parquet(f"{at}/out/batch={i}")
+        # Those without a runtime are rejected again.
+        lost = batch.where(~(third & (F.col("attempt") >= 3))).drop("waited").withColumn("rejected_at", now)
+        if not lost.isEmpty():
+            lost.write.mode("append").parquet(f"{at}/in")
+        batch.unpersist()
+
+    delivered = spark.createDataFrame([], again.drop("problem").withColumn("waited", F.lit(True)).schema)
+    with _rocks(spark):
+        spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true")
+        query = again.writeStream.foreachBatch(deliver).option("checkpointLocation", f"{at}/checkpoint").trigger(processingTime="200 milliseconds").start()
+    try:
+        until = time.monotonic() + 240
+        while due and query.isActive and time.monotonic() < until:
+            time.sleep(0.5)
+            # Batches are whole once they are committed.
+            if query.lastProgress is not None:
+                delivered = spark.read.schema(delivered.schema).parquet(f"{at}/out")
+                if delivered.count() >= due:
+                    break
+        if query.exception() is not None:
+            raise query.exception()
+    finally:
+        query.stop()
+    return delivered.select("message_id", "seq", F.col("attempt").cast("long").alias("attempt"), "waited")
+
+
+@register(f"WITH {q.LATEST} SELECT processing_key, status, violations, seq FROM latest")
+def merge_results(spark, d):
+    """The current results after four batches were merged into their buckets, redeliveries last."""
+    at = shared_folder(spark, "current")
+    df = fx.results(spark, d)
+    df.write.parquet(f"{at}/log")
+    log = spark.read.parquet(f"{at}/log")
+    for part in (*(f"seq < 10000000 and seq % 3 = {k}" for k in range(3)), "seq >= 10000000"):
+        current.merge_results(log.where(part), f"{at}/table", 8)
+    return current.read_current(spark, f"{at}/table").select("processing_key", "status", violations_text(), "seq")
+
+
+@register(f"WITH {q.RES}, day AS (SELECT *, CAST(processed_at AS DATE) AS d FROM rk), top AS (SELECT max(d) AS top FROM day) SELECT message_id, seq, status FROM day, top WHERE d >= top - INTERVAL 9 DAY")
+def retain_days(spark, d):
+    """The log of results with its last ten days, after folders of older ones were dropped by age."""
+    at = shared_folder(spark, "retain")
+    files.write_results(fx.results(spark, d), at)
+    top = spark.read.parquet(at).agg(F.max("date")).first()[0]
+    now = datetime.datetime.combine(top + datetime.timedelta(days=1), datetime.time())
+    current.retain_days(spark, at, hours=240, most_bytes=1 << 50, now=now)
+    return spark.read.parquet(at).select("message_id", "seq", "status")

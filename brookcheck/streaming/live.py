@@ -124,8 +124,8 @@ class _Live(StatefulProcessor):
                 self.waiting.appendList(wait)
             yield from self._emit(key, out)
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
-        now = timer_values.getCurrentProcessingTimeInMs()
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentProcessingTimeInMs()
         held = [(int(s), m, int(t)) for s, m, t in self.waiting.get()] if self.waiting.exists() else []
         self.waiting.clear()
         still = [x for x in held if x[2] + self.patience > now]

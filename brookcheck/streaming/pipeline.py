@@ -6,7 +6,7 @@ import logging
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -74,7 +74,7 @@ def process(records: DataFrame, bindings: DataFrame, runtimes: DataFrame, hold:
     return messages, results, bad.select(*cols).unionByName(lost.select(*cols)).unionByName(refused.select(*cols))
 
 
-def start_pipeline(records: DataFrame, refresh: Callable[[], tuple[DataFrame, DataFrame]], out: str, checkpoint: str, trigger: dict | None = None, window: str | None = None, interval: float = 0.0) -> StreamingQuery:
+def start_pipeline(records: DataFrame, refresh: Callable[[], tuple[DataFrame, DataFrame]], out: str, checkpoint: str, trigger: dict | None = None, window: str | None = None, interval: float = 0.0, written: Callable[[int], None] = lambda batch_id: None) -> StreamingQuery:
     """Starts records → messages, results and rejects under ``out``.
 
     ``refresh()`` gives (bindings, runtimes) and is asked anew by the first
@@ -83,6 +83,10 @@ def start_pipeline(records: DataFrame, refresh: Callable[[], tuple[DataFrame, Da
     a batch that is repeated writes its folder again, and ``latest_results``
     keeps one result of each key.  With ``window``, records that repeat topic,
     partition and offset inside it are dropped first.
+
+    Once all of a batch is written, a row of ``manifest`` says so: ``committed`` reads batches that have one. After that ``written`` is
+    called with the batch's number, before Spark notes the batch as done.  A query that fails anywhere before that is started again on the
+    same checkpoint, repeats the batch over the same records and replaces what it had left.
     """
     if window:
         where = F.concat_ws(":", "topic", F.col("partition").cast("string"), F.col("offset").cast("string"))
@@ -101,6 +105,9 @@ def start_pipeline(records: DataFrame, refresh: Callable[[], tuple[DataFrame, Da
             write_messages(messages.drop("headers"), f"{out}/messages/batch={batch_id}", "overwrite")
             write_results(results, f"{out}/results/batch={batch_id}", "overwrite")
             write_rejects(rejects, f"{out}/rejects/batch={batch_id}", "overwrite")
+            done = held[0].agg(F.count("*").alias("records"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+            done.coalesce(1).write.mode("overwrite").parquet(f"{out}/manifest/batch={batch_id}")
+            written(batch_id)
         finally:
             for df in held:
                 df.unpersist()
@@ -108,6 +115,41 @@ def start_pipeline(records: DataFrame, refresh: Callable[[], tuple[DataFrame, Da
     return records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def committed(spark: SparkSession, out: str, name: str) -> DataFrame:
+    """The messages, results or rejects of the batches under ``out`` that were written whole."""
+    whole = spark.read.parquet(f"{out}/manifest").select("batch").distinct()
+    return spark.read.parquet(f"{out}/{name}").join(F.broadcast(whole), "batch", "left_semi")
+
+
+def topics_of(bindings: DataFrame) -> list[str]:
+    """The topics that have a binding, sorted: as many as a consumer subscribes to."""
+    return sorted(r.topic for r in bindings.select("topic").where("topic is not null").distinct().collect())
+
+
+def follow_topics(start: Callable[[list[str]], StreamingQuery], topics: Callable[[], list[str]], interval: float = 30.0, ended: Callable[[], bool] = lambda: False, sleep: Callable[[float], None] = time.sleep) -> list[list[str]]:
+    """Keeps a query over the topics that are bound, until ``ended``; returns the topic sets it was started with.
+
+    ``topics()`` is asked every ``interval`` seconds.  Where the set has changed, the query is stopped and ``start`` makes
+    another one over the new set, on the same checkpoint: a batch that was under way is repeated, what was read is not read again, and topics that are new are read from their start.
+    Without topics nothing runs.  A query that failed raises; one that came to its end (``availableNow``) is started again with the next set.
+    """
+    now, query, sets = None, None, []
+    while True:
+        wanted = sorted(set(topics()))
+        if wanted != now:
+            if query is not None:
+                query.stop()
+            query, now = (start(wanted) if wanted else None), wanted
+            sets.append(wanted)
+        if query is not None and query.exception() is not None:
+            raise query.exception()
+        if ended():
+            if query is not None:
+                query.stop()
+            return sets
+        sleep(interval)
+
+
 def incidents_stream(results: DataFrame) -> DataFrame:
     """Incident counts that grow with the stream; write with output mode update, after the messages were deduplicated."""
     return results.where("status = 'failed'").groupBy(incident_key().alias("incident_key")).agg(F.count("*").alias("count"), F.min("processed_at").alias("first_seen_at"), F.max("processed_at").alias("last_seen_at"))
