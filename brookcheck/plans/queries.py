@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.text import print_value
 from ..operators import documents as doc
 from ..operators import drift, history, ingest, results, topology, validate
+from ..sources.files import shared_folder
 from ..streaming import runtime_state
 from . import fixtures as fx
 from . import sql as q
@@ -600,6 +601,15 @@ def snapshot_diff(spark, d):
     return drift.snapshot_diff(*_snapshots(spark, d), ["o_orderkey"]).select("o_orderkey", "change", F.array_join("changed", ",").alias("changed"))
 
 
+@register(f"WITH {_DIFF} SELECT * FROM d")
+def diff_snapshots(spark, d):
+    """The same rows from two written snapshots, of which only buckets with different digests are read."""
+    at = shared_folder(spark, "snapshots")
+    for name, df in zip(("before", "after"), _snapshots(spark, d), strict=True):
+        drift.write_snapshot(df, f"{at}/{name}", ["o_orderkey"], 256)
+    return drift.diff_snapshots(spark, f"{at}/before", f"{at}/after", ["o_orderkey"]).select("o_orderkey", "change", F.array_join("changed", ",").alias("changed"))
+
+
 @register(f"WITH {_DIFF} SELECT count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'removed') AS removed, count(*) FILTER (change = 'modified') AS modified, count(*) > 0 AS has_changes FROM d")
 def diff_totals(spark, d):
     return drift.diff_totals(drift.snapshot_diff(*_snapshots(spark, d), ["o_orderkey"]))

@@ -218,6 +218,27 @@ def stream_runtime_state(spark, d):
     return state.where("version_id is not null").select("scope_kind", "scope_key", "set_id", "version_id", us("activated_at"))
 
 
+_RUNTIMES = f"""WITH {q.IV}, top AS (SELECT *, row_number() OVER (PARTITION BY scope_kind, scope_key ORDER BY pos DESC, seq DESC) AS rk FROM ad WHERE event = 'config.activated')
+SELECT scope_kind, scope_key, set_id, version_id, epoch_us(pos) AS activated_at FROM top t WHERE rk = 1
+  AND NOT EXISTS (SELECT 1 FROM ad c WHERE c.event = 'config.deactivated' AND c.scope_kind = t.scope_kind AND c.scope_key = t.scope_key AND c.version_id = t.version_id AND c.set_id = t.set_id AND (c.pos > t.pos OR c.pos = t.pos AND c.seq > t.seq))"""
+
+
+@register(_RUNTIMES)
+def loaded_runtimes(spark, d):
+    """What scopes have loaded, read from a query's committed state; it began with the first half of the changes as a table and followed the second as a stream."""
+    at = shared_folder(spark, "loaded")
+    df = _changes(spark, d)
+    df.write.parquet(f"{at}/all")
+    every = spark.read.parquet(f"{at}/all")
+    half = every.agg(F.expr("percentile_approx(seq, 0.5)")).first()[0]
+    every.where(F.col("seq") > half).write.parquet(f"{at}/in")
+    begun = runtime_state.runtime_state_batch(every.where(F.col("seq") <= half), datetime.datetime(2024, 1, 1))
+    with _rocks(spark):
+        stream = runtime_state.runtime_state(spark.readStream.schema(df.schema).parquet(f"{at}/in"), begun)
+        stream.writeStream.foreachBatch(lambda batch, i: batch.write.format("noop").mode("overwrite").save()).outputMode("update").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        return runtime_state.loaded_state(spark, f"{at}/checkpoint").select("scope_kind", "scope_key", "set_id", "version_id", us("activated_at"))
+
+
 @register(f"WITH {q.INC} SELECT incident_key, count, epoch_us(first_seen_at) AS first_seen_at, epoch_us(last_seen_at) AS last_seen_at FROM inc")
 def stream_incidents(spark, d):
     """Counts that grow with the stream, after redeliveries inside the window were dropped."""

@@ -15,7 +15,7 @@ import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -63,17 +63,26 @@ def _in_order(rows: Iterator[Row]) -> Iterator[Row]:
         f.close()
 
 
+def _zoned(t: datetime.datetime | None) -> datetime.datetime | None:
+    """A time with its zone: rows, first state and state give times with or without."""
+    return t.astimezone() if t is not None else None
+
+
 class _Cache(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.current = handle.getValueState("current", "set_id string, version_id string, activated_at timestamp, loaded_at timestamp")
 
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        self.current.update((initialState.set_id, initialState.version_id, _zoned(initialState.activated_at), _zoned(initialState.loaded_at)))
+
     def handleInputRows(self, key, rows: Iterator[Row], timer_values) -> Iterator[Row]:
-        before = tuple(self.current.get()) if self.current.exists() else None
+        held = self.current.get() if self.current.exists() else None
+        before = (held[0], held[1], _zoned(held[2]), _zoned(held[3])) if held else None
         now, loaded = (before[:3], before[3]) if before else (None, None)
         for r in _in_order(rows):
-            new = _advance(now, r)
+            new = _advance(now, Row(**{**r.asDict(), "at": _zoned(r.at)}))
             if new is not now and new is not None:
-                loaded = datetime.datetime.now()
+                loaded = datetime.datetime.now(datetime.timezone.utc)
             now = new
         if now is None:
             self.current.clear()
@@ -86,12 +95,20 @@ class _Cache(StatefulProcessor):
         pass
 
 
-def runtime_state(events: DataFrame) -> DataFrame:
+def runtime_state(events: DataFrame, bootstrap: DataFrame | None = None) -> DataFrame:
     """A row for each scope that a micro-batch touches; without version where it has been cleared.
 
-    loaded_at is when the current runtime was taken over; an activation that is ignored leaves it.
+    loaded_at is when the current runtime was taken over; an activation that is ignored leaves it.  ``bootstrap``, a table with the columns
+    of ``runtime_state_batch``, is what scopes have loaded before the first change; a query that goes on from its checkpoint does not read it again.
     """
-    return events.groupBy("scope_kind", "scope_key").transformWithState(statefulProcessor=_Cache(), outputStructType=STATE, outputMode="update", timeMode="None")
+    first = {} if bootstrap is None else {"initialState": bootstrap.where("version_id is not null").select(*[c.split()[0] for c in STATE.split(", ")]).groupBy("scope_kind", "scope_key")}
+    return events.groupBy("scope_kind", "scope_key").transformWithState(statefulProcessor=_Cache(), outputStructType=STATE, outputMode="update", timeMode="None", **first)
+
+
+def loaded_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """What each scope has loaded, read from the state that a query over ``runtime_state`` has committed; scopes that were cleared are left out."""
+    df = spark.read.format("statestore").option("stateVarName", "current").load(checkpoint)
+    return df.select("key.scope_kind", "key.scope_key", "value.*")
 
 
 def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
