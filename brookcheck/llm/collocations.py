@@ -9,14 +9,14 @@ most, so a candidate that cannot come to ``support`` even then goes at once.  A
 parts that are one word shorter are, so only such phrases are counted.  Phrases are known by 64-bit
 hashes there.  Two that collide are counted together, which can only add a candidate.
 
-Then all candidates of all lengths are counted over the whole corpus, by 128 bits of hash, and those below the
+Then all candidates of all lengths are counted over the whole corpus, by 96 bits of hash, and those below the
 support go.
 
 Counts are summed over each batch of texts and shuffled as packed arrays, a row for each language, shard and
 range of hashes; the number of ranges grows with the bytes of text, so a group that is summed
-holds the counts of a few megabytes of it.  Hashes of candidates are given to the tasks while there are no more than
-``BROADCAST_PHRASES`` of them (8 bytes each).  Beyond that phrases are counted
-unpruned, and the exact counts are joined with the candidates by a shuffle; the result is the same.
+holds the counts of a few megabytes of it.  What is known of candidates goes to the tasks as a filter of ``2 ** BITS`` bits, whatever their number:
+a bit is set where a candidate's hash begins with its place.  It lets all candidates through, and the more others, the more
+candidates there are; these are counted for nothing, and the result is the same.
 """
 
 from __future__ import annotations
@@ -31,12 +31,14 @@ from pyspark.sql import functions as F
 
 from .common import keep, mix, tidy, _LOWER, _powers
 
-#: Up to this many hashes of candidates go to the tasks.
-BROADCAST_PHRASES = 4_000_000
+#: Binary logarithm of the bits of a filter (8 MB), and of the parts in which it is made.
+BITS, MADE_IN = 26, 8
+#: Counts that a task holds before it sums them, and hands them on if two thirds are left.
+HELD = 1_500_000
 #: Bytes of text that are counted at a time; a longer text goes alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Bytes of text for each range of hashes of a shard.
-RANGE = 8 << 20
+RANGE = 4 << 20
 #: Parts in which the phrases of a language are ranked before they meet.
 PARTS = 64
 
@@ -85,10 +87,10 @@ class Words:
         return h
 
     def counted(self, at: np.ndarray, h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(first words, hashes, more bits of hash, counts) of the different phrases among these, told apart by 128 bits."""
+        """(first words, hashes, more bits of hash, counts) of the different phrases among these, told apart by 96 bits."""
         if not hasattr(self, "other"):
             self.other = self._hashes(_OTHER)
-        more = self._joined(self.other, at, size)
+        more = (self._joined(self.other, at, size) >> np.uint64(32)).astype(np.uint32)
         first, n = _summed(h, np.ones(len(h), np.int64), more)
         return at[first], h[first], more[first], n
 
@@ -97,12 +99,36 @@ class Words:
         words = [[data[a:b] for a, b in zip(self.start[at + k].tolist(), self.end[at + k].tolist(), strict=True)] for k in range(size)]
         return words[0] if size == 1 else [b" ".join(x) for x in zip(*words, strict=True)]
 
+    def light(self) -> Words:
+        """With no more than ``written`` needs."""
+        self.start, self.end = self.start.astype(np.int32), self.end.astype(np.int32)
+        del self.piece, self.text, self.seed, self.word, self.other
+        return self
+
 
 def _held(h: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Which of ``h`` are among the sorted ``known``."""
-    if not len(known):
-        return np.zeros(len(h), bool)
-    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+    """Which of ``h`` the filter lets through."""
+    at = h >> np.uint64(64 - BITS)
+    return (known[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
+
+
+def _bits(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One part of a filter."""
+    at = (pdf["h"].to_numpy(np.int64).view(np.uint64) >> np.uint64(64 - BITS)).astype(np.int64) & ((1 << BITS - MADE_IN) - 1)
+    bits = np.zeros(1 << BITS - MADE_IN, bool)
+    bits[at] = True
+    return pd.DataFrame({"part": pdf["part"].iloc[:1], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+
+def _filter(spark, tables: list[DataFrame]):
+    """The filter of the hashes of all tables, given to the tasks; its size is fixed."""
+    known = np.zeros(1 << BITS - 3, np.uint8)
+    size = len(known) >> MADE_IN
+    for x in tables:
+        parts = x.select("h", F.shiftrightunsigned("h", 64 - MADE_IN).alias("part")).groupBy("part").applyInPandas(_bits, "part long, bits binary")
+        for r in parts.toLocalIterator():
+            known[r.part * size:(r.part + 1) * size] |= np.frombuffer(r.bits, np.uint8)
+    return spark.sparkContext.broadcast(known)
 
 
 def _seed(lang: str) -> np.uint64:
@@ -113,20 +139,23 @@ def _seed(lang: str) -> np.uint64:
 
 
 def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list[str], int, Words | None, np.ndarray]]:
-    """(languages, shard, words, language of each text) of a megabyte of text of one shard at a time; without words at the end of a shard's share of a batch."""
+    """(languages, shard, words, language of each text) of half a megabyte of text of one shard at a time; without words at the end of a shard's share of a batch."""
+    langs, number = [], {}
     for pdf in batches:
-        langs = sorted(set(pdf["lang"]))
+        for x in sorted(set(pdf["lang"]) - set(number)):
+            number[x] = len(langs)
+            langs.append(x)
         seeds = np.array([_seed(x) for x in langs], np.uint64)
-        number = {x: i for i, x in enumerate(langs)}
-        for shard, rows in pdf.groupby("shard"):
+        text, lang, shards = pdf["text"], pdf["lang"].tolist(), pdf["shard"].to_numpy()
+        for shard in np.unique(shards).tolist():
             texts, of, size = [], [], 0
-            for text, lang in zip(rows["text"], rows["lang"], strict=True):
-                data = text.encode()
+            for i in np.flatnonzero(shards == shard).tolist():
+                data = text.iat[i].encode()
                 if texts and size + len(data) > CHUNK:
                     yield langs, shard, Words(texts, np.array(of), seeds), np.array(of)
                     texts, of, size = [], [], 0
                 texts.append(data)
-                of.append(number[lang])
+                of.append(number[lang[i]])
                 size += len(data) + 1
             yield langs, shard, Words(texts, np.array(of), seeds), np.array(of)
             yield langs, shard, None, np.zeros(0, np.int64)
@@ -134,6 +163,8 @@ def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[list[str], int, W
 
 def _summed(h: np.ndarray, n: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first of each different (h, more), sum of n)."""
+    if not len(h):
+        return np.zeros(0, np.int64), n
     order = np.lexsort((*more, h)) if more else np.argsort(h, kind="stable")
     new = np.ones(len(h), bool)
     new[1:] = np.logical_or.reduce([np.diff(x[order]) != 0 for x in (h, *more)])
@@ -142,12 +173,12 @@ def _summed(h: np.ndarray, n: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray
 
 
 def _packed(langs: list[str], of: np.ndarray, h: np.ndarray, ranges: int, columns: dict[str, np.ndarray], shard: int) -> pd.DataFrame:
-    """A row for each language and range of hashes, with the bytes of all columns."""
+    """A row for each language and range of hashes, with the bytes of all columns and the sum of ``n``."""
     range_ = ((h >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
     order = np.lexsort((range_, of))
     of, range_, columns = of[order], range_[order], {k: x[order] for k, x in columns.items()}
     edge = np.flatnonzero(np.concatenate([[True], (np.diff(of) != 0) | (np.diff(range_) != 0), [True]]))
-    out = {"lang": [langs[i] for i in of[edge[:-1]]], "shard": shard, "range": range_[edge[:-1]].astype(np.int64)}
+    out = {"lang": [langs[i] for i in of[edge[:-1]]], "shard": shard, "range": range_[edge[:-1]].astype(np.int64), "total": np.add.reduceat(columns["n"], edge[:-1])}
     for k, x in columns.items():
         join = (lambda y: b"\n".join(y.tolist())) if x.dtype == object else np.ndarray.tobytes
         out[k] = [join(x[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
@@ -155,7 +186,7 @@ def _packed(langs: list[str], of: np.ndarray, h: np.ndarray, ranges: int, column
 
 
 def _mine(size: int, parts, ranges: int):
-    """Counts of phrases of ``size`` words by shard; with ``parts``, only of those whose parts of one word less are among them."""
+    """Counts of phrases of ``size`` words by shard; with ``parts``, only of those whose parts of one word less it lets through."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, held = parts.value if parts is not None else None, []
         for langs, shard, words, of in _chunks(batches):
@@ -185,29 +216,53 @@ def _frequent(pdf: pd.DataFrame) -> pd.DataFrame:
     first, n = _summed(h, n)
     least = int(pdf["least"].iloc[0])
     often = n >= least
-    return pd.DataFrame({"lang": pdf["lang"].iloc[0], "h": h[first[often]].view(np.int64), "over": n[often] - (least - 1)})
+    return pd.DataFrame({"lang": pdf["lang"].iloc[0], "h": h[first[often]].view(np.int64), "over": n[often] - (least - 1), "slack": pdf["slack"].iloc[0]})
 
 
 def _count(longest: int, known, ranges: int):
-    """Counts of phrases by 128 bits, with their words; with ``known``, of those among it."""
+    """Counts of the phrases that ``known`` lets through by 96 bits, with their words."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for langs, shard, words, of in _chunks(batches):
-            for size in range(1, longest + 1) if words is not None else ():
+        langs, chunks, held = [], [], {k: [] for k in range(1, longest + 1)}
+
+        def summed() -> int:
+            for parts in held.values():
+                if parts:
+                    of, h, more, n, chunk, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+                    first, n = _summed(h, n, more)
+                    parts[:] = [(of[first], h[first], more[first], n, chunk[first], at[first])]
+            return sum(len(parts[0][0]) for parts in held.values() if parts)
+
+        def handed_on() -> Iterator[pd.DataFrame]:
+            for size, parts in held.items():
+                if parts and len(parts[0][0]):
+                    of, h, more, n, chunk, at = parts.pop()
+                    text = np.empty(len(h), object)
+                    for c in np.unique(chunk).tolist():
+                        own = np.flatnonzero(chunk == c)
+                        text[own] = chunks[c].written(at[own], size)
+                    yield _packed(langs, of, h, ranges, {"h": h, "more": more, "n": n, "text": text}, 0).drop(columns=["shard", "total"]).assign(size=size)
+                parts.clear()
+            chunks.clear()
+
+        for langs, _, words, of in _chunks(batches):
+            if words is None:
+                continue
+            for size in held:
                 at, h = words.phrases(size)
-                if known is not None:
-                    held = _held(h, known.value)
-                    at, h = at[held], h[held]
-                if not len(h):
-                    continue
-                at, h, more, n = words.counted(at, h, size)
-                text = np.array([None, *words.written(at, size)], object)[1:]
-                yield _packed(langs, of[words.text[at]], h, ranges, {"h": h, "more": more, "n": n, "text": text}, shard).drop(columns="shard").assign(size=size)
+                through = _held(h, known.value)
+                at, h, more, n = words.counted(at[through], h[through], size)
+                held[size].append((of[words.text[at]], h, more, n, np.full(len(at), len(chunks), np.int32), at.astype(np.int32)))
+            chunks.append(words.light())
+            if sum(len(x[0]) for parts in held.values() for x in parts) > HELD and summed() > HELD * 2 // 3:
+                yield from handed_on()
+        summed()
+        yield from handed_on()
     return run
 
 
 def _exact(support: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, more, n = (np.frombuffer(b"".join(pdf[c]), t) for c, t in (("h", np.uint64), ("more", np.uint64), ("n", np.int64)))
+        h, more, n = (np.frombuffer(b"".join(pdf[c]), t) for c, t in (("h", np.uint64), ("more", np.uint32), ("n", np.int64)))
         first, n = _summed(h, n, more)
         often = n >= support
         first, n = first[often], n[often]
@@ -216,14 +271,6 @@ def _exact(support: int):
     return run
 
 
-def _given(spark, tables: list[DataFrame]):
-    """Sorted hashes of the tables for the tasks, or nothing where they are more than the bound."""
-    if sum(x.limit(BROADCAST_PHRASES + 1).count() for x in tables) > BROADCAST_PHRASES:
-        return None
-    found = [x.select("h").toPandas()["h"].to_numpy(np.int64) for x in tables]
-    return spark.sparkContext.broadcast(np.unique(np.concatenate(found).view(np.uint64)))
-
-
 def frequent_phrases(docs: DataFrame, longest: int, support: int, shards: int) -> tuple[DataFrame, DataFrame]:
     """(lang, size, phrase, a) of all phrases of up to ``longest`` words that occur ``support`` times, and (lang, n) with all words."""
     spark = docs.sparkSession
@@ -232,26 +279,20 @@ def frequent_phrases(docs: DataFrame, longest: int, support: int, shards: int) -
     ranges = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (RANGE * shards) + 1
     by, found = ["lang", "shard", "range"], []
     for size in range(1, longest + 1):
-        parts = _given(spark, found[-1:]) if found else None
-        mined = rows.mapInPandas(_mine(size, parts, ranges), "lang string, shard int, range long, h binary, n binary")
+        parts = _filter(spark, found[-1:]) if found else None
+        mined = rows.mapInPandas(_mine(size, parts, ranges), "lang string, shard int, range long, total long, h binary, n binary")
         if size == 1:
             mined = keep(mined, "words")
-            words = F.expr("aggregate(sequence(1, length(n), 8), 0L, (s, i) -> s + cast(conv(hex(reverse(substring(n, i, 8))), 16, 10) as bigint))")
-            share = keep(mined.groupBy("lang", "shard").agg(F.sum(words).alias("of")), "share")
+            share = keep(mined.groupBy("lang", "shard").agg(F.sum("total").alias("of")), "share")
             totals = keep(share.groupBy("lang").agg(F.sum("of").alias("all")), "totals")
             least = keep(share.join(totals, "lang").select("lang", "shard", F.expr(f"({support} * of + `all` - 1) div `all`").alias("least")), "least")
-            slack = keep(least.groupBy("lang").agg(F.sum(F.col("least") - 1).alias("slack")), "slack")
-        often = mined.join(least, ["lang", "shard"]).groupBy(*by).applyInPandas(_frequent, "lang string, h long, over long")
-        often = often.groupBy("lang", "h").agg(F.sum("over").alias("over")).join(slack, "lang").where(F.col("over") + F.col("slack") >= support)
+            slack = least.groupBy("lang").agg(F.sum(F.col("least") - 1).alias("slack"))
+            least = keep(least.join(slack, "lang"), "slack")
+        often = mined.join(least, ["lang", "shard"]).groupBy(*by).applyInPandas(_frequent, "lang string, h long, over long, slack long")
+        often = often.groupBy("lang", "h").agg(F.sum("over").alias("over"), F.first("slack").alias("slack")).where(F.col("over") + F.col("slack") >= support)
         found.append(keep(often.select("lang", "h"), "candidates"))
-    known = _given(spark, found)
-    counted = rows.mapInPandas(_count(longest, known, ranges * shards), "lang string, range long, h binary, more binary, n binary, text binary, size int")
+    counted = rows.mapInPandas(_count(longest, _filter(spark, found), ranges * shards), "lang string, range long, h binary, more binary, n binary, text binary, size int")
     exact = counted.groupBy("lang", "size", "range").applyInPandas(_exact(support), "lang string, size int, h long, phrase string, a long")
-    if known is None:
-        every = found[0]
-        for x in found[1:]:
-            every = every.unionByName(x)
-        exact = exact.join(every, ["lang", "h"], "left_semi")
     return keep(exact.select("lang", "size", "phrase", "a"), "exact"), totals.select("lang", F.col("all").alias("n"))
 
 

@@ -59,8 +59,10 @@ def test_counts_equal_plain_ones(spark, rows, shards):
     assert sorted(map(tuple, co.collocations(frame(spark, rows), shards=shards).collect())) == brute(rows)
 
 
-def test_without_candidates_in_the_tasks(spark, rows, monkeypatch):
-    monkeypatch.setattr(co, "BROADCAST_PHRASES", 3)
+def test_a_filter_that_lets_nearly_all_through(spark, rows, monkeypatch):
+    """The functions travel whole, and with them what they read of the module."""
+    monkeypatch.setattr(co, "BITS", 11)
+    monkeypatch.setattr(co, "HELD", 10)
     assert sorted(map(tuple, co.collocations(frame(spark, rows)).collect())) == brute(rows)
 
 
