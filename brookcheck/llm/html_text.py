@@ -22,6 +22,7 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -41,7 +42,12 @@ LEAST_PAGES, ONE_IN, TEXT_IN = 3, 10, 2
 #: Share of a host's text that its content container holds at least.
 CONTAINS = 0.8
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|textarea|select)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
+_RAW = re.compile(r"(script|style|noscript|template|iframe|svg|textarea|select)\b", re.I)
+_RAW_END = {x: re.compile(rf"</{x}\s*>", re.I) for x in "script style noscript template iframe svg textarea select".split()}
+#: A tag as most are: without ``<`` or single quotes inside, so that a try ends where the next markup begins.
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>\"']*(?:\"[^<\"]*\"[^<>\"']*)*)>")
+_NAME = re.compile(r"/?[a-zA-Z][a-zA-Z0-9:-]*")
+_STOP = re.compile("[>\"']")
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 _ENDS_BLOCK = _BLOCK | {"hr"}
@@ -52,6 +58,7 @@ _LISTS = frozenset("article div ins li ol section table ul".split())
 _IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head", "title"}}
 _HOLDS = frozenset("ul ol menu dl table tbody thead tfoot html".split())
 _BODY = frozenset(("article", "main"))
+_P, _ENDS_P = frozenset("p"), _BLOCK - frozenset("p h1 h2 h3 h4 h5 h6".split())
 #: Names of containers of reader comments and adverts, whole class names or ids.
 _COMMENTS = frozenset("comment comments comment-list commentlist comments-area comments-section comment-section comment-respond respond reader-comments user-comments disqus_thread".split())
 _ADVERTS = frozenset("ad ads advert adverts advertisement advertising adsbygoogle ad-slot ad-unit sponsored".split())
@@ -63,6 +70,66 @@ def _key(up: int, what: str) -> int:
     return int.from_bytes(blake2b(what.encode("utf-8", "surrogatepass"), digest_size=8, key=up.to_bytes(8, "little", signed=True)).digest(), "little", signed=True)
 
 
+def _tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, whether it closes, name, attributes) of all markup in order; without a name for comments, declarations and elements whose content is no text.
+
+    One pass: what is known to have no end after a place is not sought again.  A tag ends at the first ``>`` outside of quotes; where a quote is
+    never closed, or none is left outside, at the first ``>`` at all.  Without any it is text, and a comment or an element like a script without an end goes on to the end of the page.
+    """
+    last, at = page.rfind(">"), page.find("<")
+    ends = {x: True for x in _RAW_END}
+    lost = {'"': len(page), "'": len(page)}  # from where on there is no such quote
+    failed = set()  # quotes from which on no tag ends
+    while at >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+            yield at, end, False, "", ""
+        elif at > last:
+            # Nothing but a comment is markup from here on.
+            end = page.find("<!--", at + 1)
+            at = end
+            continue
+        elif page.startswith(("<!", "<?"), at):
+            end = page.find(">", at + 2) + 1
+            yield at, end, False, "", ""
+        elif raw := _RAW.match(page, at + 1):
+            name, begin = raw[1].lower(), page.find(">", raw.end()) + 1
+            if begin == 0:
+                at = page.find("<", at + 1)
+                continue
+            found = _RAW_END[name].search(page, begin) if ends[name] else None
+            ends[name] = found is not None
+            end = found.end() if found else len(page)
+            yield at, end, False, "", ""
+        elif tag := _TAG.match(page, at):
+            end = tag.end()
+            yield at, end, tag[1] == "/", tag[2], tag[3]
+        elif named := _NAME.match(page, at + 1):
+            pos, opened, end = named.end(), [], 0
+            while stop := _STOP.search(page, pos):
+                if stop[0] == ">":
+                    end = stop.end()
+                    break
+                if stop.start() in failed or stop.start() >= lost[stop[0]]:
+                    break
+                opened.append(stop.start())
+                pos = page.find(stop[0], stop.end()) + 1
+                if pos == 0:
+                    lost[stop[0]] = stop.start()
+                    break
+            if not end:
+                failed.update(opened)
+                end = page.find(">", named.end()) + 1
+            if not end:
+                at = page.find("<", at + 1)
+                continue
+            yield at, end, named[0][0] == "/", named[0].lstrip("/"), page[named.end():end - 1]
+        else:
+            end = at + 1
+        at = page.find("<", end)
+
+
 class Page:
     """The elements and text blocks of a page.
 
@@ -74,7 +141,7 @@ class Page:
     def __init__(self, page: str):
         self.elements: list[tuple[int, int, str, frozenset, int]] = [(0, -1, "", frozenset(), 0)]
         self.blocks: list[tuple[int, str, int, int]] = []
-        open_, piece, links = [0], [], 0
+        open_, still, piece, links = [0], defaultdict(int), [], 0
         last = in_link = in_button = order = 0
 
         def end():
@@ -87,45 +154,49 @@ class Page:
             links = 0
 
         def close(names, holds=frozenset()):
+            if not any(still[x] for x in names):
+                return
             for i in range(len(open_) - 1, 0, -1):
                 name = self.elements[open_[i]][2]
                 if name in names:
+                    for k in open_[i:]:
+                        still[self.elements[k][2]] -= 1
                     del open_[i:]
                     return
                 if name in holds:
                     return
 
-        for m in _TOKEN.finditer(page):
-            if m.start() > last and not in_button:
-                piece.append(page[last:m.start()])
-                links += (m.start() - last) * (in_link > 0)
-            last = m.end()
-            name = (m[3] or "").lower()
+        for start, stop, ends, name, attributes in _tags(page):
+            if start > last and not in_button:
+                piece.append(page[last:start])
+                links += (start - last) * (in_link > 0)
+            last, name = stop, name.lower()
             if not name:
                 continue
             if name == "br":
                 piece.append(" ")
             elif name == "a":
-                in_link = int(not m[2])
+                in_link = int(not ends)
             elif name == "button":
-                in_button = int(not m[2])
+                in_button = int(not ends)
             if name not in _ENDS_BLOCK:
                 continue
             end()
             in_button = 0
-            if m[2]:
+            if ends:
                 close({name})
                 continue
             if name == "hr":
                 continue
-            close({"p"}, _BLOCK - {"p", "h1", "h2", "h3", "h4", "h5", "h6"})
+            close(_P, _ENDS_P)
             if name in _IMPLIED:
                 close(_IMPLIED[name], _HOLDS)
-            named = " ".join(sorted(x for g in _NAMED.findall(m[4]) for x in g if x)) if m[4] else ""
+            named = " ".join(sorted(x for g in _NAMED.findall(attributes) for x in g if x)) if attributes else ""
             up = open_[-1]
             order += 1
             self.elements.append((_key(self.elements[up][0], f"<{name} {named}"), up, name, frozenset(named.lower().split()), order))
             open_.append(len(self.elements) - 1)
+            still[name] += 1
         if len(page) > last and not in_button:
             piece.append(page[last:])
             links += (len(page) - last) * (in_link > 0)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+import time
 
 from brookcheck.llm import html_text
 
@@ -61,3 +62,28 @@ def test_all_articles_of_the_data(spark):
         blocks = [" ".join(html.unescape(re.sub(r"<[a-zA-Z/][^>]*>", "", p)).split()) for p in parts]
         want = "\n\n".join(b for b in blocks if b)
         assert got[i] == (want, len(want))
+
+
+def test_malformed_pages_take_one_pass():
+    """A megabyte each of markup that never ends; no time grows with the square of the page."""
+    for piece in ("<script ", '<p title="x ', "<a ", '<a b="x>" ', "<!--", "<!a ", "<", "<style>", "</script", "<script>x</script   ", "<p class ", "<p '\""):
+        for tail in ("", ">", '">', "'>"):
+            page, began = piece * (1_000_000 // len(piece)) + tail, time.time()
+            html_text.main_text(page)
+            assert time.time() - began < 10, (piece, tail)
+    for page in ("<div>" * 50_000 + "</section>" * 50_000, "<dl>" * 30_000 + "<dt>" * 60_000):
+        began = time.time()
+        html_text.Page(page)
+        assert time.time() - began < 20
+
+
+def test_no_markup_is_left_of_tags_that_are_not_closed():
+    text = lambda page: [b[1] for b in html_text.Page(page).blocks]
+    assert text('<p title="bad>quote') == ["quote"]
+    assert text("<p title='it>one</p><p>two") == ["one", "two"]
+    assert text('<p a="x>y" b=\'">\'>one <b c=">">two</b>') == ["one two"]
+    assert text("a < b <1 c") == ["a < b <1 c"]
+    assert text("one<p") == ["one<p"]
+    assert text("one<!-- never closed <p>two") == ["one"]
+    assert text("<p>one<script>if (a > b) '</p>'</SCRIPT >two") == ["onetwo"]
+    assert text("<p>one<script>lost") == ["one"]
