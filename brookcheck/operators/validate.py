@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import any_of, blank, issues, let, once, or_else, print_value, problem, unicode_trim, variant_type
 from ..schemas import CONFLICT, EMPTY, INTERNAL, INVALID, NOT_FOUND, UNAVAILABLE, VIOLATION
+from .asof import as_of
 from .history import scope
 from .ingest import _checked, message_checks, parse_payload
 
@@ -55,6 +56,19 @@ def resolve_runtimes(messages: DataFrame, runtimes: DataFrame, most_broadcast: i
     return messages.withColumn("_k", kind).withColumn("_y", key).join(r, (F.col("_k") == F.col("_kind")) & (F.col("_y") == F.col("_key")), "left").drop("_k", "_y", "_kind", "_key")
 
 
+def resolve_as_of(messages: DataFrame, runtimes: DataFrame, at: str = "ingested_at", width: int = 86_400_000_000) -> DataFrame:
+    """The same for a replay: the runtime that the scope had at the time ``at`` of each message, null where it had none.
+
+    ``runtimes`` are all that were ever active, with activated_at and deactivated_at; of activations at one time the greatest version counts.
+    ``width`` is in microseconds, see ``as_of``.
+    """
+    kind, key = scope(F.col("scope_kind"), F.col("scope_key"))
+    r = runtimes.select(F.col("scope_kind").alias("_kind"), F.col("scope_key").alias("_key"), "activated_at", "deactivated_at", runtime_struct(runtimes).alias("runtime"))
+    df = as_of(messages.withColumn("_kind", kind).withColumn("_key", key), r, ["_kind", "_key"], F.unix_micros(at), F.unix_micros("activated_at"), [F.col("runtime.version"), F.col("runtime.version_id")], width, "_found")
+    held = F.col("_found.deactivated_at").isNull() | (F.col("_found.deactivated_at") > F.col(at))
+    return df.select(*messages.columns, F.when(held, F.col("_found.runtime")).alias("runtime"))
+
+
 def decode_payload(df: DataFrame) -> DataFrame:
     """Adds ``object`` MAP<STRING, VARIANT>, null unless the payload is a JSON object."""
     df = parse_payload(df)

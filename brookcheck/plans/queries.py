@@ -427,6 +427,20 @@ def active_by_scope(spark, d):
     return _intervals_out(history.active_by_scope(fx.intervals(spark, d), " Tenant ", "t7", datetime.datetime(1997, 1, 1)))
 
 
+@register(f"""WITH {q.RES}, mid AS (SELECT (epoch_us(min(ts)) + epoch_us(max(ts))) // 2 AS mid FROM events)
+SELECT mj.message_id, mj.seq, CASE WHEN epoch_us(mj.published_at) < mid THEN 'SYS_CONFLICT' ELSE coalesce(status, 'VAL_INVALID_ARGUMENT') END AS outcome
+FROM mj CROSS JOIN mid LEFT JOIN res ON res.message_id = mj.message_id AND res.seq = mj.seq WHERE mj.j IS NOT NULL""")
+def resolve_as_of(spark, d):
+    """A replay: messages judged by the version active at their time; in the first half an older one, which they do not name."""
+    now = fx.runtimes(spark)
+    mid = fx.view(spark, d, "events").agg(F.timestamp_micros(F.expr("(unix_micros(cast(min(ts) as timestamp)) + unix_micros(cast(max(ts) as timestamp))) div 2")).alias("mid"))
+    both = now.crossJoin(F.broadcast(mid))
+    old = both.withColumn("version_id", F.concat("version_id", F.lit("0"))).withColumn("version", F.lit(0).cast("long")).withColumn("activated_at", F.lit(datetime.datetime(1970, 1, 1))).withColumn("deactivated_at", F.col("mid"))
+    new = both.withColumn("activated_at", F.col("mid")).withColumn("deactivated_at", F.lit(None).cast("timestamp"))
+    judged = validate.judge_resolved(validate.resolve_as_of(fx.valid_messages(spark, d), old.unionByName(new).drop("mid")))
+    return judged.select("message_id", "seq", F.coalesce("problem.code", F.when(F.size("violations") == 0, "passed").otherwise("failed")).alias("outcome"))
+
+
 # A message for each order: in the scope of its customer, days after the order.
 _LATER = "SELECT o_orderkey, 'tenant' AS scope_kind, 't' || CAST(o_custkey % 50 AS {S}) AS scope_key, CAST(o_orderdate AS TIMESTAMP) + (o_orderkey % 2000) * INTERVAL '1' HOUR AS at FROM orders"
 

@@ -88,3 +88,18 @@ def test_limits(spark):
         results.list_results(ok, limit=101)
     with pytest.raises(ValueError):
         results.list_results(ok, status="odd")
+
+
+def test_a_replay_meets_the_version_of_its_time(spark):
+    import datetime
+
+    from brookcheck.operators import validate
+
+    day = lambda d: datetime.datetime(2026, 1, d)
+    cols = "scope_kind string, scope_key string, set_id string, config_key string, version_id string, version long, artifact struct<capabilities:array<string>>, rules array<struct<name:string,field:string,operator:string,expected_value:string,severity:string>>, definition_checksum string, activated_at timestamp, deactivated_at timestamp"
+    r = [("tenant", "a", "s", "k", v, n, (["rule.operator.required"],), [("r", f"f{n}", "required", "", "error")], "c", day(a), day(b) if b else None) for v, n, a, b in (("v1", 1, 2, 4), ("v2", 2, 4, 6), ("v3", 3, 9, None))]
+    m = [(str(i), " Tenant", "a", day(i)) for i in range(1, 12)] + [("none", "tenant", "b", day(5)), ("null", "tenant", "a", None)]
+    runtimes = spark.createDataFrame(r, cols)
+    got = {x.message_id: x.v for x in validate.resolve_as_of(spark.createDataFrame(m, "message_id string, scope_kind string, scope_key string, ingested_at timestamp"), runtimes).selectExpr("message_id", "runtime.version_id as v").collect()}
+    want = {str(i): None if i < 2 or 6 <= i < 9 else "v1" if i < 4 else "v2" if i < 6 else "v3" for i in range(1, 12)}
+    assert got == want | {"none": None, "null": None}
