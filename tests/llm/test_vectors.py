@@ -56,3 +56,51 @@ def test_odd_vectors(spark):
     alone = {i: (0, i, True) for i in (3, 4, 6, 7, 8, 10, 11, 12, 13)}
     assert got == {5: (2, 2, False), 2: (2, 2, True), 9: (2, 2, False), None: (0, None, False)} | alone
     assert embed_dedup.similar_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def _brute(rows, cosine=0.93):
+    """vec_id -> (n_links, component) over all pairs."""
+    x = np.array([r[1] for r in rows], np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.array([r[2] for r in rows])
+    link = (x @ x.T >= cosine) & (label[:, None] == label)
+    np.fill_diagonal(link, False)
+    ids = np.array([r[0] for r in rows])
+    comp = ids.copy()
+    while True:
+        low = np.where(link, comp, comp.max()).min(axis=1)
+        new = np.minimum(comp, low)
+        if (new == comp).all():
+            return {int(i): (int(n), int(c)) for i, n, c in zip(ids, link.sum(axis=1), comp, strict=True)}
+        comp = new
+
+
+def _groups(rng, sizes, alone, spread):
+    """Rows of near-equal groups, copies among them, and of vectors on their own."""
+    x = [c + spread * rng.standard_normal((n, 32)) for n, c in zip(sizes, rng.standard_normal((len(sizes), 32)), strict=True)]
+    x = np.concatenate([*x, rng.standard_normal((alone, 32))]).astype(np.float32)
+    x = np.concatenate([x, x[::50]])
+    return [(int(i), v.tolist(), k % 2 if k >= sizes[0] else 0, "x") for k, (i, v) in enumerate(zip(rng.permutation(len(x)), x, strict=True))]
+
+
+def test_dense_groups_are_counted_once_over_all_tables(spark, monkeypatch):
+    rows = _groups(np.random.default_rng(4), [700, 300, 90], 800, 0.12)
+    monkeypatch.setattr(embed_dedup, "BLOCK", 128)  # many pairs of blocks
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.similar_vectors(spark.createDataFrame(rows, SCHEMA)).collect()}
+    want = _brute(rows)
+    assert sum(n for n, _ in want.values()) > 400_000
+    assert got == want
+
+
+def test_thousands_of_near_equal_vectors(spark):
+    rows = _groups(np.random.default_rng(5), [5000], 100, 0.02)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.similar_vectors(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == _brute(rows)
+
+
+def test_fingerprints_that_agree_in_64_bits(spark):
+    from brookcheck.llm.common import told_apart
+
+    rows = [(1, 7, 1), (2, 7, 2), (3, 7, 1), (4, 8, 5), (5, None, None)]
+    got = {r.i: r.v for r in told_apart(spark.createDataFrame(rows, "i int, v long, v2 long")).collect()}
+    assert got[1] == got[3] == 7 and got[4] == 8 and got[5] is None and got[2] not in (7, 8)
