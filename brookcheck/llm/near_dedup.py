@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, keep, mix, shingles, tidy, word_hashes
+from .common import drop, keep, mix, shingles, tidy, told_apart, word_hashes
 from .graph import connected_components
 
 _T = 128
@@ -57,14 +57,15 @@ def _describe(size: int):
             for text in pdf["text"]:
                 items = shingles(word_hashes((text or "").encode()), size)
                 if not len(items):
-                    rows.append((0, *[None] * 6))
+                    rows.append((0, *[None] * 7))
                     continue
                 sig = _signature(items)
                 v = int(np.bitwise_xor(mix(items).sum(dtype=np.uint64), np.uint64(len(items))).astype(np.int64))
+                v2 = int(mix(items ^ np.uint64(0x94D049BB133111EB)).sum(dtype=np.uint64).astype(np.int64))
                 bits = mix(sig.astype(np.uint64))
                 planes = [np.packbits(((bits >> np.uint64(k)) & np.uint64(1)).astype(np.uint8)).view(np.int64).tolist() for k in (0, 1)]
-                rows.append((len(items), v, *planes[0], *planes[1], sig.tobytes()))
-            out = pd.DataFrame(rows, columns=["n", "v", *_SKETCH, "sig"], index=pdf.index, dtype=object)
+                rows.append((len(items), v, v2, *planes[0], *planes[1], sig.tobytes()))
+            out = pd.DataFrame(rows, columns=["n", "v", "v2", *_SKETCH, "sig"], index=pdf.index, dtype=object)
             out.insert(0, "doc_id", pdf["doc_id"])
             out.insert(1, "th", pdf["th"])
             yield out
@@ -72,9 +73,9 @@ def _describe(size: int):
 
 
 def describe(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, th (hash of the text), n (set size), v (64-bit fingerprint of the set), sketch s1 to s4, minwise values sig."""
+    """doc_id, th (hash of the text), n (set size), v and v2 (two 64-bit fingerprints of the set), sketch s1 to s4, minwise values sig."""
     # Ids travel as text, as pandas would turn those of a batch with a null into floats.
-    rows = docs.select(F.col("doc_id").cast("string"), "text", F.xxhash64("text").alias("th")).mapInPandas(_describe(shingle), "doc_id string, th long, n long, v long, s1 long, s2 long, s3 long, s4 long, sig binary")
+    rows = docs.select(F.col("doc_id").cast("string"), "text", F.xxhash64("text").alias("th")).mapInPandas(_describe(shingle), "doc_id string, th long, n long, v long, v2 long, s1 long, s2 long, s3 long, s4 long, sig binary")
     return rows.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
@@ -230,15 +231,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, trees:
     their component is their own id.  A row without doc_id is linked with
     nothing, has no component and is not kept.  Equal sets link at any size.
     Rows that repeat a doc_id appear as often as they came in; they are
-    one document only if their sets are equal, else each has its own component
+    one document only if their sets are equal (by 128 bits of hash), else each has its own component
     and the id is that of the smallest in it.  An empty table gives none.
     """
     similarity = percent / 100
-    sets = keep(describe(docs, shingle), "sets")
+    described = keep(describe(docs, shingle), "sets")
+    sets = told_apart(described)
     real = sets.where("v is not null and doc_id is not null")
     vertices = keep(real.groupBy("v").agg(F.min(F.struct("doc_id", "th")).alias("low"), *[F.first(c).alias(c) for c in ("n", *_SKETCH, "sig")]).select("v", F.col("low.doc_id").alias("doc"), "low.th", "n", *_SKETCH, "sig"), "vertices")
     # Signatures are needed once for each vertex only; tables go as soon as nothing reads them any more.
-    described, sets = sets, keep(sets.select("doc_id", "n", "v"), "ids")
+    sets = keep(sets.select("doc_id", "n", "v"), "ids")
     drop(described)
     signed = vertices.select("v", "sig")
 

@@ -93,3 +93,13 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 80)] + [(7, 7), (None, 3), (61, 60), (3000, 2999)]
     got = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(62)}, **{1000 + i: 1000 for i in range(80)}, 3000: 2999, 2999: 2999}
+
+
+def test_sets_whose_fingerprints_agree_in_64_bits_are_told_apart(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    whole = near_dedup.describe
+    monkeypatch.setattr(near_dedup, "describe", lambda docs, shingle: whole(docs, shingle).withColumn("v", F.when(F.col("doc_id") < 4, 7).otherwise(F.col("v")).cast("long")))
+    rows = [(1, "one text of some words"), (2, "quite another text with its own words"), (3, "one text of some words"), (4, "a third text that is alone here"), (5, None)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert got == {1: (3, 1), 2: (5, 2), 3: (3, 1), 4: (5, 4), 5: (0, 5)}
