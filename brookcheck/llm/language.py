@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW, DIM, WIDTHS, FILTERS = 192, 8, (2, 3, 4), 12
+#: Labelled rows that a language teaches on average, where there are so many languages that ``fit_rows`` holds fewer.
+LEAST_ROWS = 10
 _SPAN = max(WIDTHS)
 #: Zeroes the taps that narrower filters lack.
 _TAPS = np.concatenate([np.repeat((np.arange(_SPAN) < w).astype(np.float32), DIM)[:, None].repeat(FILTERS, 1) for w in WIDTHS], axis=1)
@@ -152,19 +154,18 @@ def _drawn(rows: DataFrame, counts: dict[str, int], fit_rows: int) -> DataFrame:
     return rows.where(draw < F.element_at(chance, F.col("lang"))).select("text", "lang")
 
 
-def train(docs: DataFrame, fit_rows: int = 3000, each: int = 4, most_classes: int = 200) -> ByteNet:
+def train(docs: DataFrame, fit_rows: int = 3000, each: int = 4) -> ByteNet:
     """A network fitted to about ``fit_rows`` rows (doc_id, text, lang), shared alike among languages.
 
     Rows without text, letters or lang, and those whose crc32(doc_id as text)
     mod 3 is 1 or unknown, teach nothing.  ``each``: windows of a text.
-    More than ``most_classes`` languages are refused with a ValueError.
+    All languages are learned, however many.
     """
     rows = docs.where("lang is not null and crc32(cast(doc_id as string)) % 3 <> 1").where(F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(most_classes + 1).collect()}
-    if len(counts) > most_classes:
-        raise ValueError(f"more than {most_classes} labelled languages; raise most_classes to learn them all")
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return ByteNet([])
+    fit_rows = max(fit_rows, LEAST_ROWS * len(counts))
     picked = _drawn(rows, counts, fit_rows)
     sample = picked.mapInPandas(_spread(each), "lang string, window binary").orderBy(F.xxhash64("window")).limit(2 * fit_rows * each).toPandas()
     classes = sorted(counts)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -272,10 +273,13 @@ def test_other_columns_stay_whatever_their_names(spark):
         language.predict(df, net)
 
 
-def test_more_languages_than_the_bound_are_refused(spark):
-    df = spark.createDataFrame([(i, "some text", f"l{i}") for i in range(20)], "doc_id long, text string, lang string")
-    with pytest.raises(ValueError, match="most_classes"):
-        language.train(df, most_classes=5)
+def test_three_hundred_languages(spark):
+    df = spark.createDataFrame([(i, f"{chr(0x4e00 + i % 300)} word{i % 300} " * 5, f"l{i % 300:03}") for i in range(900)], "doc_id long, text string, lang string")
+    net = language.train(df, fit_rows=300)
+    taught = {f"l{i % 300:03}" for i in range(900) if zlib.crc32(str(i).encode()) % 3 != 1}
+    assert net.classes == sorted(taught) and len(taught) > 250
+    got = language.predict(df, net).select("_lang", "_score").collect()
+    assert len(got) == 900 and all(r[0] in taught and 0 <= r[1] <= 1 for r in got)
 
 
 def crossed(n=60, seed=5):
