@@ -45,3 +45,24 @@ def test_bad_sources(spark):
     got = verdicts(spark, ("json", "{bad"), ("json", "[1]"), ("yaml", "a: [1"), ("toml", "x"), ("json", "  "), ("json", "{}"), ("json", '{"rules": 3}'))
     assert [d["diagnostics"][0]["message"] for d in got] == ["must be valid JSON", "must be valid JSON", "must be valid YAML", "must be one of json or yaml", "must not be empty", "must not be empty", "must be valid JSON"]
     assert [d["field"] for d in got[5]["diagnostics"]] == ["metadata.name", "bindings", "fields", "rules"]
+
+
+def test_a_document_is_parsed_once(spark, capsys):
+    """However many members, diagnostics and checksums are read from it, and filters on them too."""
+    df = D.validate_documents(spark.createDataFrame([("s", "v", "json", json.dumps(GOOD))], "set_id string, version_id string, format string, content string"))
+    D.compile_versions(df.where("valid")).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("from_json(") == 1 and plan.count("parse_json(") + plan.count("ParseJson") <= 2
+
+
+def test_yaml_reads_the_same_in_both_loaders():
+    import yaml
+
+    def read(text, loader):
+        try:
+            return yaml.load(text, Loader=loader)
+        except yaml.YAMLError:
+            return "bad"
+
+    for text in ("a: {b: [1, 2.5, 1e3, yes, ~, 2024-01-01]}", 'x: "\\u00e9 \\" q"\ny: |\n  two\n  lines\n', "k: \u00e9 \U0001f600", "k: a\u2028b", "a: [1", "a: &x {b: 1}\nc: *x\n", json.dumps(GOOD)):
+        assert read(text, getattr(yaml, "CSafeLoader", yaml.SafeLoader)) == read(text, yaml.SafeLoader)
