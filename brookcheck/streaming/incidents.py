@@ -26,30 +26,31 @@ _DELTA = "incident_key string, salt int, key string, sign int, turn long, proces
 _PART = "incident_key string, salt int, n long, count long, first_seen_at long, last_seen_at long, last_seq long, max_seq long, latest string"
 
 
-def _rows(chunks: Iterator[pd.DataFrame], order: list[str]) -> Iterator[tuple]:
-    """Rows of one key in a micro-batch, in order."""
-    pdf = pd.concat(list(chunks), ignore_index=True)
-    return pdf.sort_values(order, kind="stable").itertuples(index=False)
+def _rows(chunks: Iterator[pd.DataFrame], order: list[str], last_of: str | None = None) -> Iterator[tuple]:
+    """Rows of one key in a micro-batch, in order; with ``last_of`` only the last of each value of that column."""
+    pdf = pd.concat(list(chunks), ignore_index=True).sort_values(order, kind="stable")
+    return (pdf if last_of is None else pdf.drop_duplicates(last_of, keep="last")).itertuples(index=False)
 
 
 class _Last(StatefulProcessor):
     """Keeps the last result of each processing key of one part and puts out what changes."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getMapState("last", "key string", "seq long, incident_key string, processed_at long, latest string")
+        self.last = handle.getMapState("last", "key string", "seq long, incident_key string, processed_at long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         out = []
-        for r in _rows(rows, ["seq"]):
+        # Of a key's results in one micro-batch the last alone stays: what it replaces cancels out.
+        for r in _rows(rows, ["seq"], "key"):
             before = tuple(self.last.getValue((r.key,))) if self.last.containsKey((r.key,)) else None
             if before is not None and before[0] > r.seq:
                 continue
             new = None if pd.isna(r.incident_key) else r.incident_key
             if before is not None and before[1] is not None:
-                out.append((before[1], key[0], r.key, -1, r.seq, before[2], before[0], before[3]))
+                out.append((before[1], key[0], r.key, -1, r.seq, before[2], before[0], None))
             if new is not None:
                 out.append((new, key[0], r.key, 1, r.seq, r.processed_at, r.seq, r.latest))
-            self.last.updateValue((r.key,), (int(r.seq), new, int(r.processed_at), r.latest))
+            self.last.updateValue((r.key,), (int(r.seq), new, int(r.processed_at)))
         if out:
             yield pd.DataFrame(out, columns=[c.split()[0] for c in _DELTA.split(", ")])
 

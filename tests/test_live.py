@@ -201,6 +201,14 @@ def test_incidents_follow_results_that_are_replaced():
                 assert (got.first_seen_at, got.last_seen_at, got.max_seq, got.latest) == (min(r["processed_at"] for r in own), top["processed_at"], max(r["seq"] for r in own), top["latest"])
 
 
+def test_results_that_replace_each_other_in_one_batch_are_one_change():
+    last = incidents._Last()
+    last.init(Handle())
+    rows = [dict(key="k", seq=s, incident_key="i", processed_at=s, latest=f"l{s}") for s in (2, 1, 3)]
+    out = pd.concat(last.handleInputRows((0,), iter([pd.DataFrame(rows)]), None))
+    assert out[["sign", "seq", "latest"]].values.tolist() == [[1, 3, "l3"]]
+
+
 def test_incidents_of_a_stream_have_the_columns_of_incidents(spark):
     batch = results.incidents(fx.results(spark, DATA).limit(50))
     parts = spark.createDataFrame([("i", 0, 1, 1, 5, 5, 7, 7, '{"message_id":"m","version":3,"violations":[]}'), ("i", 1, 1, 2, 4, 9, 8, 8, '{"message_id":"n","version":3}'), ("i", 0, 2, 0, None, None, None, None, None), ("gone", 0, 1, 0, None, None, None, None, None)], incidents._PART)
@@ -275,6 +283,11 @@ def test_nothing_is_lost_or_twice(spark, name):
     assert got == sorted(map(tuple, want.collect()))
 
 
+def test_large_parts_are_written_for_all_cores(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert streams._files(spark, DATA, 2) == 1 and 1 < streams._files(spark, "/root/testdata/sf0.1", 2) <= 3 * cores and streams._salts(spark) >= cores
+
+
 # --- as-of joins ---------------------------------------------------------------------------
 
 
