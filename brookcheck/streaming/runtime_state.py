@@ -4,6 +4,10 @@ Changes have seq, change (activated or cleared), at, scope_kind, scope_key,
 set_id and version_id.  An activation as new as the current one or newer replaces it, an older
 one is ignored; a clearing counts only for the current set and version, and
 not if it is older than the activation.
+
+A scope may hold a great share of all changes.  So each micro-batch is thinned first, in parts that know
+no scope as a whole: a change is left out where the same part has a later activation of its scope that is as new or
+newer.  Whatever had come of it, that activation finds nothing newer and replaces it.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ import pickle
 import tempfile
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +30,8 @@ STATE = "scope_kind string, scope_key string, set_id string, version_id string,
 #: Changes that are sorted in memory at a time; of more, sorted runs are merged from files.
 RUN = 50_000
 _STEP = ["seq", "change", "at", "set_id", "version_id"]
+#: Changes that are thinned at a time.
+THIN = 200_000
 
 
 def _advance(now: tuple | None, r) -> tuple | None:
@@ -95,13 +102,93 @@ class _Cache(StatefulProcessor):
         pass
 
 
-def runtime_state(events: DataFrame, bootstrap: DataFrame | None = None) -> DataFrame:
+def _outlived(pdf: pd.DataFrame) -> np.ndarray:
+    """Which changes, all with seq and time, a later activation of their scope that is as new or newer makes void."""
+    scope = pdf.groupby(["scope_kind", "scope_key"], dropna=False, sort=False).ngroup().to_numpy()
+    seq, at = pdf["seq"].to_numpy(np.int64), pdf["at"].to_numpy(np.int64)
+    order = np.lexsort((seq, scope))
+    scope, seq = scope[order], seq[order]
+    least = np.iinfo(np.int64).min
+    up = np.where((pdf["change"] == "activated").to_numpy()[order], at[order], least)
+    # The newest activation from each row on, and of that what comes after all rows of the same seq.
+    newest = pd.Series(up[::-1]).groupby(scope[::-1]).cummax().to_numpy()[::-1]
+    edge = np.flatnonzero(np.concatenate([np.diff(scope) != 0, [True]]) | np.concatenate([np.diff(seq) != 0, [True]])) + 1
+    then = np.repeat(edge, np.diff(np.concatenate([[0], edge])))
+    inside = then < len(scope)
+    inside[inside] = scope[then[inside]] == scope[inside]
+    later = np.full(len(scope), least)
+    later[inside] = newest[then[inside]]
+    out = np.empty(len(scope), bool)
+    out[order] = (later > least) & (at[order] <= later)
+    return out
+
+
+def _thinned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The changes of a part without those that others outlive.
+
+    An activation without a time stays for good once it is loaded, so it counts what is loaded in between: scopes with one, of which every part
+    has a copy, keep all their changes.
+    """
+    kept, fresh, n, odd, gone = None, [], 0, set(), tempfile.TemporaryFile()
+    where = ["scope_kind", "scope_key"]
+
+    def thin():
+        nonlocal kept, fresh, n
+        pdf = pd.concat([*([kept] if kept is not None else []), *fresh], ignore_index=True)
+        out = _outlived(pdf)
+        pickle.dump(pdf[out], gone)
+        kept, fresh, n = pdf[~out], [], 0
+
+    for pdf in batches:
+        lost = pdf["odd"] & (pdf["change"] == "activated") & pdf["timeless"]
+        odd.update(pdf.loc[lost, where].drop_duplicates().itertuples(index=False, name=None))
+        yield pdf[pdf["odd"] & pdf["own"]]
+        fresh.append(pdf[~pdf["odd"]])
+        n += len(fresh[-1])
+        if n >= THIN:
+            thin()
+            if len(kept) >= THIN:
+                # Nothing much goes: these are handed on, as any part of the changes may be thinned alone.
+                yield kept
+                kept = None
+    if n:
+        thin()
+    if kept is not None:
+        yield kept
+    if odd:
+        gone.seek(0)
+        while True:
+            try:
+                pdf = pickle.load(gone)
+            except EOFError:
+                break
+            yield pdf[[x in odd for x in pdf[where].itertuples(index=False, name=None)]]
+    gone.close()
+
+
+def _thin(events: DataFrame, parts: int) -> DataFrame:
+    """The changes that can tell what a scope has loaded after them."""
+    odd = F.col("seq").isNull() | F.col("at").isNull()
+    part = F.pmod(F.xxhash64(*_STEP), F.lit(parts)).cast("int")
+    everywhere = (F.col("change") == "activated") & F.col("at").isNull()
+    df = events.select("scope_kind", "scope_key", F.coalesce("seq", F.lit(0)).cast("long").alias("seq"), "change", F.coalesce(F.unix_micros("at"), F.lit(0)).alias("at"), "set_id", "version_id", odd.alias("odd"),
+                       F.col("seq").isNull().alias("orderless"), F.col("at").isNull().alias("timeless"), part.alias("_own"), F.explode(F.when(everywhere, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(part))).alias("part"))
+    df = df.withColumn("own", F.col("part") == F.col("_own")).drop("_own")
+    df = df.repartition(parts, "part").mapInPandas(_thinned, df.schema)
+    null = lambda flag, c: F.when(~F.col(flag), c)
+    return df.select("scope_kind", "scope_key", null("orderless", F.col("seq")).alias("seq"), "change", null("timeless", F.timestamp_micros("at")).alias("at"), "set_id", "version_id")
+
+
+def runtime_state(events: DataFrame, bootstrap: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """A row for each scope that a micro-batch touches; without version where it has been cleared.
 
+    Changes are thinned in ``parts``, three for each core where it is not given.
+
     loaded_at is when the current runtime was taken over; an activation that is ignored leaves it.  ``bootstrap``, a table with the columns
     of ``runtime_state_batch``, is what scopes have loaded before the first change; a query that goes on from its checkpoint does not read it again.
     """
     first = {} if bootstrap is None else {"initialState": bootstrap.where("version_id is not null").select(*[c.split()[0] for c in STATE.split(", ")]).groupBy("scope_kind", "scope_key")}
+    events = _thin(events, parts or 3 * events.sparkSession.sparkContext.defaultParallelism)
     return events.groupBy("scope_kind", "scope_key").transformWithState(statefulProcessor=_Cache(), outputStructType=STATE, outputMode="update", timeMode="None", **first)
 
 
