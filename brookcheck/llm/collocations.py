@@ -6,10 +6,10 @@ share of them as the shard has of the language's words; so each shard is mined c
 at that lowered support (rounded up), and the union of what is frequent in some shard misses
 nothing.  A shard in which a phrase is not frequent holds one occurrence less than its support at
 most, so a candidate that cannot come to ``support`` even then goes at once.  A shard is mined length by length: a phrase can be frequent only if both of its
-parts that are one word shorter are, so only such phrases are counted.  Phrases are known by 64-bit
+parts that are one word shorter are, so only such phrases are counted.  Phrases are known by 48-bit
 hashes there.  Two that collide are counted together, which can only add a candidate.
 
-Then all candidates of all lengths are counted over the whole corpus, by 96 bits of hash, and those below the
+Then all candidates of all lengths are counted over the whole corpus, by 96 bits of hash in a task and as written where tasks meet, and those below the
 support go.
 
 Counts are summed over each batch of texts and shuffled as packed arrays, a row for each language, shard and
@@ -39,6 +39,8 @@ HELD = 1_500_000
 CHUNK = 1 << 19
 #: Bytes of text for each range of hashes of a shard.
 RANGE = 4 << 20
+#: The bits of a hash by which phrases are mined.
+MINED = np.uint64(2**64 - 2**16)
 #: Parts in which the phrases of a language are ranked before they meet.
 PARTS = 64
 
@@ -172,15 +174,33 @@ def _summed(h: np.ndarray, n: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray
     return order[first], np.add.reduceat(n[order], first)
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Whole numbers of 8 bytes, all first bytes first: bytes that are mostly zero then take next to nothing in a shuffle."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _numbers(data: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(kind).ravel()
+
+
+def _steps(h: np.ndarray) -> bytes:
+    """Sorted hashes as what each adds to the one before."""
+    return _planes(np.diff(h, prepend=np.uint64(0)))
+
+
+def _hashes_of(data: bytes) -> np.ndarray:
+    return np.cumsum(_numbers(data, np.uint64), dtype=np.uint64)
+
+
 def _packed(langs: list[str], of: np.ndarray, h: np.ndarray, ranges: int, columns: dict[str, np.ndarray], shard: int) -> pd.DataFrame:
-    """A row for each language and range of hashes, with the bytes of all columns and the sum of ``n``."""
+    """A row for each language and range of hashes, with the bytes of all columns and the sum of ``n``; ``h``, if it is a column, is sorted."""
     range_ = ((h >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
     order = np.lexsort((range_, of))
     of, range_, columns = of[order], range_[order], {k: x[order] for k, x in columns.items()}
     edge = np.flatnonzero(np.concatenate([[True], (np.diff(of) != 0) | (np.diff(range_) != 0), [True]]))
     out = {"lang": [langs[i] for i in of[edge[:-1]]], "shard": shard, "range": range_[edge[:-1]].astype(np.int64), "total": np.add.reduceat(columns["n"], edge[:-1])}
     for k, x in columns.items():
-        join = (lambda y: b"\n".join(y.tolist())) if x.dtype == object else np.ndarray.tobytes
+        join = (lambda y: b"\n".join(y.tolist())) if x.dtype == object else _steps if k == "h" else _planes
         out[k] = [join(x[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
     return pd.DataFrame(out)
 
@@ -205,14 +225,14 @@ def _mine(size: int, parts, ranges: int):
                 stays = ok[at] & ok[at + 1]
                 at, h = at[stays], h[stays]
             if len(h):
-                h, first, n = np.unique(h, return_index=True, return_counts=True)
+                h, first, n = np.unique(h & MINED, return_index=True, return_counts=True)
                 held.append((h, n, of[words.text[at[first]]]))
     return run
 
 
 def _frequent(pdf: pd.DataFrame) -> pd.DataFrame:
     """What is frequent in a shard, of one range of hashes."""
-    h, n = (np.frombuffer(b"".join(pdf[c]), t) for c, t in (("h", np.uint64), ("n", np.int64)))
+    h, n = np.concatenate([_hashes_of(x) for x in pdf["h"]]), np.concatenate([_numbers(x, np.int64) for x in pdf["n"]])
     first, n = _summed(h, n)
     least = int(pdf["least"].iloc[0])
     often = n >= least
@@ -240,7 +260,7 @@ def _count(longest: int, known, ranges: int):
                     for c in np.unique(chunk).tolist():
                         own = np.flatnonzero(chunk == c)
                         text[own] = chunks[c].written(at[own], size)
-                    yield _packed(langs, of, h, ranges, {"h": h, "more": more, "n": n, "text": text}, 0).drop(columns=["shard", "total"]).assign(size=size)
+                    yield _packed(langs, of, h, ranges, {"n": n, "text": text}, 0).drop(columns=["shard", "total"]).assign(size=size)
                 parts.clear()
             chunks.clear()
 
@@ -262,12 +282,12 @@ def _count(longest: int, known, ranges: int):
 
 def _exact(support: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, more, n = (np.frombuffer(b"".join(pdf[c]), t) for c, t in (("h", np.uint64), ("more", np.uint32), ("n", np.int64)))
-        first, n = _summed(h, n, more)
-        often = n >= support
-        first, n = first[often], n[often]
-        texts = b"\n".join(pdf["text"]).split(b"\n")
-        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "size": pdf["size"].iloc[0], "h": h[first].view(np.int64), "phrase": np.array([None, *(texts[i].decode() for i in first)], object)[1:], "a": n})
+        texts = np.array([None, *b"\n".join(pdf["text"]).split(b"\n")], object)[1:]
+        which, phrases = pd.factorize(texts)
+        order = np.argsort(which, kind="stable")
+        n = np.add.reduceat(np.concatenate([_numbers(x, np.int64) for x in pdf["n"]])[order], np.flatnonzero(np.diff(which[order], prepend=-1)))
+        often = np.flatnonzero(n >= support)
+        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "size": pdf["size"].iloc[0], "phrase": np.array([None, *(phrases[i].decode() for i in often)], object)[1:], "a": n[often]})
     return run
 
 
@@ -291,8 +311,8 @@ def frequent_phrases(docs: DataFrame, longest: int, support: int, shards: int) -
         often = mined.join(least, ["lang", "shard"]).groupBy(*by).applyInPandas(_frequent, "lang string, h long, over long, slack long")
         often = often.groupBy("lang", "h").agg(F.sum("over").alias("over"), F.first("slack").alias("slack")).where(F.col("over") + F.col("slack") >= support)
         found.append(keep(often.select("lang", "h"), "candidates"))
-    counted = rows.mapInPandas(_count(longest, _filter(spark, found), ranges * shards), "lang string, range long, h binary, more binary, n binary, text binary, size int")
-    exact = counted.groupBy("lang", "size", "range").applyInPandas(_exact(support), "lang string, size int, h long, phrase string, a long")
+    counted = rows.mapInPandas(_count(longest, _filter(spark, found), ranges * shards), "lang string, range long, n binary, text binary, size int")
+    exact = counted.groupBy("lang", "size", "range").applyInPandas(_exact(support), "lang string, size int, phrase string, a long")
     return keep(exact.select("lang", "size", "phrase", "a"), "exact"), totals.select("lang", F.col("all").alias("n"))
 
 
