@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from brookcheck.functions.text import print_value, token, unicode_trim
+from brookcheck.functions.text import print_value, token, trimmed, unicode_trim
 
 
 def one(spark, column):
@@ -14,6 +14,13 @@ def test_trim_takes_every_kind_of_space(spark):
     assert one(spark, unicode_trim(F.lit("\t\n   a b  \x85 "))) == "a b"
 
 
+@pytest.mark.parametrize(("raw", "want"), [("", ""), ("\u00a0", ""), ("a", "a"), ("~", "~"), ("\x7f a", "\x7f a"), ("a\u00a0", "a"), ("\u3000a", "a"), ("é b é", "é b é"), ("a\x1f", "a\x1f"), ("a\n", "a"), ("日 ", "日"), (None, None)])
+def test_trim_and_trimmed_parts_agree_on_odd_ends(spark, raw, want):
+    s = spark.createDataFrame([(raw,)], "s string")
+    assert s.select(unicode_trim(F.col("s"))).first()[0] == want
+    assert s.select(trimmed("|", F.lit("x"), F.col("s"))).first()[0] == ("x" if want is None else f"x|{want}")
+
+
 @pytest.mark.parametrize(("raw", "want"), [(" Orders  EU!! ", "orders-eu"), ("---", "unknown"), ("", "unknown"), ("é1", "1"), ("a__b", "a-b")])
 def test_token(spark, raw, want):
     assert one(spark, token(F.lit(raw))) == want
