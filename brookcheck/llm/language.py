@@ -1,16 +1,18 @@
 """Language identification by a byte convolutional network, trained here in numpy.
 
 Bytes are embedded, filters of several widths slide over a window, each keeps
-its greatest response, and a softmax layer names the language.  Training takes
-windows spread over whole texts of a bounded, hash-chosen sample of labelled
-rows; prediction cuts every whole text into windows and averages their
+its greatest response, and a softmax layer names the language.  Training starts
+from weights fitted to a few rows and then goes over every window of every
+labelled row once: tasks sum up gradients, and each of several disjoint parts of
+the rows makes a step.  Prediction cuts every whole text into windows and averages their
 probabilities by length.  A last class, none of the languages, is learned from
 junk and from made-up languages, and the score below which a text is rejected
-is set on held-out labelled rows.
+is set on all held-out labelled rows.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW, DIM, WIDTHS, FILTERS = 192, 8, (2, 3, 4), 12
+#: Parts into which all labelled rows are dealt for training: each is a step.
+STEPS = 8
+#: Of so many windows one has a counterpart in no language made of it, which counts for half as many.
+NONE_OF = 64
 #: Labelled rows that a language teaches on average, where there are so many languages that ``fit_rows`` holds fewer.
 LEAST_ROWS = 10
 _SPAN = max(WIDTHS)
@@ -38,6 +44,8 @@ class ByteNet:
         k, f = _TAPS.shape
         self.w = {"e": rng.normal(0, 0.5, (256, DIM)), "c": rng.normal(0, 1 / np.sqrt(k), (k, f)) * _TAPS, "b": np.zeros(f), "o": rng.normal(0, 0.1, (f, len(classes) + 1)), "p": np.zeros(len(classes) + 1)}
         self.w = {n: x.astype(np.float32) for n, x in self.w.items()}
+        self.m, self.v = ({n: np.zeros_like(a) for n, a in self.w.items()} for _ in range(2))
+        self.steps = 0
 
     def _patches(self, x: np.ndarray) -> np.ndarray:
         e = self.w["e"][x]
@@ -49,33 +57,45 @@ class ByteNet:
         top = (patches.reshape(-1, patches.shape[2]) @ self.w["c"]).reshape(len(x), -1, _TAPS.shape[1]).max(axis=1)
         return _softmax(np.maximum(top + self.w["b"], 0) @ self.w["o"] + self.w["p"])
 
+    def gradients(self, xs: np.ndarray, ys: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the cross-entropy, summed over windows by ``weight``; only the patch of each greatest response carries one."""
+        patches = self._patches(xs)
+        r = (patches.reshape(-1, patches.shape[2]) @ self.w["c"]).reshape(len(xs), -1, _TAPS.shape[1])
+        where = r.argmax(axis=1)
+        hidden = np.take_along_axis(r, where[:, None], 1)[:, 0] + self.w["b"]
+        act = np.maximum(hidden, 0)
+        d = _softmax(act @ self.w["o"] + self.w["p"])
+        d[np.arange(len(ys)), ys] -= 1
+        d *= weight[:, None].astype(np.float32)
+        dh = (d @ self.w["o"].T) * (hidden > 0)
+        best = patches[np.arange(len(xs))[:, None], where]
+        g = {"o": act.T @ d, "p": d.sum(0), "b": dh.sum(0), "c": np.einsum("nf,nfk->kf", dh, best) * _TAPS}
+        back = (dh[:, :, None] * self.w["c"].T[None]).reshape(-1, DIM)
+        rows = xs[np.arange(len(xs))[:, None, None], where[:, :, None] + np.arange(_SPAN)].ravel()
+        g["e"] = np.stack([np.bincount(rows, back[:, i], 256) for i in range(DIM)], axis=1)
+        return g
+
+    def unpacked(self, flat: np.ndarray) -> dict[str, np.ndarray]:
+        """The arrays that were joined in the order of the weights."""
+        ends = np.cumsum([a.size for a in self.w.values()])
+        return {n: x.reshape(a.shape) for (n, a), x in zip(self.w.items(), np.split(flat, ends[:-1]), strict=True)}
+
+    def step(self, g: dict[str, np.ndarray], rate: float) -> None:
+        """One of Adam, along mean gradients."""
+        self.steps += 1
+        for n, a in g.items():
+            self.m[n] = 0.9 * self.m[n] + 0.1 * a
+            self.v[n] = 0.999 * self.v[n] + 0.001 * a * a
+            self.w[n] -= (rate * (self.m[n] / (1 - 0.9**self.steps)) / (np.sqrt(self.v[n] / (1 - 0.999**self.steps)) + 1e-8)).astype(np.float32)
+
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.01, seed: int = 6) -> ByteNet:
-        """Adam on the cross-entropy; only the patch of each greatest response carries a gradient."""
-        rng, step = np.random.default_rng(seed), 0
-        m, v = ({n: np.zeros_like(a) for n, a in self.w.items()} for _ in range(2))
+        """Steps over small batches of windows held here."""
+        rng = np.random.default_rng(seed)
         for _ in range(epochs):
             order = rng.permutation(len(x))
             for at in range(0, len(x), batch):
-                xs, ys = x[order[at:at + batch]], y[order[at:at + batch]]
-                patches = self._patches(xs)
-                r = patches @ self.w["c"]
-                where = r.argmax(axis=1)
-                hidden = np.take_along_axis(r, where[:, None], 1)[:, 0] + self.w["b"]
-                act = np.maximum(hidden, 0)
-                d = _softmax(act @ self.w["o"] + self.w["p"])
-                d[np.arange(len(ys)), ys] -= 1
-                d /= len(ys)
-                dh = (d @ self.w["o"].T) * (hidden > 0)
-                best = patches[np.arange(len(xs))[:, None], where]
-                g = {"o": act.T @ d, "p": d.sum(0), "b": dh.sum(0), "c": np.einsum("nf,nfk->kf", dh, best) * _TAPS, "e": np.zeros_like(self.w["e"])}
-                back = (dh[:, :, None] * self.w["c"].T[None]).reshape(len(xs), -1, _SPAN, DIM)
-                rows = xs[np.arange(len(xs))[:, None, None], where[:, :, None] + np.arange(_SPAN)]
-                np.add.at(g["e"], rows.ravel(), back.reshape(-1, DIM))
-                step += 1
-                for n, a in g.items():
-                    m[n] = 0.9 * m[n] + 0.1 * a
-                    v[n] = 0.999 * v[n] + 0.001 * a * a
-                    self.w[n] -= (rate * (m[n] / (1 - 0.9**step)) / (np.sqrt(v[n] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+                now = order[at:at + batch]
+                self.step(self.gradients(x[now], y[now], np.full(len(now), 1 / len(now))), rate)
         return self
 
 
@@ -127,13 +147,18 @@ def _none_of_them(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return out
 
 
-def _shortened(x: np.ndarray, rng: np.random.Generator, share: float = 0.25) -> np.ndarray:
-    """Copies of which a share ends early, as short texts do."""
+def _ended(x: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Copies that end after ``length`` bytes."""
     out = x.copy()
-    out[np.arange(WINDOW) >= np.where(rng.random(len(x)) < share, rng.integers(12, WINDOW, len(x)), WINDOW)[:, None]] = 0
+    out[np.arange(WINDOW) >= length[:, None]] = 0
     return out
 
 
+def _shortened(x: np.ndarray, rng: np.random.Generator, share: float = 0.25) -> np.ndarray:
+    """Copies of which a share ends early, as short texts do."""
+    return _ended(x, np.where(rng.random(len(x)) < share, rng.integers(12, WINDOW, len(x)), WINDOW))
+
+
 def _spread(each: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -154,18 +179,76 @@ def _drawn(rows: DataFrame, counts: dict[str, int], fit_rows: int) -> DataFrame:
     return rows.where(draw < F.element_at(chance, F.col("lang"))).select("text", "lang")
 
 
-def train(docs: DataFrame, fit_rows: int = 3000, each: int = 4) -> ByteNet:
-    """A network fitted to about ``fit_rows`` rows (doc_id, text, lang), shared alike among languages.
+def _turned(x: np.ndarray, y: np.ndarray, weight: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows, classes and weights as they teach: a quarter ends early, and one of ``NONE_OF`` has a counterpart in no language made of it.
+
+    What becomes of a window follows from its bytes, wherever it is read.
+    """
+    code = np.array([zlib.crc32(row) for row in x], np.int64)
+    x = _ended(x, np.where(code % 4 == 0, 12 + code // 4 % (WINDOW - 12), WINDOW))
+    at = np.flatnonzero(code // 1024 % NONE_OF == 0)
+    junk = [_none_of_them(x[i:i + 1], np.random.default_rng(code[i])) for i in at]
+    return np.concatenate([x, *junk]), np.concatenate([y, np.full(len(at), none)]), np.concatenate([weight, weight[at] * (NONE_OF / 2)])
+
+
+def _summed(net: ByteNet, share: dict[str, float], size: int = 256):
+    """The gradients of a task's rows over all windows of their texts, and their weight, as one array of integers; ``share``: what a window of a language weighs."""
+    number = {c: i for i, c in enumerate(net.classes)}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, part, held = np.zeros(1 + sum(a.size for a in net.w.values())), [], 0
+
+        def flush():
+            x = np.concatenate([w for w, _ in part])
+            own = np.concatenate([np.full(len(w), number[c]) for w, c in part])
+            weigh = np.concatenate([np.full(len(w), share[c]) for w, c in part])
+            xs, ys, weigh = _turned(x, own, weigh, len(net.classes))
+            g = net.gradients(xs, ys, weigh)
+            total[:] += np.concatenate([[weigh.sum()], *[g[n].ravel() for n in net.w]])
+            part.clear()
+
+        for pdf in batches:
+            for text, lang in zip(pdf["text"], pdf["lang"], strict=True):
+                rows = _windows(text.encode())
+                for at in range(0, len(rows), size):
+                    part.append((rows[at:at + size], lang))
+                    held += len(part[-1][0])
+                    if held >= size:
+                        flush()
+                        held = 0
+        if part:
+            flush()
+        yield pd.DataFrame({"g": [np.rint(total * 2.0**40).astype(np.int64)]})
+    return run
+
+
+def train(docs: DataFrame, fit_rows: int = 3000, each: int = 4, rate: float = 0.01) -> ByteNet:
+    """A network fitted to all rows (doc_id, text, lang) that teach, each language weighing the same.
 
     Rows without text, letters or lang, and those whose crc32(doc_id as text)
-    mod 3 is 1 or unknown, teach nothing.  ``each``: windows of a text.
-    All languages are learned, however many.
+    mod 3 is 1 or unknown, teach nothing.  All languages are learned, however many.
+    First weights come from ``each`` windows of about ``fit_rows`` rows; then every window of every row
+    is gone over once, in ``STEPS`` parts by a hash of the id.  What reaches the driver has the size of the network.
     """
     rows = docs.where("lang is not null and crc32(cast(doc_id as string)) % 3 <> 1").where(F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not counts:
+    found = rows.groupBy("lang").agg(F.count("*").alias("rows"), F.sum(F.ceil(F.octet_length("text") / WINDOW)).alias("windows")).collect()
+    if not found:
         return ByteNet([])
-    fit_rows = max(fit_rows, LEAST_ROWS * len(counts))
+    counts = {r["lang"]: r["rows"] for r in found}
+    net = _start(rows, counts, max(fit_rows, LEAST_ROWS * len(counts)), each)
+    # All weights together are about 1, so that sums of integers are exact in any order.
+    share = {r["lang"]: 1 / (len(counts) * int(r["windows"])) for r in found}
+    for k in range(STEPS):
+        part = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(STEPS)) == k).select("text", "lang")
+        sums = part.mapInPandas(_summed(net, share), "g array<long>").select(F.posexplode("g")).groupBy("pos").agg(F.sum("col").alias("g")).orderBy("pos")
+        g = np.array([r["g"] for r in sums.collect()], float)
+        if len(g) and g[0]:
+            net.step(net.unpacked(g[1:] / g[0]), rate)
+    return net
+
+
+def _start(rows: DataFrame, counts: dict[str, int], fit_rows: int, each: int) -> ByteNet:
+    """First weights, from about ``fit_rows`` rows shared alike among languages."""
     picked = _drawn(rows, counts, fit_rows)
     sample = picked.mapInPandas(_spread(each), "lang string, window binary").orderBy(F.xxhash64("window")).limit(2 * fit_rows * each).toPandas()
     classes = sorted(counts)
@@ -177,18 +260,20 @@ def train(docs: DataFrame, fit_rows: int = 3000, each: int = 4) -> ByteNet:
     return ByteNet(classes).fit(np.concatenate([x, none]), np.concatenate([y, np.full(len(none), len(classes))]))
 
 
-def calibrate(docs: DataFrame, net: ByteNet, lost: float = 0.001, fit_rows: int = 3000) -> ByteNet:
-    """Sets ``net.least`` to half of the score that all but a share ``lost`` of the held-out labelled rows reach.
+def calibrate(docs: DataFrame, net: ByteNet, lost: float = 0.001) -> ByteNet:
+    """Sets ``net.least`` to half of the score that all but a share ``lost`` of all held-out labelled rows reach.
 
     As one output stands for none of the languages, scores are not bound from
     below by the number of languages: texts of none score near 0.  Fewer than
     1 / ``lost`` held-out rows cannot tell that share, and lower it in proportion.
+    The quantile is exact; scores have six digits, so there are a million different ones at most.
     """
     held = docs.where("lang is not null and crc32(cast(doc_id as string)) % 3 = 1").where(F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["count"] for r in held.groupBy("lang").count().collect() if r["lang"] in net.classes}
-    if counts:
-        scores = [r[0] for r in predict(_drawn(held, counts, fit_rows), net).orderBy(F.xxhash64("text")).limit(2 * fit_rows).select("_score").collect()]
-        net.least = float(np.clip(np.quantile(scores, lost) / 2 * min(1.0, lost * len(scores)), 0.05, 0.5)) if scores else net.least
+    held = held.where(F.col("lang").isin(net.classes)).select("text")
+    scores = predict(held, net).groupBy("_score").agg(F.count("*").alias("n"))
+    n, low = scores.agg(F.sum("n"), F.percentile("_score", F.lit(lost), F.col("n"))).first()
+    if n:
+        net.least = float(np.clip(low / 2 * min(1.0, lost * n), 0.05, 0.5))
     return net
 
 

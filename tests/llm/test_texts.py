@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -282,6 +284,38 @@ def test_three_hundred_languages(spark):
     assert len(got) == 900 and all(r[0] in taught and 0 <= r[1] <= 1 for r in got)
 
 
+def test_every_window_of_every_row_teaches(spark):
+    """The sums of tasks are those of all windows of all rows that teach, and change the first weights."""
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choice(("der die das und nicht" if i % 2 else "the and of that with").split()) for _ in range(300)), "de" if i % 2 else "en") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    taught = [(t, k) for i, t, k in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    windows = {k: sum(-(-len(t) // language.WINDOW) for t, x in taught if x == k) for k in ("de", "en")}
+    share = {k: 1 / (2 * n) for k, n in windows.items()}
+    net = language.ByteNet(["de", "en"])
+    x = np.concatenate([language._windows(t.encode()) for t, _ in taught])
+    y = np.concatenate([np.full(-(-len(t) // language.WINDOW), ["de", "en"].index(k)) for t, k in taught])
+    xs, ys, weight = language._turned(x, y, np.array([share["de"], share["en"]])[y], 2)
+    assert len(x) == sum(windows.values()) > 4 * len(taught) and 0 < len(xs) - len(x) < len(x) / 10
+    want = net.gradients(xs, ys, weight)
+    rows = df.where("crc32(cast(doc_id as string)) % 3 <> 1").select("text", "lang")
+    got = sum(np.array(row.g, float) for row in rows.mapInPandas(language._summed(net, share), "g array<long>").collect()) / 2.0**40
+    assert np.isclose(got[0], weight.sum()) and all(np.allclose(a, want[n], atol=1e-5) for n, a in net.unpacked(got[1:]).items())
+    first, net = language.train(df, fit_rows=4, rate=0.0), language.train(df, fit_rows=4)
+    assert all(not np.allclose(net.w[n], first.w[n]) for n in net.w)
+
+
+def test_threshold_is_that_of_all_held_out_rows(spark):
+    r = random.Random(4)
+    rows = [(i, " ".join(r.choice("der die das und the and of that".split()) for _ in range(4)), "b" if i % 100 == 0 else "a") for i in range(12000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = language.ByteNet(["a", "b"])
+    scores = [x[0] for x in language.predict(df, net).where("crc32(cast(doc_id as string)) % 3 = 1").select("_score").collect()]
+    assert len(scores) > 3000
+    for lost in (0.001, 0.3):
+        assert math.isclose(language.calibrate(df, net, lost).least, min(0.5, max(0.05, np.quantile(scores, lost) / 2)), abs_tol=1e-12)
+
+
 def crossed(n=60, seed=5):
     """Texts around one passage that differ to its left and right in all combinations, so that no neighbour shares the most on both sides."""
     r = random.Random(seed)
