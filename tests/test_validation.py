@@ -103,3 +103,16 @@ def test_a_replay_meets_the_version_of_its_time(spark):
     got = {x.message_id: x.v for x in validate.resolve_as_of(spark.createDataFrame(m, "message_id string, scope_kind string, scope_key string, ingested_at timestamp"), runtimes).selectExpr("message_id", "runtime.version_id as v").collect()}
     want = {str(i): None if i < 2 or 6 <= i < 9 else "v1" if i < 4 else "v2" if i < 6 else "v3" for i in range(1, 12)}
     assert got == want | {"none": None, "null": None}
+
+
+def test_latest_results_that_failed(spark):
+    """Results that passed pass on nothing, and one that failed before counts no more; incidents do without columns that are not there."""
+    rows = [("a", "m1", "failed", 1), ("a", "m1", "passed", 2), ("b", "m2", "passed", 1), ("b", "m2", "failed", 2), (" ", "m3", "failed", 3), (None, "m4", "passed", 4)]
+    df = spark.createDataFrame(rows, "processing_key string, message_id string, status string, seq long")
+    violation = F.array(F.struct(*[F.lit(x).alias(x) for x in ("rule", "field", "operator", "severity", "message")]))
+    parts = ("scope_kind", "scope_key", "binding_name", "topic", "version_id", "definition_checksum")
+    full = df.withColumns({c: F.lit("x") for c in parts}).withColumns({"violations": violation, "processed_at": F.col("seq").cast("timestamp")})
+    got = results.latest_results(full, ["message_id", "status", "seq"], F.col("status") == "failed").collect()
+    assert sorted(map(tuple, got)) == [("m2", "failed", 2), ("m3", "failed", 3)]
+    one = results.incidents(full.drop("processing_key").where("status = 'failed'")).collect()
+    assert len(one) == 1 and one[0]["count"] == 3 and one[0].latest_message_id == "m3" and "latest_processing_key" not in one[0]
