@@ -283,6 +283,16 @@ def test_nothing_is_lost_or_twice(spark, name):
     assert got == sorted(map(tuple, want.collect()))
 
 
+def test_followed_topics_come_in_bounded_batches(spark, monkeypatch):
+    """Many records of few topics are more than one micro-batch for each query, none of which holds more than its files may."""
+    monkeypatch.setattr(streams, "_MOST_RECORDS", 10, raising=False)
+    outs, committed = [], pipeline.committed
+    monkeypatch.setattr(pipeline, "committed", lambda spark, out, name: outs.append(out) or committed(spark, out, name))
+    streams.follow_topics(spark, DATA)
+    batches = [r.records for r in spark.read.parquet(f"{outs[0]}/manifest").collect()]
+    assert len(batches) > 2 and max(batches) <= 10 * 9 * spark.sparkContext.defaultParallelism and sum(batches) >= 800
+
+
 def test_large_parts_are_written_for_all_cores(spark):
     cores = spark.sparkContext.defaultParallelism
     assert streams._files(spark, DATA, 2) == 1 and 1 < streams._files(spark, "/root/testdata/sf0.1", 2) <= 3 * cores and streams._salts(spark) >= cores
